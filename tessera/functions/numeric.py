@@ -12,7 +12,7 @@ def pct_truncated(delta: str, base: str, scale: int = 4) -> Column:
     Computed exactly with integral division on DECIMAL(38,0) (``div`` truncates
     toward zero), never through a double; null when base is 0 or null.
     """
-    num = f"CAST(CAST(({delta}) AS DECIMAL(38,2)) * {10 ** (2 + scale)} AS DECIMAL(38,0))"
+    num = f"CAST(CAST(({delta}) AS DECIMAL(38,2)) * {10 ** (4 + scale)} AS DECIMAL(38,0))"
     den = f"CAST(CAST(({base}) AS DECIMAL(38,2)) * 100 AS DECIMAL(38,0))"
     return F.expr(
         f"CAST(CAST(CASE WHEN {den} <> 0 THEN {num} div {den} END AS DECIMAL(38,0))"
@@ -26,7 +26,7 @@ def money(c) -> Column:
 
 def pct_truncated_sql(delta: str, base: str, scale: int = 4) -> str:
     """DuckDB form of :func:`pct_truncated` (HUGEINT ``//`` truncates toward zero)."""
-    num = f"CAST(CAST(({delta}) AS DECIMAL(38,2)) * {10 ** (2 + scale)} AS HUGEINT)"
+    num = f"CAST(CAST(({delta}) AS DECIMAL(38,2)) * {10 ** (4 + scale)} AS HUGEINT)"
     den = f"CAST(CAST(({base}) AS DECIMAL(38,2)) * 100 AS HUGEINT)"
     return (f"CAST(CAST(CASE WHEN {den} <> 0 THEN {num} // {den} END AS DECIMAL(38,0))"
             f" * CAST(1E-{scale} AS DECIMAL(18,{scale})) AS DECIMAL(18,{scale}))")
