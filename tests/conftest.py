@@ -14,6 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from tessera.session import get_session
     s = get_session("local[4]", app="tessera-tests", shuffle_partitions=4,
-                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-test-ckpt-")})
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-test-ckpt-"),
+                           "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tessera-test-wh-")})
     yield s
     s.stop()
