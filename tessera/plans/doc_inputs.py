@@ -9,7 +9,11 @@ from ..sources.tables import load_table
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, doc_name, doc_uri, size, text)``; size is the UTF-8 byte length."""
-    d = load_table(spark, sf_dir, "documents")
+    return document_columns(load_table(spark, sf_dir, "documents"))
+
+
+def document_columns(d: DataFrame) -> DataFrame:
+    """The file-like columns of a ``documents`` frame (batch or streaming)."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select(
         "doc_id",

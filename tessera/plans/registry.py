@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-_MODULES = ["billing_queries", "chunk_queries", "finance_queries", "moderation_queries", "message_queries", "chat_queries", "retrieval_queries", "source_queries"]
+_MODULES = ["billing_queries", "chunk_queries", "finance_queries", "moderation_queries", "message_queries", "chat_queries", "retrieval_queries", "source_queries", "stream_queries"]
 
 for _m in _MODULES:
     importlib.import_module(f"{__package__}.{_m}")
