@@ -106,3 +106,14 @@ def q_category_policy(spark, sf_dir):
         "doc_id", F.when(F.col("toxic") == 1, "Hate").when(F.col("quality") == 0, "Specialized Advice")
         .when(F.col("lang") == "de", "Unlisted").otherwise("Safe").alias("category"))
     return mod.category_policy(cl)
+
+
+@register("toxicity_scores")
+def q_toxicity_scores(spark, sf_dir):
+    """Default guard model trained on documents ⋈ labels, applied to the judged
+    (last) group of every valid conversation."""
+    from ..operators.classify import ml_guard, train_toxicity_model
+    model = train_toxicity_model(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+    groups = mod.moderation_groups(chat_messages_json(spark, sf_dir))
+    last = mod.last_message(groups, key="conv_id", order_col="grp")
+    return ml_guard(model)(last).select("conv_id", "grp", "first_token", "flagged", "reason", "p_toxic")
