@@ -7,11 +7,12 @@ VARIANT functions, so the branches run as built-in expressions and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import stable_id
 from ..functions.jsonfmt import json_string
 from ..functions.text import normalize_ws
+from .ordering import runs
 
 TEXT_DELTA = "response.output_text.delta"
 ITEM_DONE = "response.output_item.done"
@@ -156,12 +157,8 @@ def merge_deltas(events: DataFrame, key: str = "request_id", order: list[str] |
     """
     order = order or ["seq"]
     ev = events.filter(F.col("type").isin(TEXT_DELTA, ITEM_DONE))
-    w = Window.partitionBy(key).orderBy(*order)
-    prev = F.lag("type").over(w)
-    start = F.when((F.col("type") == ITEM_DONE) | prev.isNull() | (prev != TEXT_DELTA), 1).otherwise(0)
-    ev = ev.withColumn("_start", start)
-    ev = ev.withColumn("out_pos", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding,
-                                                                   Window.currentRow)) - 1)
+    # every done item is a run of its own; consecutive deltas share one
+    ev = runs(ev, [key], order, "type", "out_pos", singleton=F.col("type") == ITEM_DONE)
     ordkey = F.struct(*[F.col(c) for c in order])
     return (ev.groupBy(key, "out_pos")
             .agg(F.first("type").alias("_t"),

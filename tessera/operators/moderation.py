@@ -19,16 +19,19 @@ G6 optionally keep the last two groups (only when more than two exist).
 G8 a pluggable model scores the collapsed conversation.
 G10 verdict: flagged -> reject + reason, error -> reject + message, else proceed.
 
-All steps are windows over one ``Window.partitionBy(conv_id)`` spec: the
-message table is shuffled once by conversation and every later window and
-the per-group aggregation reuse that partitioning.
+Run detection uses distributed positions (gaps and islands over
+:func:`~tessera.operators.ordering.position_in_group`), not a window per
+conversation, so a conversation holding a large share of all messages is
+still processed by many tasks; per-conversation facts (error flag, group
+count, order check) are partial aggregations joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tool_text
+from .ordering import runs
 
 # Error and verdict texts of the guardrail.
 MISSING_MESSAGES = 'Missing key "messages" in request: {request}.'
@@ -114,14 +117,6 @@ def flatten_messages(msgs: DataFrame) -> DataFrame:
     return errors.select(*out_cols).unionByName(strings.select(*out_cols)).unionByName(parts.select(*out_cols))
 
 
-def _conv():
-    return Window.partitionBy("conv_id")
-
-
-def _ordered():
-    return Window.partitionBy("conv_id").orderBy("pos", "part")
-
-
 def first_errors(flat: DataFrame) -> DataFrame:
     """First validation error per conversation ``(conv_id, error)``."""
     return (flat.filter(F.col("error").isNotNull())
@@ -133,28 +128,27 @@ def collapse_roles(flat: DataFrame, ignore_system: bool = True) -> DataFrame:
     """G2-G5 over valid rows: ``(conv_id, grp, role, content, n_groups, order_ok, valid)``.
 
     ``valid`` is false for a conversation with any G1 error; ``order_ok`` is the
-    alternation check over the whole conversation.
+    alternation check over the whole conversation. Runs are found with
+    :func:`~tessera.operators.ordering.runs` (distributed positions, no
+    per-conversation window), so one very long conversation is spread over
+    many tasks; only each run's own text is gathered into one value.
     """
-    rows = flat.withColumn("_bad", F.max(F.col("error").isNotNull().cast("int")).over(_conv()))
-    rows = rows.filter(F.col("error").isNull())
+    bad = flat.groupBy("conv_id").agg(F.max(F.col("error").isNotNull().cast("int")).alias("_bad"))
+    rows = flat.filter(F.col("error").isNull())
     rows = rows.withColumn("text", tool_text("role", "text")) \
                .withColumn("role", F.when(F.col("role") == "tool", "assistant").otherwise(F.col("role")))
     if ignore_system:
         rows = rows.filter(F.coalesce(F.col("role"), F.lit("")) != "system")
-    prev = F.lag("role").over(_ordered())
-    rows = rows.withColumn("_start", F.when(prev.isNull() | ~prev.eqNullSafe(F.col("role")), 1).otherwise(0))
-    rows = rows.withColumn("grp", F.sum("_start").over(
-        _ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    rows = runs(rows.select("conv_id", "pos", "part", "role", "text"), ["conv_id"], ["pos", "part"], "role", "grp")
     groups = (rows.groupBy("conv_id", "grp")
-              .agg(F.first("role").alias("role"), F.max("_bad").alias("_bad"),
+              .agg(F.first("role").alias("role"),
                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "text"))),
                                             lambda x: x["text"]), "\n\n").alias("content")))
     violation = (F.coalesce(F.col("role") == "user", F.lit(False)) != (F.col("grp") % 2 == 0)).cast("int")
-    return (groups
-            .withColumn("n_groups", F.count(F.lit(1)).over(_conv()))
-            .withColumn("order_ok", F.max(violation).over(_conv()) == 0)
-            .withColumn("valid", F.col("_bad") == 0)
-            .drop("_bad"))
+    stats = groups.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_groups"),
+                                          (F.max(violation) == 0).alias("order_ok"))
+    return (groups.join(stats, "conv_id").join(bad, "conv_id")
+            .withColumn("valid", F.col("_bad") == 0).drop("_bad"))
 
 
 def moderation_groups(msgs: DataFrame, ignore_system: bool = True, ignore_old: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.jsonfmt import json_string
 from ..functions.text import normalize_ws, tag_speaker
-from .joins import join_small, null_safe_equal
+from .joins import BROADCAST_MAX_ROWS, fits_broadcast, null_safe_equal
 from .ordering import position_in_group
 
 NUM_RESULTS = 2        # hits per search
@@ -163,36 +163,141 @@ def tokens(text_col: str) -> F.Column:
 
 
 def corpus_postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``(doc, term, tf, dl)`` postings plus document length."""
+    """``(doc, term, dl, tf)`` postings (a shuffle on (doc, term)); for inspection
+    and index building. Scoring does not need it: see :func:`bm25_scores`."""
     tok = docs.select(F.col(id_col).alias("doc"), tokens(text_col).alias("_t"))
     tok = tok.select("doc", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     return tok.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _bm25_candidates(queries: DataFrame, docs: DataFrame, keep: int | None, qid: str, qtext: str,
+                     id_col: str, text_col: str, k1: float, b: float, max_query_terms: int) -> DataFrame:
+    """BM25 scores computed where the chunks are.
+
+    Spark computes, over the whole corpus, the document frequency of the query
+    terms (distinct terms per chunk, semi-joined with the query vocabulary,
+    partially aggregated) and the corpus statistics. The query-term table
+    (size-checked) then goes to every executor; each chunk partition maps its
+    tokens to the query vocabulary, counts term frequencies and accumulates
+    all query scores of a slice of chunks in one (chunks x queries) block.
+    ``keep=k`` forwards only the slice's top-k per query (plus near-ties), so
+    no (query, chunk) pair crosses the network unless it can be in the top-k.
+    """
+    spark = docs.sparkSession
+    toks = docs.select(F.col(id_col).alias("doc"), tokens(text_col).alias("toks"))
+    qterms = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
+    qt = qterms.limit(max_query_terms + 1).collect()
+    if len(qt) > max_query_terms:
+        raise ValueError(f"more than {max_query_terms} query terms; split the query set")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    q_type = queries.schema[qid].dataType.simpleString()
+    schema = f"qid {q_type}, doc {id_type}, score double"
+    if not qt:
+        return spark.createDataFrame([], schema)
+    terms = sorted({r.term for r in qt})
+    vocab = spark.createDataFrame([(t,) for t in terms], "term string")
+    # one pass: per chunk, a sentinel row (term null) carrying its length plus one
+    # row per distinct term; partial aggregation by term, then keep the query
+    # vocabulary (and the sentinel group) only
+    rows = toks.select(F.explode(F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("toks").cast("long").alias("dl"))),
+        F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
+    )).alias("r")).select("r.*")
+    agg = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
+    wanted = agg.join(F.broadcast(vocab.withColumn("_v", F.lit(True))), "term", "left")
+    got = wanted.filter(F.col("term").isNull() | F.col("_v")).collect()
+    n_docs, total_dl, dfreq = 0, 0, {}
+    for r in got:
+        if r.term is None:
+            n_docs, total_dl = r.n, r.dl
+        else:
+            dfreq[r.term] = r.n
+    avgdl = total_dl / n_docs if n_docs else 0.0
+    # query-term matrix in CSR form: vocabulary id -> (query index, idf)
+    vid = {t: i for i, t in enumerate(terms)}
+    qids = sorted({r.qid for r in qt})
+    qix = {q: i for i, q in enumerate(qids)}
+    by_term: dict[int, list[tuple[int, float]]] = {}
+    for r in qt:
+        df = dfreq.get(r.term, 0)
+        if df:
+            idf = float(np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5)))
+            by_term.setdefault(vid[r.term], []).append((qix[r.qid], idf))
+    indptr = np.zeros(len(terms) + 1, dtype=np.int64)
+    cols, vals = [], []
+    for v in range(len(terms)):
+        lst = by_term.get(v, [])
+        indptr[v + 1] = indptr[v] + len(lst)
+        cols += [c for c, _ in lst]
+        vals += [x for _, x in lst]
+    bc = spark.sparkContext.broadcast((vid, np.array(qids), indptr, np.array(cols, dtype=np.int64),
+                                       np.array(vals, dtype=np.float64), float(avgdl or 0.0)))
+    slice_rows = 512
+
+    def run(batches):
+        vocab_ix, qid_arr, ptr, qcol, qidf, mean_dl = bc.value
+        n_q, n_v = len(qid_arr), len(ptr) - 1
+        for pdf in batches:
+            for lo in range(0, len(pdf), slice_rows):
+                part = pdf.iloc[lo:lo + slice_rows]
+                docs_ids = part["doc"].to_numpy()
+                lens = np.array([len(t) if t is not None else 0 for t in part["toks"]], dtype=np.int64)
+                if lens.sum() == 0:
+                    continue
+                flat = np.concatenate([t for t in part["toks"] if t is not None and len(t)])
+                rows = np.repeat(np.arange(len(part)), lens)
+                ids = pd.Series(flat).map(vocab_ix).to_numpy()
+                hit = ~pd.isna(ids)
+                if not hit.any():
+                    continue
+                key = rows[hit] * n_v + ids[hit].astype(np.int64)
+                uk, tf = np.unique(key, return_counts=True)
+                r, v = uk // n_v, uk % n_v
+                w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[r] / mean_dl))
+                cnt = ptr[v + 1] - ptr[v]
+                total = int(cnt.sum())
+                if total == 0:
+                    continue
+                first = np.repeat(ptr[v], cnt)
+                offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+                pos = first + offs
+                flat_ix = np.repeat(r, cnt) * n_q + qcol[pos]
+                score = np.bincount(flat_ix, weights=np.repeat(w, cnt) * qidf[pos],
+                                    minlength=len(part) * n_q).reshape(len(part), n_q)
+                out_q, out_d, out_s = [], [], []
+                for j in range(n_q):
+                    col = score[:, j]
+                    nz = np.nonzero(col > 0)[0]
+                    if keep is not None and len(nz) > keep:
+                        order = nz[np.lexsort((docs_ids[nz], -col[nz]))]
+                        cut = col[order[keep - 1]] - 1e-9
+                        nz = nz[col[nz] >= cut]
+                    if len(nz):
+                        out_q.append(np.repeat(qid_arr[j], len(nz)))
+                        out_d.append(docs_ids[nz])
+                        out_s.append(col[nz])
+                if out_q:
+                    yield pd.DataFrame({"qid": np.concatenate(out_q), "doc": np.concatenate(out_d),
+                                        "score": np.concatenate(out_s)})
+
+    return toks.mapInPandas(run, schema)
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
                 id_col: str = "id", text_col: str = "content", k1: float = BM25_K1,
-                b: float = BM25_B) -> DataFrame:
+                b: float = BM25_B, max_query_terms: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Okapi BM25 (idf = ln(1 + (N - df + 0.5)/(df + 0.5))) of every chunk that
     shares a term with the query: ``(qid, doc, score)``."""
-    post = corpus_postings(docs, id_col, text_col)
-    doc_len = docs.select(F.col(id_col).alias("doc"), F.size(tokens(text_col)).alias("dl"))
-    n_docs = doc_len.select(F.count(F.lit(1))).scalar()
-    avgdl = doc_len.select(F.avg("dl")).scalar()
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qterms = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    # idf only for query terms: join the (small) query-term set with document frequencies first
-    qidf = join_small(dfreq, qterms, "term").withColumn(
-        "idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-    part = join_small(post, qidf.select("qid", "term", "idf"), "term")
-    contrib = F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return part.groupBy("qid", "doc").agg(F.sum(contrib).alias("score"))
+    return _bm25_candidates(queries, docs, None, qid, qtext, id_col, text_col, k1, b, max_query_terms)
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, **kw) -> DataFrame:
+def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, qid: str = "qid",
+                 qtext: str = "text", id_col: str = "id", text_col: str = "content", k1: float = BM25_K1,
+                 b: float = BM25_B, max_query_terms: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """BM25 top-k per query: ``(qid, doc, score, rank)``; ties by lower id after
-    rounding the score to 1e-9 (so engines agree on near-equal sums)."""
-    s = bm25_scores(queries, docs, **kw)
+    rounding the score to 1e-9 (so engines agree on near-equal sums). Each
+    partition forwards at most its top-k (and near-ties) per query."""
+    s = _bm25_candidates(queries, docs, k, qid, qtext, id_col, text_col, k1, b, max_query_terms)
     w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("doc").asc())
     return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("bigint")))

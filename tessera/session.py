@@ -43,6 +43,17 @@ def get_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder (``spark.checkpoint.dir``), registered with
+    the SparkContext; a temp folder is made only when the session has none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
@@ -50,10 +61,6 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     none (local tests) is one made under the system temp folder and recorded in
     the session, so every later caller in the session shares it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, *parts, uuid.uuid4().hex)
     return path

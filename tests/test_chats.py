@@ -78,3 +78,24 @@ def test_assign_ids_many_partitions(spark):
         by_g.setdefault(r.g, []).append((r.o, r.p))
     for g, items in by_g.items():
         assert [p for _, p in sorted(items)] == list(range(len(items)))
+
+
+def test_runs_hot_group_many_partitions(spark):
+    from tessera.operators.ordering import runs
+    # one group holds most rows and spans many range partitions
+    rows = [(0 if i < 900 else i % 7, i, "ab"[(i // 3) % 2] if i % 50 else "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "g long, o long, lab string")
+    got = {(r.g, r.o): (r.p, r.run) for r in
+           runs(position_in_group(df, ["g"], ["o"], "p"), ["g"], ["o"], "lab", "run", ).collect()}
+    exp = {}
+    by_g = {}
+    for g, o, lab in sorted(rows):
+        by_g.setdefault(g, []).append((o, lab))
+    for g, items in by_g.items():
+        run, prev = -1, None
+        for p, (o, lab) in enumerate(items):
+            if lab != prev:
+                run += 1
+            prev = lab
+            exp[(g, o)] = (p, run)
+    assert got == exp
