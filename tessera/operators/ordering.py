@@ -52,9 +52,15 @@ def assign_ids(df: DataFrame, order_cols: list, start: int = 1, id_col: str = "i
 
 
 def position_in_group(df: DataFrame, group_cols: list[str], order_cols: list, pos_col: str = "pos") -> DataFrame:
-    """0-based position of each row inside its group in ``order_cols`` order
-    (a :func:`segmented_scan` without labels)."""
-    return segmented_scan(df, group_cols, order_cols, pos_col=pos_col)
+    """0-based position of each row inside its group in ``order_cols`` order.
+
+    Global ids over (group, order) from :func:`assign_ids` minus each group's
+    first id; the group-first table is a partial aggregation (one row per
+    group) joined back, so no task ever holds a whole group. All in the JVM.
+    """
+    g = assign_ids(df, [*group_cols, *order_cols], start=0, id_col="_gid")
+    first = g.groupBy(*group_cols).agg(F.min("_gid").alias("_gid0"))
+    return g.join(first, group_cols).withColumn(pos_col, F.col("_gid") - F.col("_gid0")).drop("_gid", "_gid0")
 
 
 def runs(df: DataFrame, group_cols: list[str], order_cols: list, label_col: str, run_col: str = "run",

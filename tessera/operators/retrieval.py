@@ -316,14 +316,23 @@ def hybrid_topk(vector_scores: DataFrame, keyword_scores: DataFrame, k: int = NU
                 rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two scored lists ``(qid, doc, score)``: a doc's
     fused score is the sum of 1/(rrf_k + rank) over the lists it appears in.
-    Every doc is ranked exactly in each list; top-k by fused score (ties: doc)."""
-    rv = full_ranks(vector_scores).withColumnRenamed("rank", "rank_v")
-    rk = full_ranks(keyword_scores).withColumnRenamed("rank", "rank_k")
-    j = rv.join(rk, ["qid", "doc"], "full")
-    fused = (F.coalesce(1.0 / (rrf_k + F.col("rank_v")), F.lit(0.0))
-             + F.coalesce(1.0 / (rrf_k + F.col("rank_k")), F.lit(0.0)))
+    Every doc is ranked exactly in each list; top-k by fused score (ties: doc).
+
+    Both lists are ranked in one distributed numbering over their union
+    (group = query and list), then fused with one partially aggregated
+    group-by on (query, doc) instead of a full outer join.
+    """
+    both = (vector_scores.select("qid", "doc", "score", F.lit(0).alias("_list"))
+            .unionByName(keyword_scores.select("qid", "doc", "score", F.lit(1).alias("_list"))))
+    ranked = position_in_group(both.withColumn("_s", F.round("score", 9)), ["qid", "_list"],
+                               [F.col("_s").desc(), F.col("doc").asc()], "_r")
+    ranked = ranked.withColumn("_r", F.col("_r") + 1)
+    fused = (ranked.groupBy("qid", "doc")
+             .agg(F.sum(1.0 / (rrf_k + F.col("_r"))).alias("fused"),
+                  F.max(F.when(F.col("_list") == 0, F.col("_r"))).alias("rank_v"),
+                  F.max(F.when(F.col("_list") == 1, F.col("_r"))).alias("rank_k")))
     w = Window.partitionBy("qid").orderBy(F.col("fused").desc(), F.col("doc").asc())
-    return (j.withColumn("fused", fused).withColumn("rank", F.row_number().over(w))
+    return (fused.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
 
