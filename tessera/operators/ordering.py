@@ -36,9 +36,10 @@ def assign_ids(df: DataFrame, order_cols: list, start: int = 1, id_col: str = "i
     ``order_cols`` must order rows uniquely (add a tie-breaker) for ids to be
     stable across runs and task retries.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may merge small neighbouring ranges; the
+    # partition id is read after that, so ranges stay contiguous and ordered
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols)).sortWithinPartitions(*order_cols)
     # monotonically_increasing_id = partition id << 33 | index inside the partition
     tagged = _materialize(ranged.withColumn("_pid", F.spark_partition_id())
                           .withColumn("_local", F.monotonically_increasing_id()
@@ -128,14 +129,12 @@ def segmented_scan(df: DataFrame, group_cols: list[str], order_cols: list, label
     materialised once (see the module note), so both passes read the same
     layout. ``order_cols`` must order rows uniquely inside a group.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in group_cols])
     lab = F.coalesce(F.col(label_col).cast("string"), F.lit("\u0000")) if label_col else F.lit("")
     keys = [*group_cols, *order_cols]
-    base = _materialize(df.withColumn("_key", key).withColumn("_lab", lab)
-                        .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                        .withColumn("_pid", F.spark_partition_id()))
+    tagged = df.withColumn("_key", key).withColumn("_lab", lab)
+    ranged = tagged.repartitionByRange(num_partitions, *keys) if num_partitions else tagged.repartitionByRange(*keys)
+    base = _materialize(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
 
     def summarize(batches):
         st, pid, first, out = _fresh_state(), None, None, None
