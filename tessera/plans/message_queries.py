@@ -129,3 +129,13 @@ def q_validate_arguments(spark, sf_dir):
     ev = load_table(spark, sf_dir, "events").select("event_id", "props")
     out = msg.validate_arguments(ev, "props", TOOL_SCHEMA)
     return out.select("event_id", "k", "w", "flag", "note", F.array_join("errors", "; ").alias("errors"))
+
+
+@register("tag_speaker", """
+SELECT conv_id, turn,
+       CASE WHEN length(text) > 0 THEN '<name>Unstructured Agent</name>' || chr(10) || text ELSE text END AS tagged
+FROM conversations WHERE role = 'assistant'""")
+def q_tag_speaker(spark, sf_dir):
+    from ..functions.text import tag_speaker
+    c = load_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", tag_speaker("text", "Unstructured Agent").alias("tagged"))

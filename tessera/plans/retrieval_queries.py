@@ -159,3 +159,18 @@ def q_answer_questions(spark, sf_dir):
     q = _bench(spark, sf_dir)
     facts = rv.facts_json(rv.retrieve_facts(rv.keyword_topk(q, chunks, k=2), chunks), queries=q)
     return rv.answer_questions(q, facts)
+
+
+@register("facts_json", _BM25_SQL + f"""
+, hits AS (SELECT rk.qid, rk.rank, c.content FROM rk JOIN chunks c ON c.id = rk.doc WHERE rk.rank <= {TOPK_KEYWORD})
+SELECT b.item_id AS qid,
+       CASE WHEN count(h.content) = 0 THEN '{{}}'
+            ELSE '{{' || chr(10) || '  ' || string_agg('"fact_' || h.rank || '": ' || CAST(to_json(h.content) AS VARCHAR),
+                                                     ',' || chr(10) || '  ' ORDER BY h.rank) || chr(10) || '}}' END AS facts,
+       CAST(count(h.content) AS BIGINT) AS n_facts
+FROM benchmark b LEFT JOIN hits h ON h.qid = b.item_id GROUP BY b.item_id""")
+def q_facts_json(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    q = _bench(spark, sf_dir)
+    hits = rv.keyword_topk(q, chunks, k=TOPK_KEYWORD)
+    return rv.facts_json(rv.retrieve_facts(hits, chunks), queries=q)
