@@ -322,10 +322,10 @@ def hybrid_topk(vector_scores: DataFrame, keyword_scores: DataFrame, k: int = NU
     (group = query and list), then fused with one partially aggregated
     group-by on (query, doc) instead of a full outer join.
     """
-    both = (vector_scores.select("qid", "doc", "score", F.lit(0).alias("_list"))
-            .unionByName(keyword_scores.select("qid", "doc", "score", F.lit(1).alias("_list"))))
-    ranked = position_in_group(both.withColumn("_s", F.round("score", 9)), ["qid", "_list"],
-                               [F.col("_s").desc(), F.col("doc").asc()], "_r")
+    both = (vector_scores.select("qid", "doc", F.round("score", 9).alias("_s"), F.lit(0).alias("_list"))
+            .unionByName(keyword_scores.select("qid", "doc", F.round("score", 9).alias("_s"),
+                                               F.lit(1).alias("_list"))))
+    ranked = position_in_group(both, ["qid", "_list"], [F.col("_s").desc(), F.col("doc").asc()], "_r")
     ranked = ranked.withColumn("_r", F.col("_r") + 1)
     fused = (ranked.groupBy("qid", "doc")
              .agg(F.sum(1.0 / (rrf_k + F.col("_r"))).alias("fused"),
