@@ -20,13 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def _materialize(df: DataFrame) -> DataFrame:
     """Write the partitioned rows once (reliable checkpoint in the shared folder)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def assign_ids(df: DataFrame, order_cols: list, start: int = 1, id_col: str = "id",

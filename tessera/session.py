@@ -92,3 +92,11 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, *parts, uuid.uuid4().hex)
     return path
+
+
+def materialize(df):
+    """Write ``df`` once below the shared checkpoint folder (reliable checkpoint)
+    and return a DataFrame reading it: later passes reuse the rows instead of
+    recomputing them, and the lineage is cut for executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
