@@ -124,7 +124,7 @@ def first_errors(flat: DataFrame) -> DataFrame:
             .agg(F.min_by("error", F.struct("pos", "check", "part")).alias("error")))
 
 
-def collapse_roles(flat: DataFrame, ignore_system: bool = True) -> DataFrame:
+def collapse_roles(flat: DataFrame, ignore_system: bool = True, errors: DataFrame | None = None) -> DataFrame:
     """G2-G5 over valid rows: ``(conv_id, grp, role, content, n_groups, order_ok, valid)``.
 
     ``valid`` is false for a conversation with any G1 error; ``order_ok`` is the
@@ -133,7 +133,9 @@ def collapse_roles(flat: DataFrame, ignore_system: bool = True) -> DataFrame:
     per-conversation window), so one very long conversation is spread over
     many tasks; only each run's own text is gathered into one value.
     """
-    bad = flat.groupBy("conv_id").agg(F.max(F.col("error").isNotNull().cast("int")).alias("_bad"))
+    if errors is None:
+        errors = first_errors(flat)
+    bad = errors.select("conv_id", F.lit(1).alias("_bad"))
     rows = flat.filter(F.col("error").isNull())
     rows = rows.withColumn("text", tool_text("role", "text")) \
                .withColumn("role", F.when(F.col("role") == "tool", "assistant").otherwise(F.col("role")))
@@ -147,8 +149,8 @@ def collapse_roles(flat: DataFrame, ignore_system: bool = True) -> DataFrame:
     violation = (F.coalesce(F.col("role") == "user", F.lit(False)) != (F.col("grp") % 2 == 0)).cast("int")
     stats = groups.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_groups"),
                                           (F.max(violation) == 0).alias("order_ok"))
-    return (groups.join(stats, "conv_id").join(bad, "conv_id")
-            .withColumn("valid", F.col("_bad") == 0).drop("_bad"))
+    return (groups.join(stats, "conv_id").join(bad, "conv_id", "left")
+            .withColumn("valid", F.col("_bad").isNull()).drop("_bad"))
 
 
 def moderation_groups(msgs: DataFrame, ignore_system: bool = True, ignore_old: bool = False) -> DataFrame:
@@ -169,7 +171,8 @@ def _order_errors(groups: DataFrame) -> DataFrame:
 def conversation_errors(msgs: DataFrame, ignore_system: bool = True) -> DataFrame:
     """``(conv_id, error)``: the first validation error, else the order error."""
     flat = flatten_messages(msgs)
-    return first_errors(flat).unionByName(_order_errors(collapse_roles(flat, ignore_system)))
+    first = first_errors(flat)
+    return first.unionByName(_order_errors(collapse_roles(flat, ignore_system, first)))
 
 
 def keyword_guard(terms: dict[str, str]):
@@ -199,8 +202,9 @@ def verdict(msgs: DataFrame, model, ignore_system: bool = True, ignore_old: bool
     empty input and comes back unflagged unless the model says otherwise).
     """
     flat = flatten_messages(msgs)
-    g = collapse_roles(flat, ignore_system)
-    errs = first_errors(flat).unionByName(_order_errors(g))
+    first = first_errors(flat)
+    g = collapse_roles(flat, ignore_system, first)
+    errs = first.unionByName(_order_errors(g))
     ok = g.filter(F.col("valid") & F.col("order_ok"))
     if ignore_old:
         ok = ok.filter((F.col("n_groups") <= 2) | (F.col("grp") >= F.col("n_groups") - 2))
