@@ -23,3 +23,48 @@ def test_chunks_rebuild_normalised_text(spark, texts):
         chunks = [c for _, c in sorted(got.get(f"d{i}", []))]
         assert chunks == [norm[s:s + 1024] for s in range(0, len(norm), 342)]
         assert "".join(c[:342] for c in chunks) == norm
+
+
+def _expected(msgs, ignore_old=False):
+    """Direct statement of the moderation rules for one valid conversation."""
+    rows = []
+    for role, text in msgs:
+        if role == "tool":
+            role, text = "assistant", f"<tool output> {text} </tool_output>"
+        if role == "system":
+            continue
+        rows.append((role, text))
+    groups = []
+    for role, text in rows:
+        if groups and groups[-1][0] == role:
+            groups[-1] = (role, groups[-1][1] + "\n\n" + text)
+        else:
+            groups.append((role, text))
+    ok = all((r == "user") == (i % 2 == 0) for i, (r, _) in enumerate(groups))
+    if ignore_old and len(groups) > 2:
+        return ok, groups[-2:], len(groups) - 2
+    return ok, groups, 0
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool"]),
+                                   st.text(alphabet="ab xy", min_size=1, max_size=5)),
+                         min_size=1, max_size=12), min_size=40, max_size=40))
+def test_moderation_groups_match_rules(spark, convs):
+    import json
+
+    from tessera.operators import moderation as mod
+    rows = [(c, p, json.dumps({"role": r, "content": t})) for c, ms in enumerate(convs) for p, (r, t) in enumerate(ms)]
+    df = spark.createDataFrame(rows, "conv_id long, pos long, message string")
+    for ignore_old in (False, True):
+        got = {}
+        for r in mod.moderation_groups(df, ignore_old=ignore_old).collect():
+            got.setdefault(r.conv_id, []).append((r.grp, r.role, r.content))
+        errs = {r.conv_id for r in mod.conversation_errors(df).collect()}
+        for c, ms in enumerate(convs):
+            ok, groups, first = _expected(ms, ignore_old)
+            if not ok:
+                assert c in errs and c not in got
+            elif groups:
+                assert sorted(got[c]) == [(first + i, r, t) for i, (r, t) in enumerate(groups)]
+                assert c not in errs
