@@ -68,3 +68,43 @@ def test_moderation_groups_match_rules(spark, convs):
             elif groups:
                 assert sorted(got[c]) == [(first + i, r, t) for i, (r, t) in enumerate(groups)]
                 assert c not in errs
+
+
+def _merge_rule(events):
+    """The merge loop: deltas append to an open item, done items pass and close it,
+    other types are ignored."""
+    from tessera.operators.messages import ITEM_DONE, TEXT_DELTA
+    out, open_run = [], False
+    for typ, iid, payload in events:
+        if typ == ITEM_DONE:
+            out.append(("done", iid, payload))
+            open_run = False
+        elif typ == TEXT_DELTA:
+            if not open_run:
+                out.append(("delta", iid, payload))
+                open_run = True
+            else:
+                out[-1] = ("delta", out[-1][1], out[-1][2] + payload)
+    return out
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["response.output_text.delta"] * 3 +
+                                                   ["response.output_item.done", "response.created"]),
+                                   st.text(alphabet="ab ", min_size=0, max_size=3)),
+                         min_size=1, max_size=15), min_size=30, max_size=30))
+def test_merge_deltas_matches_rule(spark, reqs):
+    from tessera.operators.messages import merge_deltas
+    rows, expected = [], {}
+    for req, evs in enumerate(reqs):
+        seq_evs = [(t, f"i{req}-{s}", p) for s, (t, p) in enumerate(evs)]
+        expected[req] = _merge_rule(seq_evs)
+        rows += [(req, s, t, iid, p if t != "response.output_item.done" else None,
+                  p if t == "response.output_item.done" else None) for s, (t, iid, p) in enumerate(seq_evs)]
+    df = spark.createDataFrame(rows, "request_id long, seq long, type string, item_id string, delta string, "
+                                     "text string")
+    got = {}
+    for r in merge_deltas(df).collect():
+        got.setdefault(r.request_id, []).append((r.out_pos, r.kind, r.item_id, r.text))
+    for req, exp in expected.items():
+        assert sorted(got.get(req, [])) == [(i, k, iid, t) for i, (k, iid, t) in enumerate(exp)]
