@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding, simhash
+from . import langid, line_dedup, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_sharding, op8_line_dedup)}
+def op10_langid(spark, sf_dir):
+    return langid.identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_sharding, op8_line_dedup, op10_langid)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
