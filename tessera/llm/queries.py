@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, sharding, simhash, toxicity
+import public_tokenizers
+
+from . import langid, line_dedup, packing, sharding, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -18,14 +20,25 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_counts.count_documents(read_table(spark, sf_dir, "documents"),
+                                        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_langid(spark, sf_dir):
     return langid.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_sharding, op8_line_dedup, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_sharding, op5_token_counts, op8_line_dedup, op9_packing,
+                                  op10_langid)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
