@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import langid, line_dedup, packing, sharding, simhash, token_counts, toxicity
+from . import decontamination, langid, line_dedup, packing, repetition, sharding, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -25,6 +25,14 @@ def op5_token_counts(spark, sf_dir):
                                         public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_quality(spark, sf_dir):
+    return repetition.quality_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_langid(spark, sf_dir):
     return langid.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_sharding, op5_token_counts, op8_line_dedup, op9_packing,
-                                  op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_sharding, op5_token_counts, op6_quality,
+                                  op7_decontamination, op8_line_dedup, op9_packing, op10_langid)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
