@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, langid, line_dedup, packing, repetition, sharding, simhash, token_counts, toxicity
+from . import decontamination, langid, line_dedup, packing, repetition, sharding, simhash, token_counts, toxicity, warc
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.resolve_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_langid(spark, sf_dir):
     return langid.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_sharding, op5_token_counts, op6_quality,
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_sharding, op5_token_counts, op6_quality,
                                   op7_decontamination, op8_line_dedup, op9_packing, op10_langid)}
 
-ORACLE_SQL = {"op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
+ORACLE_SQL = {"op3_warc": warc.WARC_SQL, "op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
