@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import prepare
 
@@ -244,21 +246,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, id
     searched once. The benchmark is taken in blocks of about four million
     characters, each with one pass over the documents. Whole texts are searched.
     """
-    spark = prepare(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
-    kinds = dict(kept.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    item_type = items.schema["item_id"].dataType
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_chars int, end long"
+    item_type = benchmark.schema[item_id].dataType
+    schema = T.StructType([kept.schema["doc_id"], T.StructField("item_id", item_type), T.StructField("distance", T.IntegerType()),
+                           T.StructField("item_chars", T.IntegerType()), T.StructField("end", T.LongType())])
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], error))
-
+    for index in _blocks(docs, benchmark, error, item_id, item_text):
         def run(batches, index=index):
-            from pyspark.sql.pandas.types import to_arrow_type
             known = index.value
             for b in batches:
                 rows = [(row, i, d, len(known.items[item]), end) for row, item, d, end in
@@ -272,3 +266,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, id
         found = kept.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, error: float, item_id: str, item_text: str):
+    """Broadcast indexes of the benchmark's blocks; each has about ``BLOCK_CHARS`` characters."""
+    spark = prepare(docs.sparkSession)
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = -(-chars // BLOCK_CHARS) or 1
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        yield spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], error))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, text_col: str = "text",
+                         item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that hold no benchmark item (see ``contaminated``)."""
+    at = docs.columns.index(text_col)
+    for index in _blocks(docs, benchmark, error, item_id, item_text):
+        def run(batches, index=index):
+            for b in batches:
+                hit = {row for row, *_ in matches(index.value, b.column(at).to_pylist())}
+                yield b.filter(pa.array([row not in hit for row in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, prepare, sample_rank
 
@@ -24,6 +25,8 @@ from .common import held_out, prepare, sample_rank
 PROFILE = 300
 #: Documents that each language's profile is learned from, at most.
 SAMPLE_PER_LANGUAGE = 2000
+#: A text with a lower score is unlike every language that was learned.
+LEAST_SCORE = 0.2
 #: Characters taken at a time, so that a very long text needs bounded memory.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -165,7 +168,6 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text",
     does when no language was learned. All other columns pass through as they
     are; they must not have the two result names.
     """
-    from pyspark.sql import types as T
     spark = prepare(docs.sparkSession)
     known = spark.sparkContext.broadcast(profiles)
     at = docs.columns.index(text_col)
@@ -181,6 +183,21 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text",
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a language with at least this score.
+    Rejected are null texts, texts without letters, and texts unlike all languages."""
+    spark = prepare(docs.sparkSession)
+    known = spark.sparkContext.broadcast(profiles)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            found = (known.value.predict(t.as_py()) for t in b.column(at))
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     """Learn from the learnable rows of ``docs`` and predict every row."""
     found = identify(docs.select("doc_id", "text"), learn(docs))

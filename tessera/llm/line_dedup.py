@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, utf8
 
 WINDOW = 3
 
@@ -48,34 +48,34 @@ def covered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with the repeated passages taken out of the text.
-
-    Adds the columns ``_n_lines`` and ``_covered`` (removed positions, null if
-    none). Lines are compared exactly and blank lines count as lines. A text of
-    fewer than three lines has no window and stays. A null text stays null.
-    Rows that agree in id and text are one occurrence and are treated alike;
-    rows of one id with different texts are different documents, ordered by a
-    hash of the text. Null ids come first. A text that loses all lines becomes
-    empty.
+    """Every row of ``docs`` as ``row`` (a struct of its columns, with the repeated passages
+    taken out of the text), ``n_lines`` and ``n_removed``.
+
+    Lines are compared exactly and blank lines count as lines. A text of fewer
+    than three lines has no window and stays. A null text stays null and has one
+    line. Rows that agree in id and text are one occurrence and are treated
+    alike; rows of one id with different texts are different documents, ordered
+    by a hash of the text. Null ids come first. A text that loses all lines
+    becomes empty.
     """
     prepare(docs.sparkSession)
-    hit = covered_positions(docs, id_col, text_col).select(
-        F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("covered").alias("_covered"))
-    joined = docs.join(hit, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_key")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
-    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
-    return (joined.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)))
-            .withColumn(text_col, text).drop("_doc", "_key"))
+    hit = covered_positions(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row").getField(text_col)
+    joined = rows.join(hit, F.col("row").getField(id_col).eqNullSafe(F.col("doc"))
+                       & (F.xxhash64(text) == F.col("text_key")), "left")
+    lines = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
+    left = F.when(F.col("covered").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
+    return joined.select(F.col("row").withField(text_col, left).alias("row"),
+                         F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(1)).cast("long").alias("n_lines"),
+                         F.coalesce(F.when(F.col("covered").isNotNull(), F.size("covered")), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """Per document: number of lines, of removed lines, and the checksum of the text that stays."""
     return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id", F.greatest("_n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size("_covered"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
-        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+        "row.doc_id", "n_lines", "n_removed", F.md5(utf8(F.col("row.text"))).alias("text_md5"))
 
 
 LINE_DEDUP_SQL = r"""

@@ -182,3 +182,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, unchanged, less near duplicates: one row of each component stays.
+
+    It is the row with the least id; null ids come last, and among equal ids the
+    first row stays. So repeated rows leave one row.
+    """
+    prepare(docs.sparkSession)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("n"),
+                              F.struct(*[docs[c] for c in docs.columns]).alias("row")), "numbered")
+    slim = rows.select("n", F.col("row").getField(id_col).alias("id"))
+    groups = near_duplicates(rows.select("n", F.col("row").getField(text_col).alias("text")), "n", "text", shingle, radius)
+    first = (groups.select(F.col("doc_id").alias("n"), "component_id").join(slim, "n").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n")).alias("first")))
+    return rows.join(first.select("first.n"), "n", "left_semi").select("row.*")
