@@ -97,7 +97,7 @@ class TokenCounter:
                         keys += words[1:]
             yield keys, part.count("\n")
 
-    def _learn(self, keys) -> None:
+    def _learn(self, keys: list[str]) -> None:
         known = self.known
         new = list({k for k in keys if k not in known})
         if not new:
@@ -125,7 +125,7 @@ class TokenCounter:
         return out
 
     def _add(self, group, out) -> None:
-        self._learn(itertools.chain.from_iterable(keys for _, keys in group))
+        self._learn(list(itertools.chain.from_iterable(keys for _, keys in group)))
         get = self.known.__getitem__
         for k, keys in group:
             out[k] += sum(map(get, keys))
