@@ -1,8 +1,9 @@
 """Toxicity scores from a character n-gram linear classifier with naive Bayes features.
 
-Features are the presence of hashed character n-grams. Each is scaled by the log
-ratio of its naive Bayes probabilities in toxic and other texts, and a logistic
-regression is fitted on the scaled features (Wang and Manning, 2012).
+Features are how often hashed character n-grams occur in a text per thousand
+characters, so that long texts don't gather weight by chance. Each is scaled by
+the log ratio of its naive Bayes probabilities in toxic and other texts, and a
+logistic regression is fitted on the scaled features (Wang and Manning, 2012).
 """
 
 from __future__ import annotations
@@ -19,41 +20,52 @@ from pyspark.sql import functions as F
 from .common import held_out, prepare, sample_rank, stored
 from .langid import letters
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 #: Hash buckets of the n-grams, as a power of two.
 HASH_BITS = 22
 #: Labelled documents of each class that are learned from, features that are kept, at most.
 SAMPLE_PER_CLASS, FEATURES = 4000, 20_000
 THRESHOLD = 0.3
+#: Frequencies of shorter texts are taken as if they had so many characters.
+LEAST_CHARS = 100
 #: Characters that are taken at a time.
 SLICE = 1 << 20
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points in lower case between two spaces."""
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
 def _buckets(points: np.ndarray):
     """For each n-gram size: the bucket of the n-gram that starts at each position."""
     c = np.where(letters()[points], points, 32).astype(np.uint64)
     code, n = c, 1
     for size in SIZES:
         while n < size:
-            code = code[: max(len(c) - n, 0)] * np.uint64(0x100000001B3) + c[n:]
+            code = code[:-1] * np.uint64(0x100000001B3) + c[n:]
             n += 1
         yield size, ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def _slices(points: np.ndarray):
+    """The buckets of a text, a slice at a time; each n-gram is in one slice."""
+    for start in range(0, len(points), SLICE):
+        for _, found in _buckets(points[start:start + SLICE + max(SIZES) - 1]):
+            yield found[:SLICE]
 
 
-def _pieces(text: str):
-    """Slices of a text that overlap so that each n-gram lies in one of them."""
-    for start in range(0, max(len(text), 1), SLICE):
-        yield text[start:start + SLICE + max(SIZES) - 1]
+def _scale(points: np.ndarray) -> float:
+    return 1000 / max(len(points), LEAST_CHARS)
 
 
-def text_buckets(text: str | None) -> np.ndarray:
-    """The distinct buckets of a whole text."""
-    found = [np.unique(np.concatenate([b for _, b in _buckets(_points(p))])) for p in _pieces(text or "")]
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+def text_frequencies(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a whole text and their frequencies per thousand characters."""
+    points = _points(text or "")
+    found = [np.unique(x, return_counts=True) for x in _slices(points)]
+    buckets, back = np.unique(np.concatenate([b for b, _ in found]), return_inverse=True)
+    counts = np.bincount(back, weights=np.concatenate([c for _, c in found]), minlength=len(buckets))
+    return buckets, counts * _scale(points)
 
 
 @dataclass
@@ -69,34 +81,34 @@ class Model:
 
     def scores(self, texts: list[str | None], table: np.ndarray) -> np.ndarray:
         """Probability of the toxic class of each whole text."""
-        total = np.full(len(texts), self.intercept)
+        total = np.zeros(len(texts))
         group: list[tuple[int, np.ndarray]] = []
         size = 0
         for k, text in enumerate(texts):
-            if text and len(text) > SLICE:
-                total[k] += table[text_buckets(text)].sum(dtype=np.float64)
-            elif text:
-                group.append((k, _points(text)))
-                size += len(text)
+            points = _points(text or "")
+            if len(points) > SLICE:
+                total[k] = sum(table[x].sum(dtype=np.float64) for x in _slices(points)) * _scale(points)
+            else:
+                group.append((k, points))
+                size += len(points)
                 if size > SLICE:
                     self._add(group, table, total)
                     group, size = [], 0
         self._add(group, table, total)
-        return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+        return 1 / (1 + np.exp(-np.clip(total + self.intercept, -700, 700)))
 
     def _add(self, group: list, table: np.ndarray, total: np.ndarray) -> None:
-        """Add the weights of the distinct buckets of each text of a group."""
+        """Set the weighted sums of several texts that are taken together."""
         if not group:
             return
-        ends, hits = np.cumsum([len(p) for _, p in group]), []
+        ends = np.cumsum([len(p) for _, p in group])
+        sums = np.zeros(len(group))
         for size, found in _buckets(np.concatenate([p for _, p in group])):
             at = np.flatnonzero(table[found])
             row = np.searchsorted(ends, at, side="right")
             inside = at + size <= ends[row]
-            hits.append(row[inside] << HASH_BITS | found[at[inside]])
-        each = np.unique(np.concatenate(hits))
-        weight = table[each & ((1 << HASH_BITS) - 1)].astype(np.float64)
-        np.add.at(total, np.array([k for k, _ in group])[each >> HASH_BITS], weight)
+            sums += np.bincount(row[inside], weights=table[found[at[inside]]], minlength=len(group))
+        total[[k for k, _ in group]] = sums * [_scale(p) for _, p in group]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, features: int = FEATURES,
@@ -123,33 +135,34 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, fe
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
+                found = [text_frequencies(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), pa.array([text_buckets(t).astype(np.int32) for t in
-                                                     part.column("text").to_pylist()], pa.list_(pa.int32()))],
-                    ["label", "buckets"])
+                    [part.column("label"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())),
+                     pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
+                    ["label", "buckets", "frequencies"])
 
-    def frequencies(batches):
-        count = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
+    def sums(batches):
+        total = np.zeros((2, 1 << HASH_BITS), dtype=np.float32)
         for b in batches:
-            for label, found in zip(b.column("label").to_pylist(), b.column("buckets"), strict=True):
-                count[label, found.values.to_numpy()] += 1
-        at = np.flatnonzero(count.any(axis=0))
+            for label, x, f in zip(b.column("label").to_pylist(), b.column("buckets"), b.column("frequencies"), strict=True):
+                total[label, x.values.to_numpy()] += f.values.to_numpy()
+        at = np.flatnonzero(total.any(axis=0))
         for k in range(0, len(at), 1 << 16):
             own = at[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(c[own].astype(np.int64)) for c in count)],
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(t[own].astype(np.float64)) for t in total)],
                                              ["bucket", "clean", "toxic"])
 
-    sample_rows = stored(texts.mapInArrow(bags, "label int, buckets array<int>"), "toxicity")
-    sizes = {r["label"]: r["count"] for r in sample_rows.groupBy("label").count().collect()}
-    empty = np.empty(0, np.int64)
+    rows = stored(texts.mapInArrow(bags, "label int, buckets array<int>, frequencies array<float>"), "toxicity")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        return Model(empty, empty.astype(np.float32), 700.0 if 1 in sizes else -700.0)
-    df = stored(sample_rows.mapInArrow(frequencies, "bucket int, clean long, toxic long")
-                .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "frequencies")
-    clean, toxic = df.agg(F.sum(F.col("clean") + 1), F.sum(F.col("toxic") + 1)).first()
-    ratio = F.log((F.col("toxic") + 1) / F.lit(float(toxic))) - F.log((F.col("clean") + 1) / F.lit(float(clean)))
-    surprise = F.abs(ratio) / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
-    top = (df.select("bucket", ratio.alias("ratio"), surprise.alias("z"))
+        return Model(np.empty(0, np.int64), np.empty(0, np.float32), 700.0 if 1 in sizes else -700.0)
+    table = stored(rows.mapInArrow(sums, "bucket int, clean double, toxic double")
+                   .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "frequencies")
+    all_clean, all_toxic = table.agg(F.sum(F.col("clean") + 1), F.sum(F.col("toxic") + 1)).first()
+    clean, toxic = F.col("clean") + 1, F.col("toxic") + 1
+    ratio = F.log(toxic / F.lit(float(all_toxic))) - F.log(clean / F.lit(float(all_clean)))
+    surprise = F.abs(ratio) / F.sqrt(1 / toxic + 1 / clean)
+    top = (table.select("bucket", ratio.alias("ratio"), surprise.alias("z"))
            .orderBy(F.desc("z"), "bucket").limit(features).collect())
     chosen = sorted((r["bucket"], r["ratio"]) for r in top)
     buckets = np.array([b for b, _ in chosen], dtype=np.int64)
@@ -157,20 +170,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, fe
     shared = spark.sparkContext.broadcast((buckets, ratios))
 
     @F.udf(VectorUDT())
-    def scaled(found):
+    def scaled(found, frequencies):
         own, r = shared.value
-        at = np.flatnonzero(np.isin(own, found, kind="sort"))
-        return Vectors.sparse(len(own), at, r[at])
+        _, at, of = np.intersect1d(own, found, assume_unique=True, return_indices=True)
+        return Vectors.sparse(len(own), at, r[at] * np.array(frequencies)[of])
 
-    rows = sample_rows.select(F.col("label").cast("double").alias("label"), scaled("buckets").alias("features"))
-    fit = LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(rows)
+    scaled_rows = rows.select(F.col("label").cast("double").alias("label"), scaled("buckets", "frequencies").alias("features"))
+    fit = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(scaled_rows)
     return Model(buckets, (fit.coefficients.toArray() * ratios).astype(np.float32), float(fit.intercept))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher if more likely toxic) of every row.
-    Whole texts are scored; a null text counts as empty and gets the model's prior.
-    Repeated rows get equal scores, and other columns are ignored."""
+    Whole texts are scored; a null text counts as empty. Repeated rows get equal
+    scores, and other columns are ignored."""
     spark = prepare(docs.sparkSession)
     known = spark.sparkContext.broadcast(model)
 

@@ -27,26 +27,28 @@ def test_held_out_accuracy(spark):
     assert (said & true).sum() / true.sum() > 0.9 and (said & ~true & 1).sum() / (1 - true).sum() < 0.02
 
 
-def test_buckets_do_not_depend_on_slices(monkeypatch):
+def test_frequencies_do_not_depend_on_slices(monkeypatch):
     texts = ["", "ab", "abcd", "Ünï cödé 漢字 text!", "x" * 300 + " idiot " + "y" * 99]
-    want = [toxicity.text_buckets(t) for t in texts]
+    want = [toxicity.text_frequencies(t) for t in texts]
     monkeypatch.setattr(toxicity, "SLICE", 4)
-    for t, w in zip(texts, want):
-        assert (toxicity.text_buckets(t) == w).all()
+    for t, (buckets, f) in zip(texts, want):
+        got = toxicity.text_frequencies(t)
+        assert (got[0] == buckets).all() and np.allclose(got[1], f)
+    grams = sum(len(f" {texts[3]} ") - n + 1 for n in toxicity.SIZES)
+    assert abs(want[3][1].sum() - grams * 10) < 1e-6  # per thousand of at least a hundred characters
 
 
 def test_scores_match_plain_sum(monkeypatch):
     rng = np.random.default_rng(1)
     buckets = np.unique(rng.integers(0, 1 << toxicity.HASH_BITS, 300_000))
-    model = toxicity.Model(buckets, rng.normal(size=len(buckets)).astype(np.float32) / 50, -0.5)
+    model = toxicity.Model(buckets, rng.normal(size=len(buckets)).astype(np.float32) / 500, -0.5)
     table = model.table()
     texts = [t for _, t in made(30, 5)[0]] + [None, "", "é", "long one " * 400]
     for size in (1 << 20, 50):
-        got = model.scores(texts, table)
-        for t, s in zip(texts, got):
-            z = -0.5 + table[toxicity.text_buckets(t)].sum(dtype=np.float64) if t else -0.5
-            assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
-        monkeypatch.setattr(toxicity, "SLICE", size // 20)
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        for t, s in zip(texts, model.scores(texts, table)):
+            x, f = toxicity.text_frequencies(t)
+            assert abs(s - 1 / (1 + np.exp(0.5 - (table[x] * f).sum(dtype=np.float64)))) < 1e-6
 
 
 def test_learns_only_allowed_rows_and_handles_odd_rows(spark):
