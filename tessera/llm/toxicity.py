@@ -131,28 +131,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, fe
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .join(F.broadcast(taken), "id").select("label", "text"))
 
-    def bags(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                found = [text_frequencies(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())),
-                     pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
-                    ["label", "buckets", "frequencies"])
-
     def sums(batches):
         total = np.zeros((2, 1 << HASH_BITS), dtype=np.float32)
         for b in batches:
-            for label, x, f in zip(b.column("label").to_pylist(), b.column("buckets"), b.column("frequencies"), strict=True):
-                total[label, x.values.to_numpy()] += f.values.to_numpy()
+            for label, text in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
+                x, f = text_frequencies(text.as_py())
+                total[label, x] += f
         at = np.flatnonzero(total.any(axis=0))
         for k in range(0, len(at), 1 << 16):
             own = at[k:k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(t[own].astype(np.float64)) for t in total)],
                                              ["bucket", "clean", "toxic"])
 
-    rows = stored(texts.mapInArrow(bags, "label int, buckets array<int>, frequencies array<float>"), "toxicity")
+    rows = stored(texts, "toxicity")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), 700.0 if 1 in sizes else -700.0)
@@ -169,13 +160,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, fe
     ratios = np.array([r for _, r in chosen])
     shared = spark.sparkContext.broadcast((buckets, ratios))
 
-    @F.udf(VectorUDT())
-    def scaled(found, frequencies):
+    def chosen_frequencies(batches):
         own, r = shared.value
-        _, at, of = np.intersect1d(own, found, assume_unique=True, return_indices=True)
-        return Vectors.sparse(len(own), at, r[at] * np.array(frequencies)[of])
+        for b in batches:
+            for label, text in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
+                x, f = text_frequencies(text.as_py())
+                _, at, of = np.intersect1d(own, x, assume_unique=True, return_indices=True)
+                yield pa.RecordBatch.from_pydict({"label": [float(label)], "at": [at.astype(np.int32)], "value": [r[at] * f[of]]})
+
+    size = len(buckets)
+    vector = F.udf(lambda at, value: Vectors.sparse(size, at, value), VectorUDT())
 
-    scaled_rows = rows.select(F.col("label").cast("double").alias("label"), scaled("buckets", "frequencies").alias("features"))
+    picked = stored(rows.mapInArrow(chosen_frequencies, "label double, at array<int>, value array<double>"), "features")
+    scaled_rows = picked.select("label", vector("at", "value").alias("features"))
     fit = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(scaled_rows)
     return Model(buckets, (fit.coefficients.toArray() * ratios).astype(np.float32), float(fit.intercept))
 
