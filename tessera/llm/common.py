@@ -46,9 +46,19 @@ def held_out(id_col: str) -> Column:
     return F.crc32(utf8(F.col(id_col).cast("string"))) % 4 == 2
 
 
-def sample_rank(id_col: str, seed: int) -> list[Column]:
-    """Order by which bounded training samples are taken: pseudo-random, the same in every run."""
-    return [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
+def bounded_sample(df: DataFrame, group: str, id_col: str, size: int, seed: int) -> DataFrame:
+    """At most ``size`` rows of each group, pseudo-random by the id and the same in every run.
+
+    Groups are classes or languages, so their counts are a few rows. Of a large
+    group only about twice as many rows as needed, those with the least hashes,
+    go on to the exact cut; no task gets a whole group.
+    """
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1) / float(1 << 63)
+    near = (df.join(F.broadcast(counts), group).withColumn("_draw", draw)
+            .where(F.col("_draw") <= 2.0 * size / F.col("_n") + 1e-9))
+    by = Window.partitionBy(group).orderBy("_draw", id_col)
+    return near.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= size).drop("_n", "_k")
 
 
 def number_within(df: DataFrame, groups: list[str], salt: Column, order: list[Column],

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, prepare, sample_rank
+from .common import bounded_sample, held_out, prepare
 
 #: n-grams of a profile.
 PROFILE = 300
@@ -123,11 +123,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, size: int = PROFIL
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
         .where(F.col("lang").isNotNull() & ~held_out("id"))
-    order = sample_rank("id", seed)
-    by = Window.partitionBy("lang").orderBy(*order)
-    last = (own.select("lang", "id", order[0].alias("h"), F.row_number().over(by).alias("k"))
-            .where(F.col("k") <= sample).groupBy("lang").agg(F.max("h").alias("last")))
-    taken = own.join(F.broadcast(last), "lang").where(order[0] <= F.col("last")).select("lang", "text")
+    # at most ``sample`` ids of each language, so small enough to broadcast
+    drawn = (bounded_sample(own.select("lang", "id"), "lang", "id", sample, seed)
+             .select(F.col("lang").alias("_lang"), F.col("id").alias("_id")).distinct())
+    taken = own.join(F.broadcast(drawn), (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id")),
+                     "left_semi").select("lang", "text")
 
     def count(batches):
         held: dict[str, list] = {}

@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare, sample_rank, stored
+from .common import bounded_sample, held_out, prepare, stored
 from .langid import letters
 
 SIZES = (3, 4, 5, 6)
@@ -125,9 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, fe
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
               .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id"))
               .groupBy("id").agg(F.max("label").alias("label")))
-    by = Window.partitionBy("label").orderBy(*sample_rank("id", seed))
     # at most ``sample`` ids of either class, so small enough to broadcast
-    taken = marked.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample).select("id", "label")
+    taken = bounded_sample(marked, "label", "id", sample, seed).select("id", "label")
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .join(F.broadcast(taken), "id").select("label", "text"))
 
