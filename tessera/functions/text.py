@@ -19,6 +19,11 @@ def normalize_ws(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), UNICODE_WS, " "))
 
 
+def strip_ws(c) -> Column:
+    """Remove all white space (Unicode's too, and the byte order mark) from both ends."""
+    return F.regexp_replace(_c(c), r"^[\s\x{FEFF}\x85\p{Z}]+|[\s\x{FEFF}\x85\p{Z}]+$", "")
+
+
 def join_pages(pages) -> Column:
     """Join an array of page texts with newlines; a null page becomes ''."""
     return F.array_join(F.transform(_c(pages), lambda p: F.coalesce(p, F.lit(""))), "\n")
@@ -27,7 +32,7 @@ def join_pages(pages) -> Column:
 def chat_title(text, ts=None, max_len: int = 50) -> Column:
     """First ``max_len`` characters of the trimmed text, plus '...' when longer;
     empty text gives 'New Chat <ts>' (``ts`` formatted yyyy-MM-dd HH:mm:ss)."""
-    t = F.trim(_c(text))
+    t = strip_ws(_c(text))
     cut = F.when(F.length(t) > max_len, F.concat(F.substring(t, 1, max_len), F.lit("..."))).otherwise(t)
     empty = F.concat(F.lit("New Chat "), F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")) \
         if ts is not None else F.lit("New Chat")

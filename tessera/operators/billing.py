@@ -15,7 +15,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from .joins import join_small
 
 OUTPUT = ["endpoint_id", "endpoint_name", "app_id", "app_name", "sku_name", "usage_date",
           "serving_type", "usage_type", "billing_origin_product", "usage_quantity", "run_as",
@@ -59,7 +58,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame, workspace: str | None = None
                | (F.col("u.usage_end_time") < F.col("p.price_end_time"))))
     # A list price table is small next to usage; it is broadcast only after its
     # size is checked, otherwise the equi key drives a sort-merge join.
-    joined = join_small(u, p, cond, "left" if keep_unpriced else "inner")
+    joined = u.join(p, cond, "left" if keep_unpriced else "inner")
     cols = [F.col(c) for c in OUTPUT[:-1]]
     cols.append((F.col("usage_quantity") * F.col("list_price")).cast("decimal(38,4)").alias("cost"))
     if workspace is None:

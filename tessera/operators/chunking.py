@@ -86,15 +86,17 @@ def extract_text(files: DataFrame, extractor: Callable[[bytes], list[str | None]
     Pages are joined with newlines (a missing page counts as ''). A document the
     extractor cannot read gets ``error`` set and ``text`` null, instead of
     failing the job; split it off with :func:`split_quarantine`. Null content
-    gives null text and no error (no chunks later).
+    gives null text (no chunks later) and the error that the scan may have set.
     """
+    known = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, errors = [], []
-            for blob in pdf[content_col]:
+            for blob, error in zip(pdf[content_col], pdf["_error"]):
                 if blob is None:
                     texts.append(None)
-                    errors.append(None)
+                    errors.append(error)
                     continue
                 try:
                     pages = extractor(bytes(blob))
@@ -105,7 +107,7 @@ def extract_text(files: DataFrame, extractor: Callable[[bytes], list[str | None]
                     errors.append(f"Error parsing document: {ex}")
             yield pd.DataFrame({"path": pdf[path_col], "text": texts, "error": errors})
 
-    return files.select(path_col, content_col).mapInPandas(run, EXTRACT_SCHEMA)
+    return files.select(path_col, content_col, known.alias("_error")).mapInPandas(run, EXTRACT_SCHEMA)
 
 
 def split_quarantine(df: DataFrame, error_col: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import pct_truncated
-from .joins import join_small
 
 
 def daily_change(px: DataFrame) -> DataFrame:
@@ -57,5 +56,5 @@ def growth_with_close(fin: DataFrame, px: DataFrame, companies: DataFrame | None
     closes = px.select("ticker", F.col("date").alias("period_end"), "close")
     out = lead.join(closes, ["ticker", "period_end"], "inner")
     if companies is not None:
-        out = join_small(out, companies.select("ticker", "name", "sector"), "ticker", "left")
+        out = out.join(companies.select("ticker", "name", "sector"), "ticker", "left")
     return out

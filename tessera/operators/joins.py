@@ -1,40 +1,8 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Join helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-# Largest row count we ship to every executor. A lookup table under this bound
-# is broadcast; above it the join falls back to a shuffle join (sort-merge, with
-# AQE splitting skewed partitions).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Runs one bounded job: the scan stops after ``max_rows + 1`` rows, so the
-    check costs at most that much however big the table is.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a side expected to be small.
-
-    The small side is broadcast only after its row count is checked against
-    ``max_rows``; otherwise Spark picks a shuffle join.
-    """
-    if fits_broadcast(small, max_rows):
-        small = F.broadcast(small)
-    return big.join(small, on, how)
-
-
-def bounded_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join with a lookup whose size is fixed by construction (enums, code lists)."""
-    return df.join(F.broadcast(lookup), on, how)
-
+from pyspark.sql import Column, functions as F
 
 def null_safe_equal(left: list[Column], right: list[Column]) -> Column:
     cond = F.lit(True)

@@ -19,10 +19,9 @@ G6 optionally keep the last two groups (only when more than two exist).
 G8 a pluggable model scores the collapsed conversation.
 G10 verdict: flagged -> reject + reason, error -> reject + message, else proceed.
 
-Run detection uses distributed positions (gaps and islands over
-:func:`~tessera.operators.ordering.position_in_group`), not a window per
-conversation, so a conversation holding a large share of all messages is
-still processed by many tasks; per-conversation facts (error flag, group
+Run detection uses :func:`~tessera.operators.ordering.runs` (a segmented scan
+over range partitions), not a window per conversation, so a conversation
+holding a large share of all messages is still processed by many tasks; per-conversation facts (error flag, group
 count, order check) are partial aggregations joined back.
 """
 
@@ -38,6 +37,7 @@ MISSING_MESSAGES = 'Missing key "messages" in request: {request}.'
 MISSING_CONTENT = 'Missing key "content" in "messages": {request}.'
 MISSING_ROLE = 'Missing key "role" in "messages": {request}.'
 INVALID_CONTENT = 'Invalid value type for "content": '
+INVALID_MESSAGES = 'Invalid value type for "messages": '  # our text: there the loop over it fails
 ORDER_ERROR = ("Conversation roles must begin with either user role or a system role "
                "followed by a user role.")
 REJECT_PREFIX = "Rejected due to following safety assessment: "
@@ -47,81 +47,83 @@ PARSE_PREFIX = "Couldn't parse model input: "
 
 def explode_requests(requests: DataFrame, id_col: str = "conv_id",
                      request_col: str = "request") -> DataFrame:
-    """Request rows -> message rows ``(conv_id, pos, message, request_error)``.
-
-    A request without ``messages`` yields one row with ``pos`` -1, a null message
-    and ``request_error`` set; a request that is not a JSON object is reported
-    with the parse prefix.
+    """Request rows -> message rows ``(conv_id, pos, message, request_error, parse_error)``.
+
+    Every request gives at least one row. A request that is not a JSON object,
+    or one without ``messages``, gives one row with a null message and
+    ``request_error`` set (``parse_error`` true for the former), and so does one
+    whose ``messages`` is null or no list. An empty list gives one row with a
+    null message and no error: nothing is left to moderate, and the model
+    decides on an empty conversation.
     """
-    v = F.expr(f"try_parse_json({request_col})")
-    base = requests.select(F.col(id_col).alias("conv_id"), v.alias("_v"), F.col(request_col).alias("_raw"))
-    kind = F.expr("schema_of_variant(_v)")
-    has_msgs = F.expr("variant_get(_v, '$.messages') IS NOT NULL")
-    bad = base.filter(~F.coalesce(kind.startswith("OBJECT") & has_msgs, F.lit(False))).select(
-        "conv_id", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("message"),
-        F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.lit(MISSING_MESSAGES))
-         .otherwise(F.concat(F.lit(PARSE_PREFIX), F.col("_raw"))).alias("request_error"))
-    good = (base.filter(kind.startswith("OBJECT") & has_msgs)
-            .select("conv_id", F.posexplode(F.expr("cast(variant_get(_v, '$.messages') AS array<variant>)"))
-                    .alias("pos", "_m"))
-            .select("conv_id", F.col("pos").cast("long").alias("pos"),
-                    F.expr("to_json(_m)").alias("message"),
-                    F.lit(None).cast("string").alias("request_error")))
-    return good.unionByName(bad)
+    v = requests.select(F.col(id_col).alias("conv_id"), F.expr(f"try_parse_json({request_col})").alias("_v"),
+                        F.col(request_col).alias("_raw"))
+    is_object = F.coalesce(F.expr("schema_of_variant(_v)").startswith("OBJECT"), F.lit(False))
+    present = F.expr("try_variant_get(_v, '$.messages') IS NOT NULL")
+    kind = F.expr("schema_of_variant(try_variant_get(_v, '$.messages'))")
+    is_list = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+    error = (F.when(~is_object, F.concat(F.lit(PARSE_PREFIX), F.coalesce("_raw", F.lit("None"))))
+             .when(~present, F.lit(MISSING_MESSAGES))
+             .when(~is_list, F.concat(F.lit(INVALID_MESSAGES), F.col("_raw"))))
+    listed = F.when(error.isNull(), F.expr("try_variant_get(_v, '$.messages', 'array<variant>')"))
+    return (v.select("conv_id", error.alias("request_error"), (~is_object).alias("parse_error"),
+                     F.posexplode_outer(listed).alias("pos", "_m"))
+            .select("conv_id", F.coalesce(F.col("pos").cast("long"), F.lit(-1).cast("long")).alias("pos"),
+                    F.expr("to_json(_m)").alias("message"), "request_error", "parse_error"))
 
 
 def flatten_messages(msgs: DataFrame) -> DataFrame:
-    """G1: ``(conv_id, pos, part, role, text, error, check)``.
+    """G1: ``(conv_id, pos, part, role, text, error, check, parse_error)``.
 
     Valid rows have ``error`` null; an invalid message gives one row carrying its
-    error; ``check`` orders the checks of one message (content, role, type).
+    error; ``check`` orders the checks of one message (request, content, role,
+    type, parts). Each message is parsed once and gives its rows by one generator.
     """
-    req_err = F.col("request_error") if "request_error" in msgs.columns else F.lit(None).cast("string")
+    given = set(msgs.columns)
+    req_err = F.col("request_error") if "request_error" in given else F.lit(None).cast("string")
+    parse_err = F.col("parse_error") if "parse_error" in given else F.lit(False)
     m = msgs.select("conv_id", "pos", F.expr("try_parse_json(message)").alias("_v"),
-                    F.col("message").alias("_raw"), req_err.alias("_req_err"))
-    m = (m.withColumn("_c", F.expr("variant_get(_v, '$.content')"))
-          .withColumn("_ct", F.expr("schema_of_variant(variant_get(_v, '$.content'))"))
-          .withColumn("_has_role", F.expr("variant_get(_v, '$.role') IS NOT NULL"))
-          .withColumn("role", F.expr("variant_get(_v, '$.role', 'string')")))
-    error = (F.when(F.col("_req_err").isNotNull(), F.col("_req_err"))
-             .when(F.col("_ct").isNull(), F.lit(MISSING_CONTENT))
-             .when(~F.col("_has_role"), F.lit(MISSING_ROLE))
-             .when(~((F.col("_ct") == "STRING") | F.col("_ct").startswith("ARRAY")),
-                   F.concat(F.lit(INVALID_CONTENT), F.col("_raw"))))
-    check = (F.when(F.col("_req_err").isNotNull(), 0).when(F.col("_ct").isNull(), 1).when(~F.col("_has_role"), 2).otherwise(3))
-    m = m.withColumn("error", error).withColumn("check", check)
-    out_cols = ["conv_id", "pos", "part", "role", "text", "error", "check"]
-
-    errors = m.filter(F.col("error").isNotNull()).select(
-        "conv_id", "pos", F.lit(0).alias("part"), "role", F.lit(None).cast("string").alias("text"),
-        "error", "check")
-    strings = m.filter(F.col("error").isNull() & (F.col("_ct") == "STRING")).select(
-        "conv_id", "pos", F.lit(0).alias("part"), "role",
-        F.expr("variant_get(_c, '$', 'string')").alias("text"),
-        F.lit(None).cast("string").alias("error"), F.lit(0).alias("check"))
-    parts = (m.filter(F.col("error").isNull() & F.col("_ct").startswith("ARRAY"))
-             .select("conv_id", "pos", "role",
-                     F.posexplode(F.expr("cast(_c AS array<variant>)")).alias("part", "_p"))
-             .withColumn("_type", F.expr("variant_get(_p, '$.type', 'string')"))
-             .withColumn("_has_type", F.expr("variant_get(_p, '$.type') IS NOT NULL"))
-             .withColumn("_has_text", F.expr("variant_get(_p, '$.text') IS NOT NULL")))
-    # a part without "type" fails the lookup; a text part without "text" too
-    part_error = (F.when(~F.col("_has_type"), F.lit("'type'"))
-                  .when((F.col("_type") == "text") & ~F.col("_has_text"), F.lit("'text'")))
-    parts = (parts.withColumn("error", part_error)
-             .filter(F.col("error").isNotNull() | (F.col("_type") == "text"))
-             .select("conv_id", "pos", "part", "role",
-                     F.when(F.col("error").isNull(), F.expr("variant_get(_p, '$.text', 'string')"))
-                      .alias("text"),
-                     "error", F.lit(4).alias("check")))
-    return errors.select(*out_cols).unionByName(strings.select(*out_cols)).unionByName(parts.select(*out_cols))
+                    F.col("message").alias("_raw"), req_err.alias("_req_err"), parse_err.alias("parse_error"))
+    m = (m.withColumn("_c", F.expr("try_variant_get(_v, '$.content')"))
+          .withColumn("_ct", F.expr("schema_of_variant(_c)"))
+          .withColumn("_has_role", F.expr("try_variant_get(_v, '$.role') IS NOT NULL"))
+          .withColumn("role", F.expr("try_variant_get(_v, '$.role', 'string')")))
+    # an empty request has a message row without a message: no error and nothing to moderate
+    empty = F.col("_req_err").isNull() & F.col("_raw").isNull()
+    row = "struct<part:int,text:string,error:string,check:int>"
+
+    def one(part, text, error, check):
+        return F.struct(part.cast("int").alias("part"), text.cast("string").alias("text"),
+                        error.cast("string").alias("error"), check.cast("int").alias("check"))
+
+    none, zero = F.lit(None), F.lit(0)
+    parts = F.transform(F.expr("coalesce(try_variant_get(_c, '$', 'array<variant>'), array())"), lambda p, i: one(
+        i, F.try_variant_get(p, "$.text", "string"),
+        # a part without "type" fails the lookup; a text part without "text" too
+        F.when(F.try_variant_get(p, "$.type", "string").isNull(), F.lit("'type'"))
+         .when((F.try_variant_get(p, "$.type", "string") == "text") & F.try_variant_get(p, "$.text", "string").isNull(),
+               F.lit("'text'")), F.lit(4)))
+    parts = F.filter(F.zip_with(parts, F.transform(F.expr("coalesce(try_variant_get(_c, '$', 'array<variant>'), array())"),
+                                                   lambda p: F.try_variant_get(p, "$.type", "string")),
+                                lambda x, t: F.when(x["error"].isNotNull() | (t == "text"), x)), lambda x: x.isNotNull())
+    rows = (F.when(empty, F.array().cast(f"array<{row}>"))
+            .when(F.col("_req_err").isNotNull(), F.array(one(zero, none, F.col("_req_err"), F.lit(0))))
+            .when(F.col("_ct").isNull(), F.array(one(zero, none, F.lit(MISSING_CONTENT), F.lit(1))))
+            .when(~F.col("_has_role"), F.array(one(zero, none, F.lit(MISSING_ROLE), F.lit(2))))
+            .when(F.col("_ct") == "STRING", F.array(one(zero, F.expr("try_variant_get(_c, '$', 'string')"), none, zero)))
+            .when(F.col("_ct").startswith("ARRAY"), parts)
+            .otherwise(F.array(one(zero, none, F.concat(F.lit(INVALID_CONTENT), F.col("_raw")), F.lit(3)))))
+    return (m.select("conv_id", "pos", "role", "parse_error", F.explode(rows).alias("_r"))
+            .select("conv_id", "pos", "_r.part", "role",
+                    F.when(F.col("_r.error").isNull(), F.col("_r.text")).alias("text"), "_r.error", "_r.check", "parse_error"))
 
 
 def first_errors(flat: DataFrame) -> DataFrame:
-    """First validation error per conversation ``(conv_id, error)``."""
+    """First validation error per conversation ``(conv_id, error, parse_error)``."""
     return (flat.filter(F.col("error").isNotNull())
             .groupBy("conv_id")
-            .agg(F.min_by("error", F.struct("pos", "check", "part")).alias("error")))
+            .agg(F.min_by(F.struct("error", "parse_error"), F.struct("pos", "check", "part")).alias("_e"))
+            .select("conv_id", "_e.error", "_e.parse_error"))
 
 
 def collapse_roles(flat: DataFrame, ignore_system: bool = True, errors: DataFrame | None = None) -> DataFrame:
@@ -165,14 +167,14 @@ def moderation_groups(msgs: DataFrame, ignore_system: bool = True, ignore_old: b
 
 def _order_errors(groups: DataFrame) -> DataFrame:
     return (groups.filter(F.col("valid") & ~F.col("order_ok")).groupBy("conv_id")
-            .agg(F.lit(ORDER_ERROR).alias("error")))
+            .agg(F.lit(ORDER_ERROR).alias("error"), F.lit(False).alias("parse_error")))
 
 
 def conversation_errors(msgs: DataFrame, ignore_system: bool = True) -> DataFrame:
     """``(conv_id, error)``: the first validation error, else the order error."""
     flat = flatten_messages(msgs)
     first = first_errors(flat)
-    return first.unionByName(_order_errors(collapse_roles(flat, ignore_system, first)))
+    return first.unionByName(_order_errors(collapse_roles(flat, ignore_system, first))).select("conv_id", "error")
 
 
 def keyword_guard(terms: dict[str, str]):
@@ -217,8 +219,9 @@ def verdict(msgs: DataFrame, model, ignore_system: bool = True, ignore_old: bool
         F.when(F.col("error").isNotNull() | flagged, "reject").otherwise("proceed").alias("decision"),
         F.when(F.col("error").isNull() & flagged, F.concat(F.lit(REJECT_PREFIX), F.col("reason")))
          .alias("reject_reason"),
-        F.when(F.col("error").isNotNull(), F.concat(F.lit(ERROR_PREFIX), F.col("error")))
-         .alias("reject_message"),
+        # input that is no request is reported as it is, an error of the checks with its prefix
+        F.when(F.col("parse_error"), F.col("error"))
+         .when(F.col("error").isNotNull(), F.concat(F.lit(ERROR_PREFIX), F.col("error"))).alias("reject_message"),
     )
 
 

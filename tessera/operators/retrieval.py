@@ -2,20 +2,19 @@
 rank fusion, facts JSON, change feed and index refresh, batch answers.
 
 Scale notes
-* The query set is the small side: it is size-checked before it is shipped to
-  the executors. The corpus is never joined row by row with it: each corpus
-  partition scores its vectors against all queries with one matrix product
-  and keeps only its own top-k per query, so at most k rows per query leave
-  a partition; a window group limit then takes the global top-k.
-* Keyword scoring joins query terms with the postings on the term (query
-  terms broadcast after a size check) and aggregates partial scores per
-  (query, chunk) with map-side combining.
-* Exact fusion ranks every chunk in both lists with the distributed
-  numbering of :mod:`ordering`, so no task holds a whole ranking.
+* Queries are taken in blocks of ``QUERY_BLOCK``; each block goes to the
+  executors once and any number of blocks is answered. The corpus is never
+  joined with them: each corpus partition scores a few hundred rows at a time,
+  keeps one running top-k per query and forwards at most k rows per query.
+* Document frequencies are counted for the block's terms only.
+* Exact fusion needs no ranking of all (query, chunk) pairs: see
+  :func:`hybrid_topk`.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -24,18 +23,32 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.jsonfmt import json_string
 from ..functions.text import normalize_ws, tag_speaker
-from .joins import BROADCAST_MAX_ROWS, fits_broadcast, null_safe_equal
-from .ordering import position_in_group
+from .joins import null_safe_equal
 
 NUM_RESULTS = 2        # hits per search
 RRF_K = 60             # reciprocal rank fusion constant
 BM25_K1, BM25_B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-MAX_QUERIES = 100_000  # queries shipped to every executor for vector scoring
+QUERY_BLOCK = 2048     # queries that are scored together
+SLICE_ROWS = 512       # corpus rows that are scored at a time
 
 
 # ---------------------------------------------------------------- embeddings
 
+def bucket_counts(texts: list[str], dim: int = 256) -> np.ndarray:
+    """An embedding without a model: how often each hash bucket has a token of the
+    text. A token's bucket is the first 32 bits of its MD5, modulo ``dim``."""
+    out = np.zeros((len(texts), dim), dtype=np.float32)
+    known: dict[str, int] = {}
+    for row, text in enumerate(texts):
+        for t in re.split(r"[\W_]+", text.lower()):
+            if t:
+                if t not in known:
+                    known[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                out[row, known[t]] += 1
+    return out
+
+
 def embed(df: DataFrame, text_col: str, embed_fn: Callable | None = None, dim: int = 256,
           out_col: str = "embedding", fit_on: DataFrame | None = None) -> DataFrame:
     """Add ``out_col`` (array<float>) for ``text_col``.
@@ -73,7 +86,7 @@ def apply_embedder(model, df: DataFrame, text_col: str, out_col: str = "embeddin
             .drop("_etext", "_tok", "_tf", "_idf", "_vec"))
 
 
-# ------------------------------------------------------------ vector search
+# ------------------------------------------------------------------ scoring
 
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -81,70 +94,136 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _scored_partitions(queries: DataFrame, vectors: DataFrame, keep: int | None, qid: str, qvec: str,
-                       vid: str, vvec: str, max_queries: int) -> DataFrame:
-    """Score each corpus partition against the whole (size-checked) query set
-    with one matrix product per Arrow batch. ``keep=k`` emits only the batch's
-    top-k per query (score desc, id asc); ``keep=None`` emits every score."""
-    spark = vectors.sparkSession
-    q = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v")).limit(max_queries + 1).collect()
-    if len(q) > max_queries:
-        raise ValueError(f"query set larger than {max_queries}; split it into batches")
-    id_type = vectors.schema[vid].dataType.simpleString()
-    q_type = queries.schema[qid].dataType.simpleString()
-    schema = f"{qid} {q_type}, {vid} {id_type}, score double"
-    if not q:
-        return spark.createDataFrame([], schema)
-    qids = np.array([r.q for r in q])
-    qmat = _unit(np.array([np.asarray(r.v, dtype=np.float64) for r in q]))
-    bc = spark.sparkContext.broadcast((qids, qmat))
+class DenseScorer:
+    """Cosine of corpus vectors with a block of query vectors."""
 
-    def run(batches):
-        ids_q, mat = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[vid].to_numpy()
-            m = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in pdf[vvec]]))
-            s = m @ mat.T                                   # rows: vectors, cols: queries
-            if keep is None:
-                yield pd.DataFrame({qid: np.tile(ids_q, len(ids)), vid: np.repeat(ids, len(ids_q)),
-                                    "score": s.reshape(-1)})
-                continue
-            kk = min(keep, len(ids))
-            out_q, out_id, out_s = [], [], []
-            for j in range(s.shape[1]):
-                order = np.lexsort((ids, -s[:, j]))[:kk]    # score desc, id asc
-                out_q.append(np.repeat(ids_q[j], kk))
-                out_id.append(ids[order])
-                out_s.append(s[order, j])
-            yield pd.DataFrame({qid: np.concatenate(out_q), vid: np.concatenate(out_id),
-                                "score": np.concatenate(out_s)})
-
-    return vectors.select(vid, vvec).mapInPandas(run, schema)
+    columns = ("id", "v")
 
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray):
+        self.qids, self.matrix = qids, _unit(matrix)
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = NUM_RESULTS, qid: str = "qid",
-                qvec: str = "qvec", vid: str = "id", vvec: str = "embedding",
-                max_queries: int = MAX_QUERIES) -> DataFrame:
-    """Exact cosine top-k per query: ``(qid, id, score, rank)``; ties by lower id.
+    def entries(self, part: pd.DataFrame, floor: np.ndarray):
+        """(ids, query places, scores) of the pairs with at least their query's floor."""
+        s = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in part["v"]])) @ self.matrix.T
+        row, q = np.nonzero(s >= floor[None, :])
+        return part["id"].to_numpy()[row], q, s[row, q]
 
-    The query set must have at most ``max_queries`` rows (checked); it is sent
-    once to each executor as a broadcast variable. Each partition forwards at
-    most k candidates per query; the window group limit finishes the top-k.
-    """
-    cand = _scored_partitions(queries, vectors, k, qid, qvec, vid, vvec, max_queries)
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(vid).asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+class Bm25Scorer:
+    """Okapi BM25 of tokenised chunks with a block of queries, over shared terms only."""
+
+    columns = ("id", "v")
+
+    def __init__(self, qids, vocabulary: dict, first, query, idf, mean_length: float, k1: float, b: float):
+        self.qids, self.vocabulary, self.first, self.query, self.idf = qids, vocabulary, first, query, idf
+        self.mean_length, self.k1, self.b = mean_length, k1, b
+
+    def entries(self, part: pd.DataFrame, floor: np.ndarray):
+        n_q, n_v = len(self.qids), len(self.first) - 1
+        lengths = np.array([0 if t is None else len(t) for t in part["v"]], dtype=np.int64)
+        get = self.vocabulary.get
+        terms = np.array([get(t, -1) for ts in part["v"] if ts is not None for t in ts], dtype=np.int64)
+        hit = terms >= 0
+        key, tf = np.unique(np.repeat(np.arange(len(part)), lengths)[hit] * n_v + terms[hit], return_counts=True)
+        row, v = key // n_v, key % n_v
+        weight = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[row] / self.mean_length))
+        count = self.first[v + 1] - self.first[v]
+        at = np.repeat(self.first[v], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pair, back = np.unique(np.repeat(row, count) * n_q + self.query[at], return_inverse=True)
+        s = np.bincount(back, weights=np.repeat(weight, count) * self.idf[at], minlength=len(pair))
+        good = s >= floor[pair % n_q]
+        return part["id"].to_numpy()[pair[good] // n_q], pair[good] % n_q, s[good]
+
+
+def _slices(batches):
+    for pdf in batches:
+        for lo in range(0, len(pdf), SLICE_ROWS):
+            yield pdf.iloc[lo:lo + SLICE_ROWS]
+
+
+def _round(s: np.ndarray, digits: int | None) -> np.ndarray:
+    return s if digits is None else np.round(s, digits)
+
+
+def _partition_topk(scorer, k: int, digits: int | None):
+    """One running top-k per query over a partition (score descending, id ascending)."""
+    def run(batches):
+        known = scorer.value
+        floor = np.full(len(known.qids), -np.inf)
+        held, pending = [], 0
+
+        def cut():
+            ids, q, s = (np.concatenate(x) for x in zip(*held))
+            r = _round(s, digits)
+            order = np.lexsort((ids, -r, q))
+            ids, q, s, r = ids[order], q[order], s[order], r[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            full = place == k - 1
+            # below by more than any rounding: can't be among the k any more
+            floor[q[full]] = r[full] - (0 if digits is None else 10.0 ** -digits)
+            stay = place < k
+            return [(ids[stay], q[stay], s[stay])]
+
+        for part in _slices(batches):
+            held.append(known.entries(part, floor))
+            pending += len(held[-1][0])
+            if pending > max(100_000, 4 * k * len(floor)):
+                held, pending = cut(), 0
+        if held:
+            (ids, q, s), = cut()
+            yield pd.DataFrame({"qid": known.qids[q], "doc": ids, "score": s})
+    return run
+
+
+def _block_topk(scorer, corpus: DataFrame, schema: str, k: int, digits: int | None) -> DataFrame:
+    order = [F.col("score").desc() if digits is None else F.round("score", digits).desc(), F.col("doc").asc()]
+    w = Window.partitionBy("qid").orderBy(*order)
+    return (corpus.mapInPandas(_partition_topk(scorer, k, digits), schema)
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("bigint")))
 
 
-def vector_scores(queries: DataFrame, docs: DataFrame, qid: str = "qid", qvec: str = "qvec",
-                  vid: str = "id", vvec: str = "embedding", max_queries: int = MAX_QUERIES) -> DataFrame:
-    """Cosine score of every (query, doc) as ``(qid, doc, score)``: the dense list
-    exact fusion needs. Computed partition-wise against the broadcast query set."""
-    s = _scored_partitions(queries, docs, None, qid, qvec, vid, vvec, max_queries)
-    return s.select(F.col(qid).alias("qid"), F.col(vid).alias("doc"), "score")
+def _blocks(queries: DataFrame, qid: str):
+    """The query set in blocks of about ``QUERY_BLOCK`` rows."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64(qid), F.lit(n)) == k) for k in range(n)]
+
+
+def _schema(queries: DataFrame, qid: str, docs: DataFrame, did: str) -> str:
+    return f"qid {queries.schema[qid].dataType.simpleString()}, doc {docs.schema[did].dataType.simpleString()}, score double"
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _array(values: list) -> np.ndarray:
+    """Ids as an array; strings stay objects."""
+    out = np.array(values)
+    return out.astype(object) if out.dtype.kind in "US" else out
+
+
+def _dense(block: DataFrame, docs: DataFrame, qid: str, qvec: str, vid: str, vvec: str):
+    """(broadcast scorer, corpus rows) of a query block; None for no queries."""
+    rows = block.select(F.col(qid).alias("q"), F.col(qvec).alias("v")).orderBy("q").collect()
+    if not rows:
+        return None
+    scorer = DenseScorer(_array([r.q for r in rows]), np.array([np.asarray(r.v, dtype=np.float64) for r in rows]))
+    return docs.sparkSession.sparkContext.broadcast(scorer), docs.select(F.col(vid).alias("id"), F.col(vvec).alias("v"))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = NUM_RESULTS, qid: str = "qid",
+                qvec: str = "qvec", vid: str = "id", vvec: str = "embedding") -> DataFrame:
+    """Exact cosine top-k per query: ``(qid, id, score, rank)``; ties by lower id.
+    Each partition forwards at most k rows per query."""
+    schema = _schema(queries, qid, vectors, vid)
+    parts = [_block_topk(*x, schema, k, None) for block in _blocks(queries, qid)
+             if (x := _dense(block, vectors, qid, qvec, vid, vvec))]
+    out = _union(parts) if parts else vectors.sparkSession.createDataFrame([], schema + ", rank long")
+    return out.withColumnRenamed("doc", vid).withColumnRenamed("qid", qid)
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding", out_col: str = "qvec") -> DataFrame:
@@ -162,176 +241,147 @@ def tokens(text_col: str) -> F.Column:
     return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: F.length(t) > 0)
 
 
-def corpus_postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``(doc, term, dl, tf)`` postings (a shuffle on (doc, term)); for inspection
-    and index building. Scoring does not need it: see :func:`bm25_scores`."""
-    tok = docs.select(F.col(id_col).alias("doc"), tokens(text_col).alias("_t"))
-    tok = tok.select("doc", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return tok.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
+def _bm25(block: DataFrame, docs: DataFrame, qid: str, qtext: str, id_col: str, text_col: str, k1: float, b: float):
+    """(broadcast scorer, corpus rows) of a query block; None if it has no term.
 
-def _bm25_candidates(queries: DataFrame, docs: DataFrame, keep: int | None, qid: str, qtext: str,
-                     id_col: str, text_col: str, k1: float, b: float, max_query_terms: int) -> DataFrame:
-    """BM25 scores computed where the chunks are.
-
-    Spark computes, over the whole corpus, the document frequency of the query
-    terms (distinct terms per chunk, semi-joined with the query vocabulary,
-    partially aggregated) and the corpus statistics. The query-term table
-    (size-checked) then goes to every executor; each chunk partition maps its
-    tokens to the query vocabulary, counts term frequencies and accumulates
-    all query scores of a slice of chunks in one (chunks x queries) block.
-    ``keep=k`` forwards only the slice's top-k per query (plus near-ties), so
-    no (query, chunk) pair crosses the network unless it can be in the top-k.
+    One pass over the corpus counts chunks, tokens and, for the block's terms
+    only, document frequencies: a chunk's distinct terms are joined with the
+    broadcast terms before the (partial) aggregation. The empty term stands for
+    the chunk itself and carries its length.
     """
     spark = docs.sparkSession
-    toks = docs.select(F.col(id_col).alias("doc"), tokens(text_col).alias("toks"))
-    qterms = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    qt = qterms.limit(max_query_terms + 1).collect()
-    if len(qt) > max_query_terms:
-        raise ValueError(f"more than {max_query_terms} query terms; split the query set")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    q_type = queries.schema[qid].dataType.simpleString()
-    schema = f"qid {q_type}, doc {id_type}, score double"
+    toks = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("v"))
+    qt = block.select(F.col(qid).alias("q"), F.explode(F.array_distinct(tokens(qtext))).alias("t")).orderBy("q", "t").collect()
     if not qt:
-        return spark.createDataFrame([], schema)
-    terms = sorted({r.term for r in qt})
-    vocab = spark.createDataFrame([(t,) for t in terms], "term string")
-    # one pass: per chunk, a sentinel row (term null) carrying its length plus one
-    # row per distinct term; partial aggregation by term, then keep the query
-    # vocabulary (and the sentinel group) only
-    rows = toks.select(F.explode(F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("toks").cast("long").alias("dl"))),
-        F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
-    )).alias("r")).select("r.*")
-    agg = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
-    wanted = agg.join(F.broadcast(vocab.withColumn("_v", F.lit(True))), "term", "left")
-    got = wanted.filter(F.col("term").isNull() | F.col("_v")).collect()
-    n_docs, total_dl, dfreq = 0, 0, {}
-    for r in got:
-        if r.term is None:
-            n_docs, total_dl = r.n, r.dl
-        else:
-            dfreq[r.term] = r.n
-    avgdl = total_dl / n_docs if n_docs else 0.0
-    # query-term matrix in CSR form: vocabulary id -> (query index, idf)
-    vid = {t: i for i, t in enumerate(terms)}
-    qids = sorted({r.qid for r in qt})
-    qix = {q: i for i, q in enumerate(qids)}
-    by_term: dict[int, list[tuple[int, float]]] = {}
+        return None
+    terms = sorted({r.t for r in qt})
+    vocabulary = {t: i for i, t in enumerate(terms)}
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in ["", *terms]], "term string"))
+    lengths = F.struct(F.lit("").alias("term"), F.size("v").cast("long").alias("dl"))
+    found = {r.term: r for r in
+             toks.select(F.explode(F.concat(F.array(lengths), F.transform(
+                 F.array_distinct("v"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl"))))).alias("r"))
+             .select("r.*").join(wanted, "term").groupBy("term")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()}
+    n_docs, total = (found[""].n, found[""].dl) if "" in found else (0, 0)
+    qids = _array(list(dict.fromkeys(r.q for r in qt)))
+    place = {q: i for i, q in enumerate(qids)}
+    by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
     for r in qt:
-        df = dfreq.get(r.term, 0)
-        if df:
-            idf = float(np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5)))
-            by_term.setdefault(vid[r.term], []).append((qix[r.qid], idf))
-    indptr = np.zeros(len(terms) + 1, dtype=np.int64)
-    cols, vals = [], []
-    for v in range(len(terms)):
-        lst = by_term.get(v, [])
-        indptr[v + 1] = indptr[v] + len(lst)
-        cols += [c for c, _ in lst]
-        vals += [x for _, x in lst]
-    bc = spark.sparkContext.broadcast((vid, np.array(qids), indptr, np.array(cols, dtype=np.int64),
-                                       np.array(vals, dtype=np.float64), float(avgdl or 0.0)))
-    slice_rows = 512
-
-    def run(batches):
-        vocab_ix, qid_arr, ptr, qcol, qidf, mean_dl = bc.value
-        n_q, n_v = len(qid_arr), len(ptr) - 1
-        for pdf in batches:
-            for lo in range(0, len(pdf), slice_rows):
-                part = pdf.iloc[lo:lo + slice_rows]
-                docs_ids = part["doc"].to_numpy()
-                lens = np.array([len(t) if t is not None else 0 for t in part["toks"]], dtype=np.int64)
-                if lens.sum() == 0:
-                    continue
-                flat = np.concatenate([t for t in part["toks"] if t is not None and len(t)])
-                rows = np.repeat(np.arange(len(part)), lens)
-                ids = pd.Series(flat).map(vocab_ix).to_numpy()
-                hit = ~pd.isna(ids)
-                if not hit.any():
-                    continue
-                key = rows[hit] * n_v + ids[hit].astype(np.int64)
-                uk, tf = np.unique(key, return_counts=True)
-                r, v = uk // n_v, uk % n_v
-                w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[r] / mean_dl))
-                cnt = ptr[v + 1] - ptr[v]
-                total = int(cnt.sum())
-                if total == 0:
-                    continue
-                first = np.repeat(ptr[v], cnt)
-                offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-                pos = first + offs
-                flat_ix = np.repeat(r, cnt) * n_q + qcol[pos]
-                score = np.bincount(flat_ix, weights=np.repeat(w, cnt) * qidf[pos],
-                                    minlength=len(part) * n_q).reshape(len(part), n_q)
-                out_q, out_d, out_s = [], [], []
-                for j in range(n_q):
-                    col = score[:, j]
-                    nz = np.nonzero(col > 0)[0]
-                    if keep is not None and len(nz) > keep:
-                        order = nz[np.lexsort((docs_ids[nz], -col[nz]))]
-                        cut = col[order[keep - 1]] - 1e-9
-                        nz = nz[col[nz] >= cut]
-                    if len(nz):
-                        out_q.append(np.repeat(qid_arr[j], len(nz)))
-                        out_d.append(docs_ids[nz])
-                        out_s.append(col[nz])
-                if out_q:
-                    yield pd.DataFrame({"qid": np.concatenate(out_q), "doc": np.concatenate(out_d),
-                                        "score": np.concatenate(out_s)})
-
-    return toks.mapInPandas(run, schema)
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame, qid: str = "qid", qtext: str = "text",
-                id_col: str = "id", text_col: str = "content", k1: float = BM25_K1,
-                b: float = BM25_B, max_query_terms: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Okapi BM25 (idf = ln(1 + (N - df + 0.5)/(df + 0.5))) of every chunk that
-    shares a term with the query: ``(qid, doc, score)``."""
-    return _bm25_candidates(queries, docs, None, qid, qtext, id_col, text_col, k1, b, max_query_terms)
+        if r.t in found:
+            df = found[r.t].n
+            by_term[vocabulary[r.t]].append((place[r.q], float(np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5)))))
+    flat = [x for xs in by_term for x in xs]
+    scorer = Bm25Scorer(qids, vocabulary, np.concatenate([[0], np.cumsum([len(x) for x in by_term])]).astype(np.int64),
+                        np.array([q for q, _ in flat], dtype=np.int64), np.array([x for _, x in flat]),
+                        total / n_docs if total else 1.0, k1, b)
+    return spark.sparkContext.broadcast(scorer), toks
 
 
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, qid: str = "qid",
                  qtext: str = "text", id_col: str = "id", text_col: str = "content", k1: float = BM25_K1,
-                 b: float = BM25_B, max_query_terms: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """BM25 top-k per query: ``(qid, doc, score, rank)``; ties by lower id after
-    rounding the score to 1e-9 (so engines agree on near-equal sums). Each
-    partition forwards at most its top-k (and near-ties) per query."""
-    s = _bm25_candidates(queries, docs, k, qid, qtext, id_col, text_col, k1, b, max_query_terms)
-    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("doc").asc())
-    return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("bigint")))
+                 b: float = BM25_B) -> DataFrame:
+    """BM25 top-k per query: ``(qid, doc, score, rank)``; idf = ln(1 + (N - df + 0.5)/(df + 0.5)),
+    ties by lower id after rounding the score to 1e-9 (so engines agree on
+    near-equal sums). Each partition forwards at most k rows per query."""
+    schema = _schema(queries, qid, docs, id_col)
+    parts = [_block_topk(*x, schema, k, 9) for block in _blocks(queries, qid)
+             if (x := _bm25(block, docs, qid, qtext, id_col, text_col, k1, b))]
+    return _union(parts) if parts else docs.sparkSession.createDataFrame([], schema + ", rank long")
 
 
 # ------------------------------------------------------------------ fusion
 
-def full_ranks(scores: DataFrame, qid: str = "qid", doc: str = "doc", score: str = "score") -> DataFrame:
-    """1-based rank of every scored doc per query (score desc, doc asc)."""
-    r = position_in_group(scores.select(qid, doc, F.round(score, 9).alias("_s")), [qid],
-                          [F.col("_s").desc(), F.col(doc).asc()], "rank")
-    return r.select(qid, doc, (F.col("rank") + 1).alias("rank"))
-
-
-def hybrid_topk(vector_scores: DataFrame, keyword_scores: DataFrame, k: int = NUM_RESULTS,
-                rrf_k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two scored lists ``(qid, doc, score)``: a doc's
-    fused score is the sum of 1/(rrf_k + rank) over the lists it appears in.
-    Every doc is ranked exactly in each list; top-k by fused score (ties: doc).
-
-    Both lists are ranked in one distributed numbering over their union
-    (group = query and list), then fused with one partially aggregated
-    group-by on (query, doc) instead of a full outer join.
+def _pair_scores(scorer, pairs):
+    """Rounded scores of the wanted (query, doc) pairs; ``pairs`` maps a doc to query ids."""
+    def run(batches):
+        known, wanted = scorer.value, pairs.value
+        for part in _slices(batches):
+            ids, q, s = known.entries(part, np.full(len(known.qids), -np.inf))
+            qids = known.qids[q]
+            good = np.fromiter((x in wanted.get(i, ()) for i, x in zip(ids, qids)), bool, len(ids))
+            yield pd.DataFrame({"qid": qids[good], "doc": ids[good], "score": np.round(s[good], 9)})
+    return run
+
+
+def _counts_ahead(scorer, targets):
+    """For each target (query id, doc, rounded score): how many docs of the partition
+    stand ahead of it in the query's list."""
+    def run(batches):
+        known = scorer.value
+        place = {x: i for i, x in enumerate(known.qids)}
+        tq = np.array([place[x] for x, _, _ in targets.value], dtype=np.int64)
+        tid, ts = _array([d for _, d, _ in targets.value]), np.array([s for _, _, s in targets.value])
+        floor, total = np.full(len(known.qids), np.inf), np.zeros(len(tq), dtype=np.int64)
+        np.minimum.at(floor, tq, ts - 1e-9)
+        for part in _slices(batches):
+            ids, q, s = known.entries(part, floor)
+            own = np.concatenate([np.ones(len(tq), bool), np.zeros(len(q), bool)])  # a target stands before its equal
+            all_q, all_s = np.concatenate([tq, q]), np.concatenate([ts, np.round(s, 9)])
+            order = np.lexsort((~own, np.concatenate([tid, ids]), -all_s, all_q))
+            ahead = np.cumsum(~own[order])
+            before = np.concatenate([[0], ahead])[np.searchsorted(all_q[order], all_q[order])]
+            mine = own[order]
+            total[order[mine]] += (ahead - before)[mine]
+        some = total > 0
+        yield pd.DataFrame({"qid": known.qids[tq[some]], "doc": tid[some], "ahead": total[some]})
+    return run
+
+
+def _other_ranks(scorer, corpus: DataFrame, listed: list, candidates: set, schema: str) -> list[tuple]:
+    """Exact ranks of the candidates that are not ``listed`` with theirs, as (qid, doc, rank).
+    A candidate without a score has no rank. All lists are bounded by the query block."""
+    have = {(r.qid, r.doc) for r in listed}
+    missing: dict = {}
+    for q, d in candidates - have:
+        missing.setdefault(d, set()).add(q)
+    out = [(r.qid, r.doc, r.rank) for r in listed]
+    if not missing:
+        return out
+    spark = corpus.sparkSession
+    wanted = spark.createDataFrame([(d,) for d in missing], corpus.select("id").schema)
+    rows = corpus.join(F.broadcast(wanted), "id", "left_semi")
+    scored = rows.mapInPandas(_pair_scores(scorer, spark.sparkContext.broadcast(missing)), schema).collect()
+    targets = spark.sparkContext.broadcast([(r.qid, r.doc, r.score) for r in scored])
+    counted = {(r.qid, r.doc): r.n for r in
+               corpus.mapInPandas(_counts_ahead(scorer, targets), schema.replace("score double", "ahead long"))
+               .groupBy("qid", "doc").agg(F.sum("ahead").alias("n")).collect()}
+    return out + [(r.qid, r.doc, 1 + counted.get((r.qid, r.doc), 0)) for r in scored]
+
+
+def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, rrf_k: int = RRF_K, qid: str = "qid",
+                qvec: str = "qvec", qtext: str = "text", id_col: str = "id", vec_col: str = "embedding",
+                text_col: str = "content") -> DataFrame:
+    """Reciprocal rank fusion of the vector and the keyword list:
+    ``(qid, doc, fused, rank_v, rank_k, rank)``. A doc's fused score is the sum of
+    1/(rrf_k + rank) over the lists it is in, its rank in each taken over the
+    whole corpus; ties by doc.
+
+    Exact without ranking every pair: the first k docs of the vector list score at
+    least 1/(rrf_k + k), and a doc outside the first m of both lists at most
+    2/(rrf_k + m + 1), which is less for m = rrf_k + 2k. So the answer is among the
+    first m of either list. Their ranks in the other list come from one more pass
+    that counts the docs ahead of them, summed over partitions.
     """
-    both = (vector_scores.select("qid", "doc", F.round("score", 9).alias("_s"), F.lit(0).alias("_list"))
-            .unionByName(keyword_scores.select("qid", "doc", F.round("score", 9).alias("_s"),
-                                               F.lit(1).alias("_list"))))
-    ranked = position_in_group(both, ["qid", "_list"], [F.col("_s").desc(), F.col("doc").asc()], "_r")
-    ranked = ranked.withColumn("_r", F.col("_r") + 1)
-    fused = (ranked.groupBy("qid", "doc")
-             .agg(F.sum(1.0 / (rrf_k + F.col("_r"))).alias("fused"),
-                  F.max(F.when(F.col("_list") == 0, F.col("_r"))).alias("rank_v"),
-                  F.max(F.when(F.col("_list") == 1, F.col("_r"))).alias("rank_k")))
-    w = Window.partitionBy("qid").orderBy(F.col("fused").desc(), F.col("doc").asc())
+    m = rrf_k + 2 * k
+    spark, parts = docs.sparkSession, []
+    schema = _schema(queries, qid, docs, id_col)
+    for block in _blocks(queries, qid):
+        sides = [_dense(block, docs, qid, qvec, id_col, vec_col),
+                 _bm25(block, docs, qid, qtext, id_col, text_col, BM25_K1, BM25_B)]
+        tops = [_block_topk(*x, schema, m, 9).select("qid", "doc", "rank").collect() if x else [] for x in sides]
+        candidates = {(r.qid, r.doc) for top in tops for r in top}
+        ranks = [(*row, n) for n, (x, top) in enumerate(zip(sides, tops)) if x
+                 for row in _other_ranks(*x, top, candidates, schema)]
+        if ranks:
+            parts.append(spark.createDataFrame(ranks, schema.replace("score double", "r long, list int")))
+    if not parts:
+        return spark.createDataFrame([], schema.replace("score double", "fused double, rank_v long, rank_k long, rank long"))
+    fused = (_union(parts).groupBy("qid", "doc")
+             .agg(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("r"))).alias("fused"),
+                  F.max(F.when(F.col("list") == 0, F.col("r"))).alias("rank_v"),
+                  F.max(F.when(F.col("list") == 1, F.col("r"))).alias("rank_k")))
+    w = Window.partitionBy("qid").orderBy(F.round("fused", 12).desc(), F.col("doc").asc())
     return (fused.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
 
@@ -339,12 +389,15 @@ def hybrid_topk(vector_scores: DataFrame, keyword_scores: DataFrame, k: int = NU
 # ------------------------------------------------------------------- facts
 
 def retrieve_facts(hits: DataFrame, chunks: DataFrame, qid: str = "qid", doc: str = "doc") -> DataFrame:
-    """Hits ``(qid, doc, rank)`` -> ``(qid, id, doc_uri, content, metadata, rank)``
-    bound by name; blank contents are dropped after the top-k cut."""
+    """Hits ``(qid, doc, score, rank)`` -> ``(qid, id, doc_uri, content, metadata, score, rank)``
+    bound by name; blank contents are dropped after the top-k cut. The hits are
+    k rows per query; where they are few, Spark ships them to the chunk scan
+    instead of shuffling it (its own size check decides)."""
     c = chunks.select(F.col("id").alias(doc), "doc_uri", "content", "metadata")
-    j = hits.join(c, doc)
+    score = F.col("score") if "score" in hits.columns else F.lit(None).cast("double")
+    j = c.join(hits.withColumn("score", score), doc)
     return (j.filter(F.length(normalize_ws("content")) > 0)
-            .select(qid, F.col(doc).alias("id"), "doc_uri", "content", "metadata", "rank"))
+            .select(qid, F.col(doc).alias("id"), "doc_uri", "content", "metadata", "score", "rank"))
 
 
 def facts_json(facts: DataFrame, qid: str = "qid", queries: DataFrame | None = None) -> DataFrame:

@@ -97,9 +97,9 @@ def q_conversation_payload(spark, sf_dir):
     return conversation_payload(messages(spark, sf_dir))
 
 
-@register("chat_title", _W + """
+@register("chat_title", _W + r"""
 , f AS (SELECT chat_id, arg_min(content, (created_at, id)) AS first FROM msgs WHERE role = 'user' GROUP BY chat_id),
-t AS (SELECT c.id, c.created_at, trim(coalesce(f.first, '')) AS t FROM chats c LEFT JOIN f ON f.chat_id = c.id)
+t AS (SELECT c.id, c.created_at, regexp_replace(coalesce(f.first, ''), '^[\s\x{FEFF}\x85\p{Z}]+|[\s\x{FEFF}\x85\p{Z}]+$', '', 'g') AS t FROM chats c LEFT JOIN f ON f.chat_id = c.id)
 SELECT id, CASE WHEN length(t) = 0 THEN 'New Chat ' || strftime(created_at, '%Y-%m-%d %H:%M:%S')
                 WHEN length(t) > 50 THEN substr(t, 1, 50) || '...' ELSE t END AS title
 FROM t""")

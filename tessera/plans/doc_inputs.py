@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.tables import load_table
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, doc_name, doc_uri, size, text)``; size is the UTF-8 byte length."""
-    return document_columns(load_table(spark, sf_dir, "documents"))
+def document_files(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """``(doc_id, doc_name, doc_uri, size, text)`` and ``more`` columns of the table;
+    size is the UTF-8 byte length."""
+    return document_columns(load_table(spark, sf_dir, "documents"), *more)
 
 
-def document_columns(d: DataFrame) -> DataFrame:
+def document_columns(d: DataFrame, *more: str) -> DataFrame:
     """The file-like columns of a ``documents`` frame (batch or streaming)."""
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select(
@@ -21,6 +22,7 @@ def document_columns(d: DataFrame) -> DataFrame:
         F.concat(F.lit("/volumes/documents/"), F.col("source"), F.lit("/"), name).alias("doc_uri"),
         F.octet_length("text").cast("bigint").alias("size"),
         "text",
+        *more,
     )
 
 

@@ -74,26 +74,52 @@ def q_retrieve_facts(spark, sf_dir):
     return rv.facts_json(rv.retrieve_facts(hits, chunks), queries=q)
 
 
-@register("hybrid_topk")
+_BUCKET = "CAST(('0x' || substr(md5({t}), 1, 8)) AS UBIGINT) % 256"
+
+_HYBRID_SQL = _BM25_SQL + f"""
+, dv AS (SELECT doc, {_BUCKET.format(t="term")} AS b, sum(tf) AS n FROM post GROUP BY doc, b),
+dn AS (SELECT doc, sqrt(sum(n * n)) AS norm FROM dv GROUP BY doc),
+qtok AS (SELECT item_id AS qid, unnest({_TOK.format(c='text')}) AS term FROM benchmark),
+qv AS (SELECT qid, {_BUCKET.format(t="term")} AS b, count(*) AS n FROM qtok GROUP BY qid, b),
+qn AS (SELECT qid, sqrt(sum(n * n)) AS norm FROM qv GROUP BY qid),
+dot AS (SELECT qid, doc, sum(qv.n * dv.n) AS d FROM qv JOIN dv USING (b) GROUP BY qid, doc),
+vr AS (SELECT b.item_id AS qid, c.id AS doc, row_number() OVER (
+         PARTITION BY b.item_id ORDER BY round(coalesce(d / (qn.norm * dn.norm), 0), 9) DESC, c.id) AS rank_v
+       FROM benchmark b CROSS JOIN chunks c LEFT JOIN dot ON dot.qid = b.item_id AND dot.doc = c.id
+       LEFT JOIN qn ON qn.qid = b.item_id LEFT JOIN dn ON dn.doc = c.id),
+fz AS (SELECT vr.qid, vr.doc, rank_v, rk.rank AS rank_k,
+              1.0::DOUBLE / (60 + rank_v) + coalesce(1.0::DOUBLE / (60 + rk.rank), 0) AS fused
+       FROM vr LEFT JOIN rk ON rk.qid = vr.qid AND rk.doc = vr.doc),
+hy AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 12) DESC, doc) AS rank FROM fz)
+"""
+
+
+def _hybrid(spark, sf_dir, chunks, queries):
+    """Hybrid hits over chunks embedded by token buckets (as the queries are)."""
+    docs = rv.embed(chunks.select("id", "content"), "content", rv.bucket_counts)
+    return rv.hybrid_topk(rv.embed(queries, "text", rv.bucket_counts, out_col="qvec"), docs, k=2)
+
+
+@register("hybrid_topk", _HYBRID_SQL + """
+SELECT qid, doc, CAST(rank AS BIGINT) AS rank, CAST(rank_v AS BIGINT) AS rank_v, CAST(rank_k AS BIGINT) AS rank_k
+FROM hy WHERE rank <= 2""")
 def q_hybrid_topk(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir).select("id", "content")
-    q = _bench(spark, sf_dir)
-    model = rv.hashing_embedder(chunks, "content")
-    docs = rv.apply_embedder(model, chunks, "content")
-    qv = rv.apply_embedder(model, q, "text").withColumnRenamed("embedding", "qvec")
-    vs = rv.vector_scores(qv, docs)
-    ks = rv.bm25_scores(q, chunks)
-    return rv.hybrid_topk(vs, ks, k=2).select("qid", "doc", "rank", "rank_v", "rank_k")
+    return _hybrid(spark, sf_dir, _chunks(spark, sf_dir), _bench(spark, sf_dir)).select("qid", "doc", "rank", "rank_v", "rank_k")
 
 
-@register("embed_documents")
+@register("embed_documents", "WITH " + DOCS_SQL + "," + chunks_sql() + f"""
+, tk AS (SELECT id, unnest({_TOK.format(c='content')}) AS term FROM chunks),
+v AS (SELECT id, {_BUCKET.format(t="term")} AS b, count(*) AS n FROM tk GROUP BY id, b),
+g AS (SELECT chunks.id, s.b FROM chunks CROSS JOIN range(256) s(b))
+SELECT g.id, string_agg(CAST(coalesce(v.n, 0) AS VARCHAR), ',' ORDER BY g.b) AS embedding
+FROM g LEFT JOIN v ON v.id = g.id AND v.b = g.b GROUP BY g.id""")
 def q_embed_documents(spark, sf_dir):
-    return rv.embed(_chunks(spark, sf_dir).select("id", "content"), "content")
+    e = rv.embed(_chunks(spark, sf_dir).select("id", "content"), "content", rv.bucket_counts)
+    return e.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
 
 
 def _docs_with_lang(spark, sf_dir):
-    d = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return document_files(spark, sf_dir).join(d, "doc_id")
+    return document_files(spark, sf_dir, "lang", "source")
 
 
 def before_after(spark, sf_dir):
@@ -153,14 +179,6 @@ def q_index_sync(spark, sf_dir):
     return rv.sync_index(index, after, changes, embed_with=emb).select("id", "doc_uri", "content", "synced")
 
 
-@register("answer_questions")
-def q_answer_questions(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    q = _bench(spark, sf_dir)
-    facts = rv.facts_json(rv.retrieve_facts(rv.keyword_topk(q, chunks, k=2), chunks), queries=q)
-    return rv.answer_questions(q, facts)
-
-
 @register("facts_json", _BM25_SQL + f"""
 , hits AS (SELECT rk.qid, rk.rank, c.content FROM rk JOIN chunks c ON c.id = rk.doc WHERE rk.rank <= {TOPK_KEYWORD})
 SELECT b.item_id AS qid,

@@ -16,9 +16,9 @@ from .message_inputs import stream_events
 
 @register("stream_chunks", "WITH " + DOCS_SQL + "," + chunks_sql() + " SELECT * FROM chunks")
 def q_stream_chunks(spark, sf_dir):
-    schema = load_table(spark, sf_dir, "documents").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # the table itself, be it one file or a folder of part files
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out, ckpt = shared_dir(spark, "stream_chunks", "out"), shared_dir(spark, "stream_chunks", "ckpt")
     jobs.run_to_completion(jobs.stream_chunks(document_columns(src).drop("doc_id"), out, ckpt))
     return spark.read.parquet(out)
@@ -40,7 +40,7 @@ def q_merge_deltas_stream(spark, sf_dir):
                     F.lit(None).cast("string").alias("delta"), F.lit(None).cast("string").alias("text")))
     ev = ev.withColumn("sub", F.col("sub").cast("bigint")).unionByName(ends)
     # one file holds all events of a request, so a request never spans micro-batches out of order
-    path, stream = jobs.stream_from_table(spark, ev.repartition(8, "request_id"), "delta_events")
+    path, stream = jobs.stream_from_table(spark, ev.repartition("request_id"), "delta_events")
     merged = jobs.merge_deltas_stream(stream, "request_id", ["turn", "sub"])
     out, ckpt = shared_dir(spark, "merge_deltas", "out"), shared_dir(spark, "merge_deltas", "ckpt")
     q = (merged.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)

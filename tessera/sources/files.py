@@ -45,13 +45,15 @@ def read_table_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, directory: str, glob: str = "*.pdf",
                    max_bytes: int | None = None) -> DataFrame:
-    """Binary documents ``(content, name, path, size)``; ``max_bytes`` skips
-    larger files at the scan (pushed to the file listing)."""
+    """Binary documents ``(content, name, path, size, error)``. A file of more than
+    ``max_bytes`` keeps its row, without content and with ``error`` set, so that it
+    goes to the quarantine with the documents that can't be parsed."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= max_bytes)
-    return df.select("content", F.element_at(F.split("path", "/"), -1).alias("name"), "path",
-                     F.col("length").alias("size"))
+    large = F.col("length") > max_bytes if max_bytes is not None else F.lit(False)
+    return df.select(F.when(~large, F.col("content")).alias("content"), F.element_at(F.split("path", "/"), -1).alias("name"),
+                     "path", F.col("length").alias("size"),
+                     F.when(large, F.concat(F.lit("Error parsing document: larger than "), F.lit(str(max_bytes)), F.lit(" bytes")))
+                     .alias("error"))
 
 
 def data_uri(content, mime: str = "image/png") -> F.Column:

@@ -14,12 +14,12 @@ LARGE = {"customer", "part", "orders", "lineitem", "events", "documents", "embed
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the default parallelism when the scan has fewer
-    input files than that (a single file with one row group is read by one
-    task however many cores there are). With as many files as cores or more,
-    which is the case for any large table, the scan is returned as is."""
+    """Round-robin the rows over the default parallelism when the scan itself has
+    fewer partitions than that (a small table in one row group is read by one
+    task however many cores there are). A scan with enough splits, as of any
+    large table, is returned as is, however few files it has."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if len(df.inputFiles()) < par else df
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,8 +55,9 @@ def _merge_state_fn(order_cols: list[str], idle_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         req = key[0]
         if state.hasTimedOut:
+            # the open run is closed; the position stays, for events that come later
             pos, has_open, oid, otext = state.get
-            state.remove()
+            state.update((pos + has_open, False, None, ""))
             if has_open:
                 yield pd.DataFrame([{"request_id": req, "out_pos": pos, "kind": "delta", "item_id": oid,
                                      "text": otext}])
@@ -83,7 +84,7 @@ def _merge_state_fn(order_cols: list[str], idle_ms: int | None):
             state.remove()
         else:
             state.update((pos, has_open, oid, otext))
-            if idle_ms:
+            if idle_ms and has_open:
                 state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["request_id", "out_pos", "kind", "item_id", "text"])
@@ -126,12 +127,10 @@ def moderate_stream(requests: DataFrame, model: Callable, out_path: str, checkpo
     return _trigger(w, trigger).start()
 
 
-def run_to_completion(query, timeout_s: int = 600) -> None:
-    """Wait for an ``availableNow`` query; raise its error if it failed."""
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError("streaming query did not finish")
+def run_to_completion(query) -> None:
+    """Wait until an ``availableNow`` query has read all its input, however long that
+    takes; raise its error if it failed. The caller may stop the query."""
+    query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 
@@ -141,4 +140,4 @@ def stream_from_table(spark: SparkSession, df: DataFrame, name: str, partitions:
     reader over it (used to replay derived data as a stream)."""
     path = shared_dir(spark, "streams", name)
     (df.repartition(partitions) if partitions else df).write.parquet(path)
-    return path, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return path, spark.readStream.schema(df.schema).parquet(path)

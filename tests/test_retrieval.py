@@ -60,7 +60,7 @@ QUERIES = {10: "cat on mat", 11: "quick dog", 12: "café"}
 def test_bm25_matches_brute_force(spark):
     d = spark.createDataFrame(list(DOCS.items()), "id long, content string")
     q = spark.createDataFrame(list(QUERIES.items()), "qid long, text string")
-    got = {(r.qid, r.doc): r.score for r in rv.bm25_scores(q, d).collect()}
+    got = {(r.qid, r.doc): r.score for r in rv.keyword_topk(q, d, k=100).collect()}
     exp = {(qq, dd): s for qq, m in _bm25_brute(QUERIES, DOCS).items() for dd, s in m.items()}
     assert got.keys() == exp.keys()
     assert all(abs(got[x] - exp[x]) < 1e-9 for x in exp)
@@ -68,15 +68,65 @@ def test_bm25_matches_brute_force(spark):
     assert top == [x[1] for x in sorted((-s, dd) for (qq, dd), s in exp.items() if qq == 10)][:2]
 
 
-def test_hybrid_matches_brute_force_rrf(spark):
-    vs = spark.createDataFrame([(1, d, float(s)) for d, s in [(1, .9), (2, .8), (3, .7), (4, .1)]],
-                               "qid long, doc long, score double")
-    ks = spark.createDataFrame([(1, d, float(s)) for d, s in [(4, 5.0), (3, 4.0)]], "qid long, doc long, score double")
-    got = [r.doc for r in rv.hybrid_topk(vs, ks, k=3).orderBy("rank").collect()]
-    rv_ = {1: 1, 2: 2, 3: 3, 4: 4}
-    rk_ = {4: 1, 3: 2}
-    fused = {d: 1 / (60 + rv_[d]) + (1 / (60 + rk_[d]) if d in rk_ else 0) for d in rv_}
-    assert got == [d for d, _ in sorted(fused.items(), key=lambda x: (-x[1], x[0]))][:3]
+def _ranks(scores):
+    """{doc: rank} of {doc: score}, higher first, ties by doc, scores rounded."""
+    order = sorted(scores, key=lambda d: (-round(scores[d], 9), d))
+    return {d: i + 1 for i, d in enumerate(order)}
+
+
+def _hybrid_case(spark, n_docs, n_queries, seed, ids=int):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(30)]
+    docs = {ids(i): " ".join(rng.choice(words, rng.integers(0, 12))) for i in range(n_docs)}
+    queries = {100 + j: " ".join(rng.choice(words, rng.integers(0, 4))) for j in range(n_queries)}
+    vec = {d: rng.integers(-2, 3, 4).astype(float).tolist() for d in docs}
+    qvec = {q: rng.integers(-2, 3, 4).astype(float).tolist() for q in queries}
+    kind = "long" if ids is int else "string"
+    ddf = spark.createDataFrame([(d, t, vec[d]) for d, t in docs.items()], f"id {kind}, content string, embedding array<double>")
+    qdf = spark.createDataFrame([(q, t, qvec[q]) for q, t in queries.items()], "qid long, text string, qvec array<double>")
+    return docs, queries, vec, qvec, ddf.repartition(5), qdf
+
+
+def _hybrid_brute(docs, queries, vec, qvec, k, c):
+    unit = lambda v: np.asarray(v) / (np.linalg.norm(v) or 1.0)
+    out, bm = {}, _bm25_brute(queries, docs)
+    for q in queries:
+        rv_, rk_ = _ranks({d: float(unit(vec[d]) @ unit(qvec[q])) for d in docs}), _ranks(bm[q])
+        fused = {d: 1 / (c + rv_[d]) + (1 / (c + rk_[d]) if d in rk_ else 0) for d in docs}
+        best = sorted(fused, key=lambda d: (-round(fused[d], 12), d))[:k]
+        out[q] = [(d, rv_[d], rk_.get(d)) for d in best]
+    return out
+
+
+def test_hybrid_matches_brute_force_rrf(spark, monkeypatch):
+    monkeypatch.setattr(rv, "SLICE_ROWS", 7)
+    for block, c, ids in ((2048, 3, int), (4, 1, lambda i: f"id-{i:03d}")):
+        monkeypatch.setattr(rv, "QUERY_BLOCK", block)
+        docs, queries, vec, qvec, ddf, qdf = _hybrid_case(spark, 150, 9, 3, ids)
+        got = {}
+        for r in rv.hybrid_topk(qdf, ddf, k=3, rrf_k=c).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.doc, r.rank_v, r.rank_k))
+        assert got == _hybrid_brute(docs, queries, vec, qvec, 3, c)
+
+
+def test_partitions_forward_at_most_k_rows_per_query(spark, monkeypatch):
+    monkeypatch.setattr(rv, "SLICE_ROWS", 7)
+    docs, queries, vec, qvec, ddf, qdf = _hybrid_case(spark, 150, 6, 5)
+    scorer, corpus = rv._dense(qdf, ddf, "qid", "qvec", "id", "embedding")
+    rows = corpus.mapInPandas(rv._partition_topk(scorer, 3, 9), "qid long, doc long, score double").groupBy(
+        "qid", F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in rows) <= 3
+
+
+def test_no_queries_and_no_docs(spark):
+    _, _, _, _, ddf, qdf = _hybrid_case(spark, 4, 2, 1)
+    assert rv.hybrid_topk(qdf.limit(0), ddf).count() == 0 and rv.hybrid_topk(qdf, ddf.limit(0)).count() == 0
+    assert rv.keyword_topk(qdf.limit(0), ddf).count() == 0 and rv.vector_topk(qdf, ddf.limit(0)).count() == 0
+
+
+def test_bucket_counts():
+    m = rv.bucket_counts(["A b a_b", ""], 16)
+    assert m.sum(axis=1).tolist() == [4.0, 0.0] and m[0].max() >= 2
 
 
 def test_facts_json_and_blank_drop(spark):
@@ -84,6 +134,8 @@ def test_facts_json_and_blank_drop(spark):
     chunks = spark.createDataFrame([(7, "u", "first é", "m"), (8, "u", "   ", "m"), (9, "u", 'third "q"', "m")],
                                    "id long, doc_uri string, content string, metadata string")
     q = spark.createDataFrame([(1,), (2,)], "qid long")
+    facts = rv.retrieve_facts(hits.withColumn("score", F.lit(0.5)), chunks)
+    assert {(r.id, r.rank, r.score) for r in facts.collect()} == {(7, 1, 0.5), (9, 3, 0.5)}
     rows = {r.qid: r for r in rv.facts_json(rv.retrieve_facts(hits, chunks), queries=q).collect()}
     assert json.loads(rows[1].facts) == {"fact_1": "first é", "fact_2": 'third "q"'}
     assert rows[1].facts.startswith('{\n  "fact_1": ') and rows[2].facts == "{}" and rows[2].n_facts == 0

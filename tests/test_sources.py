@@ -55,12 +55,14 @@ def test_documents_and_image_messages(spark):
             f.write(data)
     docs = files.read_documents(spark, d)
     assert sorted((r.name, r.size) for r in docs.collect()) == [("a.pdf", 8), ("b.pdf", 100)]
-    assert files.read_documents(spark, d, max_bytes=10).count() == 1
+    limited = {r.name: r for r in files.read_documents(spark, d, max_bytes=10).collect()}
+    assert limited["a.pdf"].error is None and limited["a.pdf"].content is not None
+    assert limited["b.pdf"].content is None and "larger than 10" in limited["b.pdf"].error
     imgs = files.read_documents(spark, d, glob="*.png")
-    msgs = json.loads(files.image_messages(imgs, "What is this image about?").first().messages)
+    msgs = json.loads(files.image_messages(imgs, "Describe the picture.").first().messages)
     assert msgs[0] == {"role": "system", "content": "You are a helpful assistant."}
     url = msgs[1]["content"][1]["image_url"]["url"]
-    assert msgs[1]["content"][0] == {"type": "text", "text": "What is this image about?"}
+    assert msgs[1]["content"][0] == {"type": "text", "text": "Describe the picture."}
     assert url == "data:image/png;base64," + base64.b64encode(b"\x89PNG").decode()
 
 
