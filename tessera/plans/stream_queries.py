@@ -16,9 +16,10 @@ from .message_inputs import stream_events
 
 @register("stream_chunks", "WITH " + DOCS_SQL + "," + chunks_sql() + " SELECT * FROM chunks")
 def q_stream_chunks(spark, sf_dir):
-    # the table itself, be it one file or a folder of part files
-    path = f"{sf_dir.rstrip('/')}/documents.parquet"
-    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # the table itself, be it one file or a folder of part files (a stream takes one file only by a pattern)
+    base = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{base}/documents.parquet").schema
+    src = spark.readStream.schema(schema).parquet(f"{base}/document[s].parquet")
     out, ckpt = shared_dir(spark, "stream_chunks", "out"), shared_dir(spark, "stream_chunks", "ckpt")
     jobs.run_to_completion(jobs.stream_chunks(document_columns(src).drop("doc_id"), out, ckpt))
     return spark.read.parquet(out)
