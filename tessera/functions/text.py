@@ -67,6 +67,13 @@ def tag_speaker(text, name: str, only_nonempty: bool = True) -> Column:
     return F.when(F.length(t) > 0, tagged).otherwise(t)
 
 
+def tag_structured(first, last, name: str = "Structured Agent") -> Column:
+    """The structured speaker's message: its tag, then the first and the last text of
+    its answer, set apart by a blank line (one text counts as both)."""
+    t = F.concat(F.coalesce(_c(first), F.lit("")), F.lit(" \n\n "), F.coalesce(_c(last), F.lit("")))
+    return tag_speaker(t, name, only_nonempty=False)
+
+
 def tool_text(role, content) -> Column:
     """Tool output as seen by the moderation model (tags as the model sees them)."""
     return F.when(_c(role) == "tool",

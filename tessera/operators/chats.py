@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import attachment_type, chat_title, stored_name
-from .ordering import position_in_group
+from .ordering import assign_ids, position_in_group
 
 PAGE_DEFAULT, PAGE_MAX = 50, 100
 
@@ -43,8 +43,11 @@ def chat_with_messages(chats: DataFrame, msgs: DataFrame, atts: DataFrame) -> Da
                                       "created_at"), ["chat_id"], ["created_at", "message_id"], "msg_pos")
     a = position_in_group(atts.select(F.col("id").alias("attachment_id"), "message_id", "filename",
                                       "stored_filename", "file_type"), ["message_id"], ["attachment_id"], "att_pos")
-    ma = m.join(a, "message_id", "left")
-    return (chats.select(F.col("id").alias("chat_id")).join(ma, "chat_id", "left")
+    # the large side stays on the left, where a hot chat can be split
+    ids = chats.select(F.col("id").alias("chat_id"))
+    ma = m.join(ids, "chat_id", "left_semi").join(a, "message_id", "left")
+    bare = ids.join(m.select("chat_id").distinct(), "chat_id", "left_anti")
+    return (ma.unionByName(bare, allowMissingColumns=True)
             .select("chat_id", "msg_pos", "message_id", "role", "content", "created_at", "att_pos",
                     "attachment_id", "filename", "stored_filename", "file_type"))
 
@@ -75,13 +78,49 @@ def owned_by(requests: DataFrame, chats: DataFrame, chat_col: str = "chat_id",
     return requests.join(own, cond, "left_semi")
 
 
-def cascade_delete(chats: DataFrame, msgs: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drop the chats listed in ``deleted`` (column ``id``) and every message of
-    those chats: returns (remaining chats, remaining messages)."""
+def cascade_delete(chats: DataFrame, msgs: DataFrame, deleted: DataFrame,
+                   atts: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Drop the chats listed in ``deleted`` (column ``id``), every message of those
+    chats and, if ``atts`` is given, every attachment of those messages: returns
+    (remaining chats, remaining messages[, remaining attachments])."""
     ids = deleted.select(F.col("id").alias("_del")).distinct()
     keep_chats = chats.join(ids, chats.id == ids._del, "left_anti")
     keep_msgs = msgs.join(ids, msgs.chat_id == ids._del, "left_anti")
-    return keep_chats, keep_msgs
+    if atts is None:
+        return keep_chats, keep_msgs
+    gone = (msgs.select(F.col("id").alias("_mid"), "chat_id").join(ids, F.col("chat_id") == F.col("_del"), "left_semi")
+            .select("_mid"))
+    return keep_chats, keep_msgs, atts.join(gone, F.col("message_id") == F.col("_mid"), "left_anti")
+
+
+def _numbered_after(existing: DataFrame, new: DataFrame, order: list) -> DataFrame:
+    """``new`` with ids that follow the largest one of ``existing`` (1 if it is empty)."""
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
+    return (assign_ids(new, order, start=1, id_col="_n").join(F.broadcast(last))
+            .withColumn("id", F.col("_last") + F.col("_n")).drop("_n", "_last"))
+
+
+def append_messages(chats: DataFrame, msgs: DataFrame, new: DataFrame, order: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Append ``new`` messages ``(chat_id, content, role, created_at, ...)``: returns (chats,
+    messages). Messages of unknown chats are ignored, the others get the next
+    ids in ``order`` (which must be unique) and bump their chat's ``updated_at``."""
+    known = new.join(chats.select(F.col("id").alias("_cid")), F.col("chat_id") == F.col("_cid"), "left_semi")
+    rows = _numbered_after(msgs, known, order or ["created_at", "chat_id", "role", "content"])
+    return apply_messages(chats, known), msgs.unionByName(rows.select(*msgs.columns))
+
+
+def create_chats(chats: DataFrame, new: DataFrame, order: list) -> DataFrame:
+    """Chats with ``new`` ones ``(title, user_id, user_email, user_name, created_at)``
+    added; ids follow the largest one, ``updated_at`` is the creation time."""
+    rows = _numbered_after(chats, new, order).withColumn("updated_at", F.col("created_at"))
+    cols = ["id", "title", "user_id", "user_email", "user_name", "created_at", "updated_at"]
+    return chats.select(*cols).unionByName(rows.select(*cols))
+
+
+def create_attachments(atts: DataFrame, files: DataFrame, order: list, upload_dir: str = "/uploads") -> DataFrame:
+    """Attachments with those of ``files`` ``(message_id, filename, content_type)`` added."""
+    rows = attachment_rows(_numbered_after(atts, files, order), upload_dir)
+    return atts.unionByName(rows.select(*atts.columns))
 
 
 def user_chats_page(chats: DataFrame, skip: int = 0, limit: int = PAGE_DEFAULT,

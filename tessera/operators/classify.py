@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .moderation import category_policy
+
 FIRST_TOKENS = 1
 REASON_TOKENS = 15
 SAFE = "safe"
@@ -51,6 +53,38 @@ def classify(df: DataFrame, model_fn: Callable[[list[str], int], list[str]], pro
     return df.select(*keys, prompt_col).mapInPandas(run, schema)
 
 
+RESULT_SCHEMA = "category string, rationale string"
+
+
+def classify_structured(df: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt_col: str = "prompt",
+                        key_cols: list[str] | None = None) -> DataFrame:
+    """Prompt -> model -> ``{category, rationale}`` -> policy:
+    ``(keys…, category, rationale, code, decision, error)``.
+
+    ``model_fn(prompts) -> list[str]`` returns JSON texts (one call per Arrow batch).
+    Output that is no JSON object, or lacks a field, and a category outside the
+    list give an ``error`` and no decision; the other rows go on.
+    """
+    keys = key_cols or [c for c in df.columns if c != prompt_col]
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_out", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[keys].copy()
+            out["_out"] = list(model_fn(pdf[prompt_col].fillna("").tolist()))
+            yield out
+
+    parsed = (df.select(*keys, prompt_col).mapInPandas(run, schema)
+              .withColumn("_r", F.from_json("_out", RESULT_SCHEMA))
+              .select(*keys, F.col("_r.category").alias("category"), F.col("_r.rationale").alias("rationale")))
+    missing = F.col("category").isNull() | F.col("rationale").isNull()
+    judged = category_policy(parsed)
+    error = (F.when(missing, "Invalid structured output")
+             .when(F.col("code").isNull(), F.concat(F.lit("Unknown category: "), F.col("category"))))
+    return judged.withColumn("error", error).withColumn("decision", F.when(error.isNull(), F.col("decision"))) \
+        .select(*keys, "category", "rationale", "code", "decision", "error")
+
+
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic",
                          key: str = "doc_id", dim: int = 1 << 16, max_iter: int = 20):
     """Fit the default guard on ``docs ⋈ labels``."""

@@ -27,13 +27,18 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "o_orderstatus")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, ids: bool = True) -> DataFrame:
+    """Messages; ``ids=False`` leaves the id column out, and with it the numbering."""
     c = load_table(spark, sf_dir, "conversations")
     created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         hours=F.col("conv_id"), mins=F.col("turn"))
     m = c.select("conv_id", "turn", F.col("conv_id").alias("chat_id"), F.col("text").alias("content"), "role",
                  created.alias("created_at"))
-    return assign_ids(m, ["conv_id", "turn"], start=1).drop("conv_id", "turn")
+    if not ids:
+        return m.drop("conv_id", "turn")
+    # only the keys are numbered (and written); the text joins by them
+    keys = assign_ids(c.select("conv_id", "turn"), ["conv_id", "turn"], start=1)
+    return m.join(keys, ["conv_id", "turn"]).drop("conv_id", "turn")
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:

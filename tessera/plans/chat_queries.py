@@ -25,7 +25,7 @@ def q_assign_ids(spark, sf_dir):
 SELECT c.id, CAST(count(m.id) AS BIGINT) AS message_count FROM chats c LEFT JOIN msgs m ON m.chat_id = c.id
 GROUP BY c.id""")
 def q_chat_message_count(spark, sf_dir):
-    return ch.message_counts(chats(spark, sf_dir), messages(spark, sf_dir))
+    return ch.message_counts(chats(spark, sf_dir), messages(spark, sf_dir, ids=False))
 
 
 @register("chat_with_messages", _W + """
@@ -76,10 +76,80 @@ def q_cascade_delete(spark, sf_dir):
 @register("cascade_delete_chats", _W + """
 SELECT id, user_id FROM chats WHERE id NOT IN (SELECT id FROM chats WHERE o_orderstatus = 'F')""")
 def q_cascade_delete_chats(spark, sf_dir):
-    keep, _ = ch.cascade_delete(chats(spark, sf_dir), messages(spark, sf_dir), _deleted(spark, sf_dir))
+    keep, _ = ch.cascade_delete(chats(spark, sf_dir), messages(spark, sf_dir, ids=False), _deleted(spark, sf_dir))
     return keep.select("id", "user_id")
 
 
+@register("cascade_delete_attachments", _W + """
+SELECT a.id, a.message_id FROM atts a
+WHERE a.message_id NOT IN (SELECT m.id FROM msgs m JOIN chats c ON c.id = m.chat_id WHERE c.o_orderstatus = 'F')""")
+def q_cascade_delete_attachments(spark, sf_dir):
+    _, _, keep = ch.cascade_delete(chats(spark, sf_dir), messages(spark, sf_dir), _deleted(spark, sf_dir),
+                                   attachments(spark, sf_dir))
+    return keep.select("id", "message_id")
+
+
+# New messages: one per order with key divisible by 5, for the chat of a sixth of
+# that key (so some chats are unknown), sent a day after the order.
+_NEW_SQL = """
+, n AS (SELECT o_orderkey AS k, o_orderkey // 6 AS chat_id, 'Order ' || o_orderkey AS content, 'user' AS role,
+               o_orderdate + INTERVAL 1 DAY AS created_at FROM orders WHERE o_orderkey % 5 = 0),
+known AS (SELECT * FROM n WHERE chat_id IN (SELECT id FROM chats)),
+added AS (SELECT (SELECT max(id) FROM msgs) + row_number() OVER (ORDER BY created_at, k) AS id, chat_id, content, created_at
+          FROM known)
+"""
+
+
+def _append(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 5 == 0)
+    new = o.select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / 6).alias("chat_id"),
+                   F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("content"),
+                   F.lit("user").alias("role"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
+    return ch.append_messages(chats(spark, sf_dir), messages(spark, sf_dir), new, ["created_at", "k"])
+
+
+@register("append_messages", _W + _NEW_SQL + """
+SELECT id, chat_id, content FROM msgs UNION ALL SELECT CAST(id AS BIGINT), chat_id, content FROM added""")
+def q_append_messages(spark, sf_dir):
+    return _append(spark, sf_dir)[1].select("id", "chat_id", "content")
+
+
+@register("append_updated_at", _W + _NEW_SQL + """
+SELECT c.id, greatest(c.updated_at, coalesce(l.t, c.updated_at)) AS updated_at
+FROM chats c LEFT JOIN (SELECT chat_id, max(created_at) AS t FROM added GROUP BY chat_id) l ON l.chat_id = c.id""")
+def q_append_updated_at(spark, sf_dir):
+    return _append(spark, sf_dir)[0].select("id", "updated_at")
+
+
+@register("create_chats", _W + """
+, n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer)
+SELECT id, title, user_id, user_email, updated_at FROM chats
+UNION ALL
+SELECT CAST((SELECT max(id) FROM chats) + r AS BIGINT), 'New Chat', 'user-' || c_custkey, 'user-' || c_custkey || '@example.com',
+       TIMESTAMP '2024-01-01 00:00:00' FROM n""")
+def q_create_chats(spark, sf_dir):
+    c = load_table(spark, sf_dir, "customer")
+    user = F.concat(F.lit("user-"), F.col("c_custkey").cast("string"))
+    base = chats(spark, sf_dir)
+    new = c.select("c_custkey", F.lit("New Chat").alias("title"), user.alias("user_id"),
+                   F.concat(user, F.lit("@example.com")).alias("user_email"), F.col("c_name").alias("user_name"),
+                   F.lit("2024-01-01 00:00:00").cast(base.schema["created_at"].dataType).alias("created_at"))
+    return ch.create_chats(base, new, ["c_custkey"]).select("id", "title", "user_id", "user_email", "updated_at")
+
+
+@register("create_attachments", _W + """
+, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
+SELECT id, message_id, CAST(id AS VARCHAR) || '.' || CASE WHEN contains(filename, '.') THEN split_part(filename, '.', -1)
+       ELSE '' END AS stored_filename FROM atts
+UNION ALL
+SELECT CAST((SELECT max(id) FROM atts) + r AS BIGINT), doc_id, CAST((SELECT max(id) FROM atts) + r AS VARCHAR) || '.txt' FROM n""")
+def q_create_attachments(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("message_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
+        F.lit("text/plain").alias("content_type"))
+    return ch.create_attachments(attachments(spark, sf_dir), d, ["message_id"]).select("id", "message_id", "stored_filename")
+
+
 @register("user_chats_page", _W + """
 SELECT user_id, id, updated_at, rank FROM (
   SELECT user_id, id, updated_at,
@@ -124,7 +194,7 @@ SELECT c.id, CASE WHEN l.latest IS NULL THEN c.updated_at ELSE greatest(c.update
 FROM chats c LEFT JOIN (SELECT chat_id, max(created_at) AS latest FROM msgs GROUP BY chat_id) l
 ON l.chat_id = c.id""")
 def q_chat_updated_at(spark, sf_dir):
-    return ch.apply_messages(chats(spark, sf_dir), messages(spark, sf_dir)).select("id", "updated_at")
+    return ch.apply_messages(chats(spark, sf_dir), messages(spark, sf_dir, ids=False)).select("id", "updated_at")
 
 
 @register("chat_titles", _W + """

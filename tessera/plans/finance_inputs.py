@@ -2,7 +2,8 @@
 
 ticker = customer nation (``N00``..``N24``); a trading day is an order date;
 open/close are the first/last order of the day by order key, high/low the
-extremes, volume the order count; quarterly revenue is the sum of order prices.
+extremes, volume the order count; quarterly revenue is the sum of order prices,
+and a quarter ends on the ticker's last trading day in it.
 """
 
 from __future__ import annotations
@@ -38,11 +39,10 @@ def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.quarter("date")
     return (priced_orders(spark, sf_dir)
             .groupBy("ticker", F.year("date").alias("fiscal_year"), q.alias("q"))
-            .agg(F.sum("price").cast("decimal(18,2)").alias("revenue_m"))
+            .agg(F.sum("price").cast("decimal(18,2)").alias("revenue_m"), F.max("date").alias("period_end"))
             .select("ticker", "fiscal_year",
                     F.concat(F.lit("Q"), F.col("q").cast("string")).alias("fiscal_quarter"),
-                    F.last_day(F.make_date("fiscal_year", F.col("q") * 3, F.lit(1))).alias("period_end"),
-                    "revenue_m"))
+                    "period_end", "revenue_m"))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ px AS (
   FROM po GROUP BY ticker, date),
 fin AS (
   SELECT ticker, year(date) AS fiscal_year, 'Q' || CAST(quarter(date) AS VARCHAR) AS fiscal_quarter,
-         last_day(make_date(year(date), quarter(date) * 3, 1)) AS period_end,
+         max(date) AS period_end,
          CAST(sum(price) AS DECIMAL(18,2)) AS revenue_m
   FROM po GROUP BY ALL),
 companies AS (

@@ -139,3 +139,38 @@ def q_tag_speaker(spark, sf_dir):
     from ..functions.text import tag_speaker
     c = load_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     return c.select("conv_id", "turn", tag_speaker("text", "Unstructured Agent").alias("tagged"))
+
+
+@register("tag_structured", """
+SELECT conv_id, '<name>Structured Agent</name>' || chr(10) || coalesce(arg_min(text, turn), '') || ' ' || chr(10) || chr(10)
+       || ' ' || coalesce(arg_max(text, turn), '') AS tagged
+FROM conversations GROUP BY conv_id""")
+def q_tag_structured(spark, sf_dir):
+    from ..functions.text import tag_structured
+    c = load_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    return c.select("conv_id", tag_structured("first", "last").alias("tagged"))
+
+
+# Tool calls derived from events so that every check fails somewhere.
+_CALLS = ['{}', '{"k": 1, "w": 2.5, "flag": true, "note": "n"}', '{"k": "x", "w": "y", "flag": "z"}', '{"w": 1}',
+          '{"k": 7, "flag": false}']
+
+
+@register("validate_arguments_errors", f"""
+WITH events AS (SELECT event_id, [{", ".join(f"'{a}'" for a in _CALLS)}][event_id % 5 + 1] AS props FROM events)
+SELECT event_id, {_arg('k', 'BIGINT')} AS k, {_arg('w', 'DOUBLE')} AS w, {_arg('flag', 'BOOLEAN')} AS flag,
+       {_arg('note', None)} AS note,
+       concat_ws('; ',
+         CASE WHEN {_arg('k', None)} IS NULL THEN 'k: field required' END,
+         CASE WHEN {_arg('k', None)} IS NOT NULL AND {_arg('k', 'BIGINT')} IS NULL THEN 'k: not a valid bigint' END,
+         CASE WHEN {_arg('w', None)} IS NOT NULL AND {_arg('w', 'DOUBLE')} IS NULL THEN 'w: not a valid double' END,
+         CASE WHEN {_arg('flag', None)} IS NOT NULL AND {_arg('flag', 'BOOLEAN')} IS NULL
+              THEN 'flag: not a valid boolean' END) AS errors
+FROM events""")
+def q_validate_arguments_errors(spark, sf_dir):
+    calls = F.array(*[F.lit(a) for a in _CALLS])
+    ev = load_table(spark, sf_dir, "events").select(
+        "event_id", F.element_at(calls, (F.col("event_id") % 5 + 1).cast("int")).alias("props"))
+    out = msg.validate_arguments(ev, "props", TOOL_SCHEMA)
+    return out.select("event_id", "k", "w", "flag", "note", F.array_join("errors", "; ").alias("errors"))

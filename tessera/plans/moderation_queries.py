@@ -117,3 +117,97 @@ def q_toxicity_scores(spark, sf_dir):
     groups = mod.moderation_groups(chat_messages_json(spark, sf_dir))
     last = mod.last_message(groups, key="conv_id", order_col="grp")
     return ml_guard(model)(last).select("conv_id", "grp", "first_token", "flagged", "reason", "p_toxic")
+
+
+# Requests derived from conversations, one case of the checks each; the last two are
+# well formed (a user's text, and an assistant's that breaks the order).
+_CASES = ['{"x": 1}', '{"messages": null}', '{"messages": []}', '{"messages": "abc"}', '"just text"', '{oops',
+          '{"messages": [{"content": "t"}]}', '{"messages": [{"role": "user"}]}',
+          '{"messages": [{"role": "user", "content": null}]}', '{"messages": [{"role": "user", "content": 3}]}',
+          '{"messages": [{"role": "user", "content": [{"text": "t"}]}]}',
+          '{"messages": [{"role": "user", "content": [{"type": "text"}]}]}']
+_CASE_ERRORS = [mod.MISSING_MESSAGES, mod.INVALID_MESSAGES + _CASES[1], None, mod.INVALID_MESSAGES + _CASES[3],
+                mod.PARSE_PREFIX + _CASES[4], mod.PARSE_PREFIX + _CASES[5], mod.MISSING_ROLE, mod.MISSING_CONTENT,
+                mod.INVALID_CONTENT + '{"content":null,"role":"user"}', mod.INVALID_CONTENT + '{"content":3,"role":"user"}',
+                "'type'", "'text'"]
+
+
+def _requests(spark, sf_dir):
+    from ..functions.jsonfmt import json_string
+    c = load_table(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
+    k = (F.col("conv_id") % 14).cast("int")
+    wrap = lambda role: F.concat(F.lit('{"messages": [{"role": "' + role + '", "content": '), json_string("text"), F.lit("}]}"))
+    text = (F.when(k < 12, F.element_at(F.array(*[F.lit(x) for x in _CASES]), F.least(k, F.lit(11)) + 1))
+            .when(k == 12, wrap("user")).otherwise(wrap("assistant")))
+    return c.select("conv_id", text.alias("request"))
+
+
+def _sql_text(x):
+    return "NULL" if x is None else f"'{_q(x)}'"
+
+
+_REQ_SQL = f"""
+WITH r AS (SELECT conv_id, text, conv_id % 14 AS k FROM conversations WHERE turn = 0),
+e AS (SELECT conv_id, text, k, CASE WHEN k < 12 THEN [{", ".join(map(_sql_text, _CASE_ERRORS))}][k + 1]
+                                    WHEN k = 13 THEN '{_q(mod.ORDER_ERROR)}' END AS error FROM r)
+"""
+
+
+@register("request_errors", _REQ_SQL + "SELECT conv_id, error FROM e WHERE error IS NOT NULL")
+def q_request_errors(spark, sf_dir):
+    return mod.conversation_errors(mod.explode_requests(_requests(spark, sf_dir)))
+
+
+_GUARD_CASES = " ".join(f"WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') THEN '{c}'"
+                        for t, c in {**GUARD_TERMS, "the": "S6"}.items())
+_VERDICT_SQL = _REQ_SQL + f"""
+, v AS (SELECT *, CASE WHEN k = 12 THEN CASE {_GUARD_CASES} END END AS code FROM e)
+SELECT conv_id, CASE WHEN error IS NOT NULL OR code IS NOT NULL THEN 'reject' ELSE 'proceed' END AS decision,
+       '{_q(mod.REJECT_PREFIX)}' || code AS reject_reason,
+       CASE WHEN k IN (4, 5) THEN error WHEN error IS NOT NULL THEN '{_q(mod.ERROR_PREFIX)}' || error END AS reject_message
+FROM v"""
+
+
+@register("request_verdict", _VERDICT_SQL)
+def q_request_verdict(spark, sf_dir):
+    return mod.verdict(mod.explode_requests(_requests(spark, sf_dir)), mod.keyword_guard({**GUARD_TERMS, "the": "S6"}))
+
+
+_PROMPTS = f"""
+WITH p AS (SELECT conv_id, '{_q(_before)}' || string_agg(upper(coalesce(role, 'user')) || ': ' || coalesce(text, ''),
+                                                        chr(10) || chr(10) ORDER BY turn) || '{_q(_after)}' AS prompt
+           FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, prompt, length(prompt) % 5 AS k FROM p)
+"""
+
+
+def _prompts(spark, sf_dir):
+    return mod.render_prompt(mod.format_conversation(load_table(spark, sf_dir, "conversations"))).select("conv_id", "prompt")
+
+
+def _two_step_model(prompts, max_tokens):
+    """Stands in for a guard model: one token by the prompt's length, then a reason."""
+    return [("safe" if len(p) % 5 else "unsafe") if max_tokens == 1 else f"S{len(p) % 17 + 1}" for p in prompts]
+
+
+@register("classify_two_step", _PROMPTS + """
+SELECT conv_id, CASE WHEN k = 0 THEN 'unsafe' ELSE 'safe' END AS first_token, k = 0 AS flagged,
+       CASE WHEN k = 0 THEN 'S' || ((length(prompt) + 6) % 17 + 1) END AS reason FROM k""")
+def q_classify_two_step(spark, sf_dir):
+    from ..operators.classify import classify
+    return classify(_prompts(spark, sf_dir), _two_step_model)
+
+
+def _structured_model(prompts):
+    """Stands in for a model with structured output; some answers are not valid."""
+    return [['{"category": "Hate", "rationale": "r"}', '{"category": "Safe", "rationale": "fine"}', "no json",
+             '{"category": "Other", "rationale": "r"}', '{"category": "Safe"}'][len(p) % 5] for p in prompts]
+
+
+@register("classify_structured", _PROMPTS + """
+SELECT conv_id, ['Hate', 'Safe', NULL, 'Other', 'Safe'][k + 1] AS category, ['r', 'fine', NULL, 'r', NULL][k + 1] AS rationale,
+       ['S10', 'S17', NULL, NULL, 'S17'][k + 1] AS code, ['reject', 'proceed', NULL, NULL, NULL][k + 1] AS decision,
+       [NULL, NULL, 'Invalid structured output', 'Unknown category: Other', 'Invalid structured output'][k + 1] AS error FROM k""")
+def q_classify_structured(spark, sf_dir):
+    from ..operators.classify import classify_structured
+    return classify_structured(_prompts(spark, sf_dir), _structured_model)

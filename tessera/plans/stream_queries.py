@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..sources.tables import load_table
 from ..streaming import jobs
-from .catalog import register
+from ..operators.moderation import keyword_guard
+from .catalog import ORACLES, register
 from .doc_inputs import DOCS_SQL, chunks_sql, document_columns
-from .message_inputs import stream_events
+from .message_inputs import agent_events, stream_events
+from .moderation_queries import GUARD_TERMS, _requests
 
 
 @register("stream_chunks", "WITH " + DOCS_SQL + "," + chunks_sql() + " SELECT * FROM chunks")
@@ -48,3 +50,21 @@ def q_merge_deltas_stream(spark, sf_dir):
          .outputMode("append").trigger(availableNow=True).start())
     jobs.run_to_completion(q)
     return spark.read.parquet(out)
+
+
+@register("stream_filter_stream", ORACLES["stream_filter"])
+def q_stream_filter_stream(spark, sf_dir):
+    _, stream = jobs.stream_from_table(spark, agent_events(spark, sf_dir), "agent_events")
+    out, ckpt = shared_dir(spark, "stream_filter", "out"), shared_dir(spark, "stream_filter", "ckpt")
+    q = (jobs.filter_events_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    jobs.run_to_completion(q)
+    return spark.read.parquet(out)
+
+
+@register("moderate_stream", ORACLES["request_verdict"])
+def q_moderate_stream(spark, sf_dir):
+    _, stream = jobs.stream_from_table(spark, _requests(spark, sf_dir), "requests")
+    out, ckpt = shared_dir(spark, "moderate", "out"), shared_dir(spark, "moderate", "ckpt")
+    jobs.run_to_completion(jobs.moderate_stream(stream, keyword_guard({**GUARD_TERMS, "the": "S6"}), out, ckpt))
+    return spark.read.parquet(out).drop("batch")
