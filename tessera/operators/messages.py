@@ -22,6 +22,7 @@ TOOL_CALL_TEXT = "tool call"
 FALLBACK_TEXT = ("I'm experiencing technical difficulties right now, but I'm here to help. "
                  "Could you please try again?")
 
+# The fields of a chat message and the event types of a response stream.
 CHAT_MESSAGE_FIELDS = ["role", "content", "name", "tool_calls", "tool_call_id"]
 
 
@@ -172,23 +173,22 @@ def merge_deltas(events: DataFrame, key: str = "request_id", order: list[str] |
                     "item_id", "text"))
 
 
-def response_text(col: str = "response") -> F.Column:
-    """Assistant text from a model response JSON text: ``choices[0].message.content``
-    when ``choices`` is present, else ``content`` when present, else the bare
-    string, else the whole response text; a missing response (failed call) or a
-    ``choices`` without that path gives the fallback text."""
-    v = F.expr(f"try_parse_json({col})")
-    kind = F.expr(f"schema_of_variant(try_parse_json({col}))")
+def response_text(df: DataFrame, col: str = "response", out: str = "text") -> DataFrame:
+    """Add the assistant's text from a model response JSON text, parsed once:
+    ``choices[0].message.content`` when ``choices`` is present, else ``content`` when
+    present, else the bare string, else the whole response text; a missing
+    response (failed call) or a ``choices`` without that path gives the fallback."""
+    v = df.withColumn("_v", F.expr(f"try_parse_json({col})"))
+    kind = F.expr("schema_of_variant(_v)")
     is_obj = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    has = lambda k: F.expr(f"variant_get(try_parse_json({col}), '$.{k}') IS NOT NULL")
-    choice = F.expr(f"variant_get(try_parse_json({col}), '$.choices[0].message.content')")
-    return (F.when(F.col(col).isNull(), F.lit(FALLBACK_TEXT))
-            .when(is_obj & has("choices"),
-                  F.when(choice.isNull(), F.lit(FALLBACK_TEXT))
-                   .otherwise(F.variant_get(v, "$.choices[0].message.content", "string")))
-            .when(is_obj & has("content"), F.variant_get(v, "$.content", "string"))
-            .when(kind == "STRING", F.variant_get(v, "$", "string"))
+    has = lambda k: F.expr(f"try_variant_get(_v, '$.{k}') IS NOT NULL")
+    choice = F.expr("try_variant_get(_v, '$.choices[0].message.content', 'string')")
+    text = (F.when(F.col(col).isNull(), F.lit(FALLBACK_TEXT))
+            .when(is_obj & has("choices"), F.coalesce(choice, F.lit(FALLBACK_TEXT)))
+            .when(is_obj & has("content"), F.expr("try_variant_get(_v, '$.content', 'string')"))
+            .when(kind == "STRING", F.expr("try_variant_get(_v, '$', 'string')"))
             .otherwise(F.col(col)))
+    return v.withColumn(out, text).drop("_v")
 
 
 def conversation_payload(msgs: DataFrame, key: str = "chat_id",

@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tool_text
+from ..session import write_once
 from .ordering import runs
 
 # Error and verdict texts of the guardrail.
@@ -143,7 +144,9 @@ def collapse_roles(flat: DataFrame, ignore_system: bool = True, errors: DataFram
                .withColumn("role", F.when(F.col("role") == "tool", "assistant").otherwise(F.col("role")))
     if ignore_system:
         rows = rows.filter(F.coalesce(F.col("role"), F.lit("")) != "system")
-    rows = runs(rows.select("conv_id", "pos", "part", "role", "text"), ["conv_id"], ["pos", "part"], "role", "grp")
+    # only the keys and roles are numbered; the text joins its run afterwards
+    keys = runs(rows.select("conv_id", "pos", "part", "role"), ["conv_id"], ["pos", "part"], "role", "grp")
+    rows = rows.drop("role").join(keys, ["conv_id", "pos", "part"])
     groups = (rows.groupBy("conv_id", "grp")
               .agg(F.first("role").alias("role"),
                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "text"))),
@@ -155,10 +158,16 @@ def collapse_roles(flat: DataFrame, ignore_system: bool = True, errors: DataFram
             .withColumn("valid", F.col("_bad").isNull()).drop("_bad"))
 
 
+def _flat(msgs: DataFrame) -> DataFrame:
+    """The flattened messages, parsed and written once: the errors, the runs and the
+    texts are read from there."""
+    return write_once(flatten_messages(msgs), "messages")
+
+
 def moderation_groups(msgs: DataFrame, ignore_system: bool = True, ignore_old: bool = False) -> DataFrame:
     """Collapsed conversation groups ``(conv_id, grp, role, content)`` of every
     conversation that passes validation and the alternation check."""
-    g = collapse_roles(flatten_messages(msgs), ignore_system)
+    g = collapse_roles(_flat(msgs), ignore_system)
     g = g.filter(F.col("valid") & F.col("order_ok"))
     if ignore_old:
         g = g.filter((F.col("n_groups") <= 2) | (F.col("grp") >= F.col("n_groups") - 2))
@@ -172,7 +181,7 @@ def _order_errors(groups: DataFrame) -> DataFrame:
 
 def conversation_errors(msgs: DataFrame, ignore_system: bool = True) -> DataFrame:
     """``(conv_id, error)``: the first validation error, else the order error."""
-    flat = flatten_messages(msgs)
+    flat = _flat(msgs)
     first = first_errors(flat)
     return first.unionByName(_order_errors(collapse_roles(flat, ignore_system, first))).select("conv_id", "error")
 
@@ -203,9 +212,9 @@ def verdict(msgs: DataFrame, model, ignore_system: bool = True, ignore_old: bool
     of valid conversations (a conversation with no group left is scored by an
     empty input and comes back unflagged unless the model says otherwise).
     """
-    flat = flatten_messages(msgs)
+    flat = _flat(msgs)
     first = first_errors(flat)
-    g = collapse_roles(flat, ignore_system, first)
+    g = write_once(collapse_roles(flat, ignore_system, first), "groups")
     errs = first.unionByName(_order_errors(g))
     ok = g.filter(F.col("valid") & F.col("order_ok"))
     if ignore_old:

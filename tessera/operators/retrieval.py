@@ -106,7 +106,7 @@ class DenseScorer:
         """(ids, query places, scores) of the pairs with at least their query's floor."""
         s = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in part["v"]])) @ self.matrix.T
         row, q = np.nonzero(s >= floor[None, :])
-        return part["id"].to_numpy()[row], q, s[row, q]
+        return _array(part["id"])[row], q, s[row, q]
 
 
 class Bm25Scorer:
@@ -132,7 +132,7 @@ class Bm25Scorer:
         pair, back = np.unique(np.repeat(row, count) * n_q + self.query[at], return_inverse=True)
         s = np.bincount(back, weights=np.repeat(weight, count) * self.idf[at], minlength=len(pair))
         good = s >= floor[pair % n_q]
-        return part["id"].to_numpy()[pair[good] // n_q], pair[good] % n_q, s[good]
+        return _array(part["id"])[pair[good] // n_q], pair[good] % n_q, s[good]
 
 
 def _slices(batches):
@@ -171,7 +171,7 @@ def _partition_topk(scorer, k: int, digits: int | None):
                 held, pending = cut(), 0
         if held:
             (ids, q, s), = cut()
-            yield pd.DataFrame({"qid": known.qids[q], "doc": ids, "score": s})
+            yield pd.DataFrame({"qid": _column(known.qids[q]), "doc": _column(ids), "score": s})
     return run
 
 
@@ -200,10 +200,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _array(values: list) -> np.ndarray:
-    """Ids as an array; strings stay objects."""
-    out = np.array(values)
-    return out.astype(object) if out.dtype.kind in "US" else out
+def _array(values) -> np.ndarray:
+    """Ids as an array; strings as UTF-8 bytes, which compare fast and in Spark's order."""
+    out = np.array(list(values))
+    return np.char.encode(out, "utf-8") if out.dtype.kind == "U" else out
+
+
+def _column(ids: np.ndarray) -> np.ndarray:
+    """Ids as they were."""
+    return np.char.decode(ids, "utf-8").astype(object) if ids.dtype.kind == "S" else ids
 
 
 def _dense(block: DataFrame, docs: DataFrame, qid: str, qvec: str, vid: str, vvec: str):
@@ -265,7 +270,7 @@ def _bm25(block: DataFrame, docs: DataFrame, qid: str, qtext: str, id_col: str,
              .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()}
     n_docs, total = (found[""].n, found[""].dl) if "" in found else (0, 0)
     qids = _array(list(dict.fromkeys(r.q for r in qt)))
-    place = {q: i for i, q in enumerate(qids)}
+    place = {q: i for i, q in enumerate(dict.fromkeys(r.q for r in qt))}
     by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
     for r in qt:
         if r.t in found:
@@ -298,9 +303,9 @@ def _pair_scores(scorer, pairs):
         known, wanted = scorer.value, pairs.value
         for part in _slices(batches):
             ids, q, s = known.entries(part, np.full(len(known.qids), -np.inf))
-            qids = known.qids[q]
-            good = np.fromiter((x in wanted.get(i, ()) for i, x in zip(ids, qids)), bool, len(ids))
-            yield pd.DataFrame({"qid": qids[good], "doc": ids[good], "score": np.round(s[good], 9)})
+            qids, ids = _column(known.qids[q]).tolist(), _column(ids)
+            good = np.fromiter((x in wanted.get(i, ()) for i, x in zip(ids.tolist(), qids)), bool, len(ids))
+            yield pd.DataFrame({"qid": _column(known.qids)[q[good]], "doc": ids[good], "score": np.round(s[good], 9)})
     return run
 
 
@@ -309,7 +314,7 @@ def _counts_ahead(scorer, targets):
     stand ahead of it in the query's list."""
     def run(batches):
         known = scorer.value
-        place = {x: i for i, x in enumerate(known.qids)}
+        place = {x: i for i, x in enumerate(_column(known.qids).tolist())}
         tq = np.array([place[x] for x, _, _ in targets.value], dtype=np.int64)
         tid, ts = _array([d for _, d, _ in targets.value]), np.array([s for _, _, s in targets.value])
         floor, total = np.full(len(known.qids), np.inf), np.zeros(len(tq), dtype=np.int64)
@@ -324,7 +329,7 @@ def _counts_ahead(scorer, targets):
             mine = own[order]
             total[order[mine]] += (ahead - before)[mine]
         some = total > 0
-        yield pd.DataFrame({"qid": known.qids[tq[some]], "doc": tid[some], "ahead": total[some]})
+        yield pd.DataFrame({"qid": _column(known.qids)[tq[some]], "doc": _column(tid)[some], "ahead": total[some]})
     return run
 
 
@@ -468,15 +473,26 @@ def echo_model(questions: pd.Series, contexts: pd.Series) -> pd.Series:
 
 
 def answer_questions(questions: DataFrame, facts: DataFrame, model_fn: Callable = echo_model,
-                     qid: str = "qid", text_col: str = "text", speaker: str = "Response Agent") -> DataFrame:
-    """Grounded answers: question + facts JSON -> ``model_fn`` (per Arrow batch)
-    -> text tagged with the speaker name. ``(qid, question, facts, answer)``."""
+                     qid: str = "qid", text_col: str = "text", speaker: str = "Response Agent",
+                     structured: DataFrame | None = None) -> DataFrame:
+    """Grounded answers: question + facts JSON (+ structured rows) -> ``model_fn`` (per
+    Arrow batch) -> text tagged with the speaker name. ``(qid, question, facts, answer)``.
+
+    ``structured`` has ``(qid, data)``: the text of the table lookups for a question;
+    it follows the facts in the context, under the structured speaker's tag.
+    """
     j = questions.select(F.col(qid).alias("qid"), F.col(text_col).alias("question")) \
         .join(facts.select("qid", "facts"), "qid", "left") \
         .withColumn("facts", F.coalesce("facts", F.lit("{}")))
+    context = F.col("facts")
+    if structured is not None:
+        j = j.join(structured.select("qid", "data"), "qid", "left")
+        context = F.concat_ws("\n", "facts", F.when(F.col("data").isNotNull(), tag_speaker("data", "Structured Agent")))
 
     @F.pandas_udf(T.StringType())
     def _answer(q: pd.Series, c: pd.Series) -> pd.Series:
         return model_fn(q, c)
 
-    return j.withColumn("answer", tag_speaker(_answer("question", "facts"), speaker, only_nonempty=False))
+    return (j.withColumn("_context", context)
+            .withColumn("answer", tag_speaker(_answer("question", "_context"), speaker, only_nonempty=False))
+            .select("qid", "question", "facts", "answer"))

@@ -102,7 +102,7 @@ SELECT conv_id, turn,
                         WHEN 4 THEN '{_q(msg.FALLBACK_TEXT)}' ELSE text END AS text
 FROM conversations WHERE role = 'assistant'""")
 def q_response_text(spark, sf_dir):
-    return model_responses(spark, sf_dir).select("conv_id", "turn", msg.response_text("response").alias("text"))
+    return msg.response_text(model_responses(spark, sf_dir), "response", "answer").select("conv_id", "turn", F.col("answer").alias("text"))
 
 
 TOOL_SCHEMA = {"properties": {"k": {"type": "integer"}, "w": {"type": "number"},

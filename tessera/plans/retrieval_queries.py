@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as rv
+from ..functions.numeric import pct_truncated_sql
 from ..operators.chunking import chunk_documents
+from ..operators.finance import prev_day_change, qoq_growth
 from ..sources.tables import load_table
 from .catalog import register
 from .doc_inputs import DOCS_SQL, chunks_sql, document_files
+from .finance_inputs import MARKET_SQL, daily_prices, financials
 
 TOPK_KEYWORD = 10
 
@@ -179,6 +182,49 @@ def q_index_sync(spark, sf_dir):
     return rv.sync_index(index, after, changes, embed_with=emb).select("id", "doc_uri", "content", "synced")
 
 
+# Each question asks about one ticker (by its id): its last close, that day's change
+# to the day before, and its last quarter's growth are looked up in the tables.
+_STRUCTURED_SQL = MARKET_SQL + f"""
+, pd AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM px),
+lastp AS (SELECT ticker, close, {pct_truncated_sql('close - prev', 'prev')} AS day_pct FROM pd
+          QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
+gq AS (SELECT *, lag(revenue_m) OVER (PARTITION BY ticker ORDER BY fiscal_year, fiscal_quarter) AS prev FROM fin),
+lastg AS (SELECT ticker, {pct_truncated_sql('revenue_m - prev', 'prev')} AS growth_pct FROM gq
+          QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC, fiscal_quarter DESC) = 1),
+st AS (SELECT p.ticker, 'close ' || CAST(close AS VARCHAR) || ', day ' || coalesce(CAST(day_pct AS VARCHAR), 'none')
+              || ', quarter ' || coalesce(CAST(growth_pct AS VARCHAR), 'none') AS data FROM lastp p JOIN lastg USING (ticker))
+"""
+
+
+def _structured(spark, sf_dir, questions):
+    px = prev_day_change(daily_prices(spark, sf_dir))
+    last = px.groupBy("ticker").agg(F.max_by(F.struct("close", "pct_change"), "date").alias("p"))
+    growth = qoq_growth(financials(spark, sf_dir)).groupBy("ticker").agg(
+        F.max_by(F.struct("growth_pct"), F.struct("fiscal_year", "fiscal_quarter")).alias("g"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    data = last.join(growth, "ticker").select("ticker", F.concat(
+        F.lit("close "), text("p.close"), F.lit(", day "), text("p.pct_change"), F.lit(", quarter "), text("g.growth_pct")).alias("data"))
+    ticker = F.concat(F.lit("N"), F.lpad((F.col("qid") % 25).cast("string"), 2, "0"))
+    return questions.select("qid", ticker.alias("ticker")).join(data, "ticker").select("qid", "data")
+
+
+@register("answer_questions", _HYBRID_SQL + "," + _STRUCTURED_SQL + """
+, hits AS (SELECT hy.qid, hy.rank, c.content FROM hy JOIN chunks c ON c.id = hy.doc WHERE hy.rank <= 2),
+fj AS (SELECT b.item_id AS qid, b.text, CASE WHEN count(h.content) = 0 THEN '{}'
+              ELSE '{' || chr(10) || '  ' || string_agg('"fact_' || h.rank || '": ' || CAST(to_json(h.content) AS VARCHAR),
+                                                       ',' || chr(10) || '  ' ORDER BY h.rank) || chr(10) || '}' END AS facts
+       FROM benchmark b LEFT JOIN hits h ON h.qid = b.item_id GROUP BY b.item_id, b.text)
+SELECT fj.qid, fj.text AS question, fj.facts,
+       '<name>Response Agent</name>' || chr(10) || 'Echo: ' || fj.text || chr(10) || fj.facts
+       || coalesce(chr(10) || '<name>Structured Agent</name>' || chr(10) || st.data, '') AS answer
+FROM fj LEFT JOIN st ON st.ticker = 'N' || lpad(CAST(fj.qid % 25 AS VARCHAR), 2, '0')""")
+def q_answer_questions(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    q = _bench(spark, sf_dir)
+    facts = rv.facts_json(rv.retrieve_facts(_hybrid(spark, sf_dir, chunks, q), chunks), queries=q)
+    return rv.answer_questions(q, facts, structured=_structured(spark, sf_dir, q))
+
+
 @register("facts_json", _BM25_SQL + f"""
 , hits AS (SELECT rk.qid, rk.rank, c.content FROM rk JOIN chunks c ON c.id = rk.doc WHERE rk.rank <= {TOPK_KEYWORD})
 SELECT b.item_id AS qid,

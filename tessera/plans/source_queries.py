@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.files import data_uri
+from ..operators.chunking import extract_text, pages_text
+from ..session import shared_dir
+from ..sources.files import data_uri, read_csv_tables
 from ..sources.tables import load_table
 from .catalog import register
+from .finance_inputs import MARKET_SQL, daily_prices
 
 
 @register("data_uri", """
@@ -18,3 +21,35 @@ def q_data_uri(spark, sf_dir):
     raw = F.encode("html", "UTF-8")
     return p.select("page_id", F.octet_length("html").cast("bigint").alias("n_bytes"),
                     data_uri(raw, "text/html").alias("data_uri"))
+
+
+@register("csv_tables", "WITH " + MARKET_SQL + " SELECT ticker, date, open, close, volume FROM px")
+def q_csv_tables(spark, sf_dir):
+    """Daily prices written as a directory of CSV files and scanned back with their types."""
+    px = daily_prices(spark, sf_dir)
+    path = shared_dir(spark, "csv")
+    px.repartition(4).write.option("header", True).csv(path)
+
+    out = None
+    for part in read_csv_tables(spark, path, default_schema=px.schema).values():
+        out = part if out is None else out.unionByName(part)
+    return out.select("ticker", "date", "open", "close", "volume")
+
+
+@register("extract_documents", """
+SELECT page_id, CASE WHEN page_id % 10 <> 9 THEN md5(html) END AS text_md5, page_id % 10 = 9 AS failed FROM pages""")
+def q_extract_documents(spark, sf_dir):
+    """Text extraction over binary rows; every tenth document is broken and goes to the quarantine."""
+    p = load_table(spark, sf_dir, "pages")
+    raw = F.when(F.col("page_id") % 10 == 9, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-8"))) \
+        .otherwise(F.encode("html", "UTF-8"))
+    out = extract_text(p.select(F.col("page_id").cast("string").alias("path"), raw.alias("content")))
+    return out.select(F.col("path").cast("bigint").alias("page_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                      F.col("error").isNotNull().alias("failed"))
+
+
+@register("pages_joined", """
+SELECT page_id, md5(replace(html, '<p>', chr(10))) AS text_md5 FROM pages""")
+def q_pages_joined(spark, sf_dir):
+    p = load_table(spark, sf_dir, "pages").select("page_id", F.split("html", "<p>", -1).alias("pages"))
+    return pages_text(p).select("page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -102,3 +102,11 @@ def materialize(df):
     recomputing them, and the lineage is cut for executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_once(df, name: str):
+    """Write ``df`` as Parquet below the shared folder and return it read back: every
+    later use reads only the columns it needs, and nothing is computed twice."""
+    path = shared_dir(df.sparkSession, "tables", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,15 +18,16 @@ def list_files(spark: SparkSession, directory: str, glob: str) -> DataFrame:
 
 
 def read_csv_tables(spark: SparkSession, directory: str, schemas: dict[str, T.StructType | str] | None = None,
-                    glob: str = "*.csv") -> dict[str, DataFrame]:
+                    glob: str = "*.csv", default_schema: T.StructType | str | None = None) -> dict[str, DataFrame]:
     """One DataFrame per ``*.csv`` file stem (header row). An explicit schema per
-    stem is used when given (dates and decimals stay typed); otherwise types
-    are inferred. The file list is small (one row per file) and is collected."""
+    stem, or else ``default_schema``, is used when given (dates and decimals stay
+    typed); otherwise types are inferred. The file list is small (one row per file) and is collected."""
     schemas = schemas or {}
     out = {}
     for r in list_files(spark, directory, glob).orderBy("stem").collect():
         reader = spark.read.option("header", True)
-        reader = reader.schema(schemas[r.stem]) if r.stem in schemas else reader.option("inferSchema", True)
+        schema = schemas.get(r.stem, default_schema)
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         out[r.stem] = reader.csv(r.path)
     return out
 

@@ -70,7 +70,7 @@ def test_response_text(spark):
     cases = [('{"choices":[{"message":{"content":"A"}}]}', "A"), ('{"content":"B"}', "B"), ('"C"', "C"),
              ('{"other":1}', '{"other":1}'), (None, msg.FALLBACK_TEXT), ('{"choices":[]}', msg.FALLBACK_TEXT)]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, response string")
-    got = [r.t for r in df.select("i", msg.response_text("response").alias("t")).orderBy("i").collect()]
+    got = [r.t for r in msg.response_text(df, out="t").orderBy("i").collect()]
     assert got == [e for _, e in cases]
 
 

@@ -50,7 +50,8 @@ def test_moderate_stream_over_several_batches(spark):
         [(i, json.dumps({"messages": [{"role": "user", "content": "bomb" if i % 4 == 0 else f"hi {i}"},
                                       {"role": "assistant", "content": "ok"}]})) for i in range(12)],
         "conv_id long, request string")
-    _, stream = jobs.stream_from_table(spark, reqs, "reqs_multi", 6)   # 6 files, 4 per trigger
+    path, _ = jobs.stream_from_table(spark, reqs, "reqs_multi", 6)
+    stream = spark.readStream.schema(reqs.schema).option("maxFilesPerTrigger", 4).parquet(path)   # two batches
     model = mod.keyword_guard({"bomb": "S9"})
     out, ckpt = shared_dir(spark, "modm", "out"), shared_dir(spark, "modm", "ckpt")
     jobs.run_to_completion(jobs.moderate_stream(stream, model, out, ckpt))
