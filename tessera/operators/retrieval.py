@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.jsonfmt import json_string
 from ..functions.text import normalize_ws, tag_speaker
+from ..session import write_once
 from .joins import null_safe_equal
 
 NUM_RESULTS = 2        # hits per search
@@ -246,16 +247,16 @@ def tokens(text_col: str) -> F.Column:
     return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: F.length(t) > 0)
 
 
-def _bm25(block: DataFrame, docs: DataFrame, qid: str, qtext: str, id_col: str, text_col: str, k1: float, b: float):
-    """(broadcast scorer, corpus rows) of a query block; None if it has no term.
+def _bm25(block: DataFrame, toks: DataFrame, qid: str, qtext: str, k1: float, b: float):
+    """(broadcast scorer, corpus rows) of a query block over tokenised chunks ``(id, v)``;
+    None if it has no term.
 
     One pass over the corpus counts chunks, tokens and, for the block's terms
     only, document frequencies: a chunk's distinct terms are joined with the
     broadcast terms before the (partial) aggregation. The empty term stands for
     the chunk itself and carries its length.
     """
-    spark = docs.sparkSession
-    toks = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("v"))
+    spark = toks.sparkSession
     qt = block.select(F.col(qid).alias("q"), F.explode(F.array_distinct(tokens(qtext))).alias("t")).orderBy("q", "t").collect()
     if not qt:
         return None
@@ -290,8 +291,9 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, qid:
     ties by lower id after rounding the score to 1e-9 (so engines agree on
     near-equal sums). Each partition forwards at most k rows per query."""
     schema = _schema(queries, qid, docs, id_col)
+    toks = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("v"))
     parts = [_block_topk(*x, schema, k, 9) for block in _blocks(queries, qid)
-             if (x := _bm25(block, docs, qid, qtext, id_col, text_col, k1, b))]
+             if (x := _bm25(block, toks, qid, qtext, k1, b))]
     return _union(parts) if parts else docs.sparkSession.createDataFrame([], schema + ", rank long")
 
 
@@ -371,9 +373,11 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, rrf_k
     m = rrf_k + 2 * k
     spark, parts = docs.sparkSession, []
     schema = _schema(queries, qid, docs, id_col)
+    # embedded and tokenised once; each pass reads the column it scores
+    corpus = write_once(docs.select(F.col(id_col).alias("id"), vec_col, tokens(text_col).alias("v")), "hybrid")
     for block in _blocks(queries, qid):
-        sides = [_dense(block, docs, qid, qvec, id_col, vec_col),
-                 _bm25(block, docs, qid, qtext, id_col, text_col, BM25_K1, BM25_B)]
+        sides = [_dense(block, corpus, qid, qvec, "id", vec_col),
+                 _bm25(block, corpus.select("id", "v"), qid, qtext, BM25_K1, BM25_B)]
         tops = [_block_topk(*x, schema, m, 9).select("qid", "doc", "rank").collect() if x else [] for x in sides]
         candidates = {(r.qid, r.doc) for top in tops for r in top}
         ranks = [(*row, n) for n, (x, top) in enumerate(zip(sides, tops)) if x
