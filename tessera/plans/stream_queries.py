@@ -68,3 +68,23 @@ def q_moderate_stream(spark, sf_dir):
     out, ckpt = shared_dir(spark, "moderate", "out"), shared_dir(spark, "moderate", "ckpt")
     jobs.run_to_completion(jobs.moderate_stream(stream, keyword_guard({**GUARD_TERMS, "the": "S6"}), out, ckpt))
     return spark.read.parquet(out).drop("batch")
+
+
+@register("refresh_chunks", "WITH " + DOCS_SQL.replace(
+    "CAST(strlen(text) AS BIGINT) AS size, text",
+    "CAST(strlen(CASE WHEN source = 'src7' THEN text || ' Revised.' WHEN source = 'src9' THEN '' ELSE text END) AS BIGINT) AS size, "
+    "CASE WHEN source = 'src7' THEN text || ' Revised.' WHEN source = 'src9' THEN '' ELSE text END AS text")
+    + "," + chunks_sql() + " SELECT id, doc_uri, size, content FROM chunks")
+def q_refresh_chunks(spark, sf_dir):
+    """All documents, then those of src7 again with a sentence more and those of src9 blank."""
+    d = load_table(spark, sf_dir, "documents")
+    base = document_columns(d).drop("doc_id")
+    changed = document_columns(
+        d.filter(F.col("source").isin("src7", "src9"))
+        .withColumn("text", F.when(F.col("source") == "src7", F.concat("text", F.lit(" Revised."))).otherwise(F.lit("")))).drop("doc_id")
+    src, out, ckpt = (shared_dir(spark, "refresh_chunks", x) for x in ("src", "out", "ckpt"))
+    for docs in (base, changed):
+        docs.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(base.schema).parquet(src)
+        jobs.run_to_completion(jobs.refresh_chunks(stream, out, ckpt))
+    return jobs.current_chunks(spark, out).select("id", "doc_uri", "size", "content")

@@ -1,6 +1,7 @@
 """Streaming jobs.
 
-* :func:`stream_chunks` - incremental chunk refresh over a file stream (S1/S2).
+* :func:`stream_chunks` - chunks of new files, appended (S1/S2); :func:`refresh_chunks`
+  replaces the chunks of documents that come again (S1).
 * :func:`merge_deltas_stream` - delta merging with ``applyInPandasWithState``;
   state per request is only the open run (S3).
 * :func:`filter_events_stream` - stateless event filter (S4).
@@ -47,6 +48,32 @@ def stream_chunks(docs_stream: DataFrame, out_path: str, checkpoint: str, trigge
     return _trigger(w, trigger, interval).start()
 
 
+def refresh_chunks(docs_stream: DataFrame, path: str, checkpoint: str, trigger: str = "available_now",
+                   interval: str = "1 second", **chunk_args):
+    """Chunk every new or changed document and replace what the table had of it.
+
+    Each micro-batch writes its chunks and the list of its documents below its
+    own ``batch=<id>`` folder (a replayed batch rewrites it); :func:`current_chunks`
+    reads, for each document, the chunks of the last batch that held it. Nothing
+    already written is rewritten, so a batch costs as much as its documents.
+    Versions of one document must come in different batches. Returns the started query.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        docs = batch.dropDuplicates(["doc_uri"])
+        chunk_documents(docs, **chunk_args).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        docs.select("doc_uri").write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
+
+    w = docs_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger, interval).start()
+
+
+def current_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`refresh_chunks` keeps: each document's latest chunks. A
+    document whose latest text is blank has none."""
+    last = spark.read.parquet(f"{path}/docs").groupBy("doc_uri").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/chunks").join(last, ["doc_uri", "batch"], "left_semi").drop("batch")
+
+
 MERGE_OUT = "request_id long, out_pos long, kind string, item_id string, text string"
 MERGE_STATE = "out_pos long, has_open boolean, open_id string, open_text string"
 
@@ -98,8 +125,9 @@ def merge_deltas_stream(events: DataFrame, key: str = "request_id", order_cols:
     Events of one request must arrive in order across micro-batches; inside a
     micro-batch they are sorted by ``order_cols``. A run closes on a done item,
     on ``response.completed`` (end of request) or, when ``idle_ms`` is set (for
-    continuous triggers), after that much idle processing time. Output rows
-    equal the batch job's.
+    continuous triggers), after that much idle processing time; the request's
+    next position stays in the state until ``response.completed``, so events that
+    come later go on from it. Output rows equal the batch job's.
     """
     order_cols = order_cols or ["seq"]
     ev = events.select(F.col(key).cast("long").alias("request_id"), *order_cols, "type", "item_id", "delta", "text")
