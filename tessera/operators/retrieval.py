@@ -130,10 +130,11 @@ class Bm25Scorer:
         weight = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[row] / self.mean_length))
         count = self.first[v + 1] - self.first[v]
         at = np.repeat(self.first[v], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        pair, back = np.unique(np.repeat(row, count) * n_q + self.query[at], return_inverse=True)
-        s = np.bincount(back, weights=np.repeat(weight, count) * self.idf[at], minlength=len(pair))
-        good = s >= floor[pair % n_q]
-        return _array(part["id"])[pair[good] // n_q], pair[good] % n_q, s[good]
+        # a slice of rows by a block of queries: a bounded table
+        s = np.bincount(np.repeat(row, count) * n_q + self.query[at], weights=np.repeat(weight, count) * self.idf[at],
+                        minlength=len(part) * n_q).reshape(len(part), n_q)
+        row, q = np.nonzero((s > 0) & (s >= floor[None, :]))
+        return _array(part["id"])[row], q, s[row, q]
 
 
 def _slices(batches):
