@@ -76,15 +76,19 @@ def q_moderate_stream(spark, sf_dir):
     "CASE WHEN source = 'src7' THEN text || ' Revised.' WHEN source = 'src9' THEN '' ELSE text END AS text")
     + "," + chunks_sql() + " SELECT id, doc_uri, size, content FROM chunks")
 def q_refresh_chunks(spark, sf_dir):
-    """All documents, then those of src7 again with a sentence more and those of src9 blank."""
+    """All documents, then those of src7 again with a sentence more and those of src9 blank.
+    Either batch also holds an older version of the documents of src7 and src9."""
     d = load_table(spark, sf_dir, "documents")
     base = document_columns(d).drop("doc_id")
     changed = document_columns(
         d.filter(F.col("source").isin("src7", "src9"))
         .withColumn("text", F.when(F.col("source") == "src7", F.concat("text", F.lit(" Revised."))).otherwise(F.lit("")))).drop("doc_id")
     src, out, ckpt = (shared_dir(spark, "refresh_chunks", x) for x in ("src", "out", "ckpt"))
-    for docs in (base, changed):
-        docs.write.mode("append").parquet(src)
-        stream = spark.readStream.schema(base.schema).parquet(src)
+    again = document_columns(d.filter(F.col("source").isin("src7", "src9"))).drop("doc_id")
+    older = document_columns(d.filter(F.col("source").isin("src7", "src9")).withColumn("text", F.lit("Draft."))).drop("doc_id")
+    for number, (docs, old) in enumerate(((base, older), (changed, again)), 1):
+        both = docs.withColumn("version", F.lit(2 * number)).unionByName(old.withColumn("version", F.lit(2 * number - 1)))
+        both.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(both.schema).parquet(src)
         jobs.run_to_completion(jobs.refresh_chunks(stream, out, ckpt))
     return jobs.current_chunks(spark, out).select("id", "doc_uri", "size", "content")

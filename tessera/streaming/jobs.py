@@ -48,20 +48,31 @@ def stream_chunks(docs_stream: DataFrame, out_path: str, checkpoint: str, trigge
     return _trigger(w, trigger, interval).start()
 
 
+def latest_versions(docs: DataFrame, version_col: str = "version", text_col: str = "text") -> DataFrame:
+    """The newest row of each ``doc_uri``; of equal versions the one with the greatest text
+    hash, so that every run keeps the same. Rows without a ``doc_uri`` all stay."""
+    order = F.struct(F.col(version_col), F.sha2(text_col, 256), *[F.col(c) for c in docs.columns if c not in (version_col, text_col)])
+    newest = (docs.where(F.col("doc_uri").isNotNull()).groupBy("doc_uri")
+              .agg(F.max_by(F.struct(*docs.columns), order).alias("_d")).select("_d.*"))
+    return newest.unionByName(docs.where(F.col("doc_uri").isNull()))
+
+
 def refresh_chunks(docs_stream: DataFrame, path: str, checkpoint: str, trigger: str = "available_now",
-                   interval: str = "1 second", **chunk_args):
+                   interval: str = "1 second", version_col: str = "version", **chunk_args):
     """Chunk every new or changed document and replace what the table had of it.
 
     Each micro-batch writes its chunks and the list of its documents below its
     own ``batch=<id>`` folder (a replayed batch rewrites it); :func:`current_chunks`
-    reads, for each document, the chunks of the last batch that held it. Nothing
-    already written is rewritten, so a batch costs as much as its documents.
-    Versions of one document must come in different batches. Returns the started query.
+    reads, for each document, the chunks of its newest version. Nothing already
+    written is rewritten, so a batch costs as much as its documents.
+    ``version_col`` (a modification time or sequence number) orders the versions of
+    a document, in one batch or in many; a null is older than any other, and of
+    equal versions the later batch counts. Returns the started query.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.dropDuplicates(["doc_uri"])
+        docs = latest_versions(batch, version_col, chunk_args.get("text_col", "text"))
         chunk_documents(docs, **chunk_args).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
-        docs.select("doc_uri").write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
+        docs.select("doc_uri", F.col(version_col).alias("version")).write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
 
     w = docs_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger, interval).start()
@@ -69,9 +80,13 @@ def refresh_chunks(docs_stream: DataFrame, path: str, checkpoint: str, trigger:
 
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The table that :func:`refresh_chunks` keeps: each document's latest chunks. A
-    document whose latest text is blank has none."""
-    last = spark.read.parquet(f"{path}/docs").groupBy("doc_uri").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/chunks").join(last, ["doc_uri", "batch"], "left_semi").drop("batch")
+    document whose latest text is blank has none. Documents without a ``doc_uri``
+    replace nothing and keep all their chunks."""
+    last = (spark.read.parquet(f"{path}/docs").groupBy("doc_uri")
+            .agg(F.max_by("batch", F.struct("version", "batch")).alias("batch")))
+    chunks = spark.read.parquet(f"{path}/chunks")
+    named = chunks.join(last, ["doc_uri", "batch"], "left_semi")
+    return named.unionByName(chunks.where(F.col("doc_uri").isNull())).drop("batch")
 
 
 MERGE_OUT = "request_id long, out_pos long, kind string, item_id string, text string"

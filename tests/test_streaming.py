@@ -76,3 +76,20 @@ def test_merge_deltas_stream_equals_batch(spark):
     got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     exp = sorted(tuple(r) for r in msg.merge_deltas(ev).collect())
     assert got == exp and len(got) == 6
+
+
+def test_refresh_keeps_the_newest_version_of_a_batch(spark):
+    schema = "doc_name string, doc_uri string, size bigint, text string, version int"
+    # the newest version comes first, in the middle and last of its document; two rows have no uri
+    first = [("a", "/a", 1, "a new", 3), ("a", "/a", 1, "a old", 1), ("b", "/b", 1, "b old", 1), ("b", "/b", 1, "b new", 2),
+             ("b", "/b", 1, "b none", None), ("c", "/c", 1, "c old", 1), ("c", "/c", 1, "c new", 2), ("n", None, 1, "n one", 1),
+             ("n", None, 1, "n two", 2), ("d", "/d", 1, "gone", 1), ("d", "/d", 1, "", 2)]
+    second = [("a", "/a", 1, "a late", 2), ("c", "/c", 1, "c same", 2), ("b", "/b", 1, "b next", 4), ("b", "/b", 1, "b mid", 3)]
+    src, out, ckpt = (shared_dir(spark, "refresh", x) for x in ("src", "out", "ckpt"))
+    for rows in (first, second):
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        df.write.mode("append").parquet(src)
+        jobs.run_to_completion(jobs.refresh_chunks(spark.readStream.schema(schema).parquet(src), out, ckpt))
+        got = sorted(r.content for r in jobs.current_chunks(spark, out).collect())
+        assert got == (["a new", "b new", "c new", "n one", "n two"] if rows is first else
+                       ["a new", "b next", "c same", "n one", "n two"])
