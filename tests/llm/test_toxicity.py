@@ -84,3 +84,29 @@ def test_empty_tables_and_single_class(spark):
     assert {r["score"] < 0.01 for r in toxicity.score_documents(docs, none).collect()} == {True}
     ones = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.score_documents(docs, ones).collect()} == {1}
+
+
+def test_one_insult_in_a_long_text_is_found(spark):
+    rows, labels = made(400, 2)
+    clean = random.Random(9).choices(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"], k=60_000)
+    long = [(1000, " ".join(clean)), (1001, " ".join([*clean, "idiot"])), (1002, "omega " * 60_000 + "idiot"),
+            (1003, " ".join([*clean[:30_000], "scum", *clean[30_000:]]))]
+    got = toxicity.score_documents(spark.createDataFrame(rows + long, "doc_id long, text string"),
+                                   spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 1000").collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {1000: 0, 1001: 1, 1002: 1, 1003: 1}
+
+
+def test_highest_window_does_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    buckets = np.unique(rng.integers(0, 1 << toxicity.HASH_BITS, 300_000))
+    model = toxicity.Model(buckets, rng.normal(size=len(buckets)).astype(np.float32), -0.5, 64)
+    table = model.table()
+    texts = [t for _, t in made(30, 5)[0]] + [None, "", "é", "x" * 62, "x" * 63, "long one " * 400 + "idiot " + "z " * 500]
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        for t, total, start in zip(texts, *model.highest(texts, table)):
+            n = len(t or "") + 2
+            sums = {s: (table[x] * f).sum(dtype=np.float64) for s in range(0, max(n - 32, 1), 32)
+                    for x, f in [toxicity.window_frequencies(t, s, 64)]}
+            best = max(sums.values())
+            assert abs(total - best) < 1e-4 and abs(sums[int(start)] - best) < 1e-4
