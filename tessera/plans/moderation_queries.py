@@ -173,6 +173,38 @@ def q_request_verdict(spark, sf_dir):
     return mod.verdict(mod.explode_requests(_requests(spark, sf_dir)), mod.keyword_guard({**GUARD_TERMS, "the": "S6"}))
 
 
+# Requests of whole conversations: all messages of a conversation in one list, and the
+# cases of the checks as further requests with negative ids.
+def conversation_requests(spark, sf_dir):
+    m = chat_messages_json(spark, sf_dir)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"]), ",")
+    whole = m.groupBy("conv_id").agg(F.concat(F.lit('{"messages":['), listed, F.lit("]}")).alias("request"))
+    cases = spark.createDataFrame([(-1 - k, x) for k, x in enumerate(_CASES)], whole.schema)
+    return whole.unionByName(cases)
+
+
+def _case_message(k: int, error: str | None) -> str | None:
+    return error if error is None or k in (4, 5) else mod.ERROR_PREFIX + error
+
+
+CONVERSATION_VERDICT_SQL = f"SELECT * FROM ({_W}{_guard_sql()}) UNION ALL SELECT * FROM (VALUES " + ", ".join(
+    f"({-1 - k}, '{'proceed' if e is None else 'reject'}', NULL, {_sql_text(_case_message(k, e))})"
+    for k, e in enumerate(_CASE_ERRORS)) + ")"
+
+
+@register("conversation_request_errors", f"""
+SELECT * FROM ({_W} SELECT conv_id, '{_q(mod.ORDER_ERROR)}' AS error FROM n WHERE bad)
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"({-1 - k}, {_sql_text(e)})" for k, e in enumerate(_CASE_ERRORS) if e is not None) + ")")
+def q_conversation_request_errors(spark, sf_dir):
+    return mod.conversation_errors(mod.explode_requests(conversation_requests(spark, sf_dir)))
+
+
+@register("conversation_request_verdict", CONVERSATION_VERDICT_SQL)
+def q_conversation_request_verdict(spark, sf_dir):
+    return mod.verdict(mod.explode_requests(conversation_requests(spark, sf_dir)), mod.keyword_guard(GUARD_TERMS))
+
+
 _PROMPTS = f"""
 WITH p AS (SELECT conv_id, '{_q(_before)}' || string_agg(upper(coalesce(role, 'user')) || ': ' || coalesce(text, ''),
                                                         chr(10) || chr(10) ORDER BY turn) || '{_q(_after)}' AS prompt

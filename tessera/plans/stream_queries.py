@@ -13,7 +13,7 @@ from ..operators.moderation import keyword_guard
 from .catalog import ORACLES, register
 from .doc_inputs import DOCS_SQL, chunks_sql, document_columns
 from .message_inputs import agent_events, stream_events
-from .moderation_queries import GUARD_TERMS, _requests
+from .moderation_queries import CONVERSATION_VERDICT_SQL, GUARD_TERMS, _requests, conversation_requests
 
 
 @register("stream_chunks", "WITH " + DOCS_SQL + "," + chunks_sql() + " SELECT * FROM chunks")
@@ -70,6 +70,15 @@ def q_moderate_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch")
 
 
+@register("moderate_stream_conversations", CONVERSATION_VERDICT_SQL)
+def q_moderate_stream_conversations(spark, sf_dir):
+    """Requests with all turns of their conversations, and malformed ones."""
+    _, stream = jobs.stream_from_table(spark, conversation_requests(spark, sf_dir), "conversation_requests")
+    out, ckpt = shared_dir(spark, "moderate_conversations", "out"), shared_dir(spark, "moderate_conversations", "ckpt")
+    jobs.run_to_completion(jobs.moderate_stream(stream, keyword_guard(GUARD_TERMS), out, ckpt))
+    return spark.read.parquet(out).drop("batch")
+
+
 @register("refresh_chunks", "WITH " + DOCS_SQL.replace(
     "CAST(strlen(text) AS BIGINT) AS size, text",
     "CAST(strlen(CASE WHEN source = 'src7' THEN text || ' Revised.' WHEN source = 'src9' THEN '' ELSE text END) AS BIGINT) AS size, "

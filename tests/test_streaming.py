@@ -93,3 +93,17 @@ def test_refresh_keeps_the_newest_version_of_a_batch(spark):
         got = sorted(r.content for r in jobs.current_chunks(spark, out).collect())
         assert got == (["a new", "b new", "c new", "n one", "n two"] if rows is first else
                        ["a new", "b next", "c same", "n one", "n two"])
+
+
+def test_requests_hold_all_turns(spark):
+    import __spark_entry__ as e
+    from tessera.plans.moderation_inputs import chat_messages_json
+    from tessera.plans.moderation_queries import GUARD_TERMS, conversation_requests
+    from tests.conftest import SF001
+    turns = {r.conv_id: r["count"] for r in chat_messages_json(spark, SF001).groupBy("conv_id").count().collect()}
+    reqs = {r.conv_id: r.request for r in conversation_requests(spark, SF001).collect()}
+    assert {k: len(json.loads(v)["messages"]) for k, v in reqs.items() if k >= 0} == turns and max(turns.values()) > 1
+    got = sorted(map(tuple, e.queries()["moderate_stream_conversations"](spark, SF001).select(
+        "conv_id", "decision", "reject_reason", "reject_message").where("conv_id >= 0").collect()), key=str)
+    exp = mod.verdict(chat_messages_json(spark, SF001), mod.keyword_guard(GUARD_TERMS)).collect()
+    assert got == sorted(map(tuple, exp), key=str)
