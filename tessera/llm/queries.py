@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, langid, line_dedup, packing, repetition, sharding, simhash, token_counts, toxicity, warc
+from . import (decontamination, langid, line_dedup, packing, repetition, runs, sentencepieces, sharding, simhash, token_counts,
+               toxicity, warc)
 from .common import read_table
 
 
@@ -50,7 +51,16 @@ def op10_langid(spark, sf_dir):
     return langid.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepieces(spark, sf_dir):
+    return sentencepieces.round_trip_digests(read_table(spark, sf_dir, "documents"),
+                                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_runs(spark, sf_dir):
+    return runs.run_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_sharding, op5_token_counts, op6_quality,
-                                  op7_decontamination, op8_line_dedup, op9_packing, op10_langid)}
+                                  op7_decontamination, op8_line_dedup, op9_packing, op10_langid, op11_sentencepieces, op12_runs)}
 
 ORACLE_SQL = {"op3_warc": warc.WARC_SQL, "op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
