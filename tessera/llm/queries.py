@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import (decontamination, langid, line_dedup, packing, repetition, runs, sentencepieces, sharding, simhash, token_counts,
-               toxicity, warc)
+from . import (decontamination, hard_negatives, langid, line_dedup, packing, repetition, runs, sentencepieces, sharding, simhash,
+               token_counts, toxicity, warc)
 from .common import read_table
 
 
@@ -60,7 +60,14 @@ def op12_runs(spark, sf_dir):
     return runs.run_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_sharding, op5_token_counts, op6_quality,
-                                  op7_decontamination, op8_line_dedup, op9_packing, op10_langid, op11_sentencepieces, op12_runs)}
+                                  op7_decontamination, op8_line_dedup, op9_packing, op10_langid, op11_sentencepieces, op12_runs,
+                                  op13_hard_negatives)}
 
-ORACLE_SQL = {"op3_warc": warc.WARC_SQL, "op8_line_dedup": line_dedup.LINE_DEDUP_SQL}
+ORACLE_SQL = {"op3_warc": warc.WARC_SQL, "op8_line_dedup": line_dedup.LINE_DEDUP_SQL,
+              "op12_runs": runs.RUNS_SQL,
+              "op13_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL}

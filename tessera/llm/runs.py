@@ -328,3 +328,51 @@ def run_digests(docs: DataFrame) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# In SQL: words that equal those q further for 16 words in a row, by a join of equal
+# windows of 16; a run has at least 16 of them (24 - q, or 2 q). crc32 by its byte table.
+RUNS_SQL = r"""
+with crc as (
+  select list(v order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) as v
+    from range(256) r(i))),
+d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         xor(4294967295, list_reduce(
+           [4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+           lambda x, c: xor(x >> 8, t[(xor(x, c) & 255) + 1]))) as h
+  from documents, crc),
+e as (
+  select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from d),
+f as (
+  select rid, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: case when i < a then w[i + 1]
+           else w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] end) end as w
+  from e),
+words as (select rid, unnest(range(n)) as i, unnest(w) as word from f),
+windows as (
+  select rid, n, i, array_to_string(list_slice(w, i + 1, i + 16), ' ') as win
+  from (select rid, n, w, unnest(range(n - 15)) as i from f where n >= 24)),
+equal as (
+  select x.rid, y.i - x.i as q, x.i from windows x join windows y on x.rid = y.rid and x.win = y.win
+  where x.i < y.i and 3 * (y.i - x.i) <= x.n),
+stretches as (
+  select rid, q, min(i) as s, max(i) + 16 - min(i) + q as length
+  from (select *, i - row_number() over (partition by rid, q order by i) as island from equal)
+  group by rid, q, island),
+runs as (
+  select rid, s, length, q from stretches where length >= 24 and length >= 3 * q
+  qualify row_number() over (partition by rid, s, length order by q) = 1),
+listed as (
+  select rid, count(*) as n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as lines,
+         arg_min({'s': s, 'length': length, 'q': q}, (-length::double / q, s, q)) as best
+  from runs group by rid),
+gone as (select distinct rid, unnest(range(s + q, s + length)) as i from runs),
+kept as (
+  select rid, string_agg(word, ' ' order by i) as text from words anti join gone using (rid, i) group by rid)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.length as length, best.q as period,
+       1000 * best.length // best.q as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+       sha256(coalesce(kept.text, '')) as collapsed_sha256
+from f left join listed using (rid) left join kept using (rid)
+"""
