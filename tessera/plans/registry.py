@@ -8,7 +8,8 @@ import importlib
 from ..session import ship_package
 from .catalog import ORACLES, QUERIES
 
-_MODULES = ["billing_queries", "chunk_queries", "finance_queries", "moderation_queries", "message_queries", "chat_queries", "retrieval_queries", "source_queries", "stream_queries"]
+_MODULES = ["billing_queries", "chunk_queries", "finance_queries", "moderation_queries", "message_queries", "chat_queries", "retrieval_queries", "source_queries", "stream_queries",
+            "index_queries"]
 
 for _m in _MODULES:
     importlib.import_module(f"{__package__}.{_m}")
