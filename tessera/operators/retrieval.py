@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.jsonfmt import json_string
 from ..functions.text import normalize_ws, tag_speaker
-from ..session import write_once
+from ..session import shared_dir, write_once
 from .joins import null_safe_equal
+from .postings import BM25_B, BM25_K1, TOKEN_SPLIT, Postings, build_postings, keyword_side
 
 NUM_RESULTS = 2        # hits per search
 RRF_K = 60             # reciprocal rank fusion constant
-BM25_K1, BM25_B = 1.2, 0.75
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 QUERY_BLOCK = 2048     # queries that are scored together
 SLICE_ROWS = 512       # corpus rows that are scored at a time
 
@@ -98,43 +97,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
 class DenseScorer:
     """Cosine of corpus vectors with a block of query vectors."""
 
-    columns = ("id", "v")
-
     def __init__(self, qids: np.ndarray, matrix: np.ndarray):
         self.qids, self.matrix = qids, _unit(matrix)
 
-    def entries(self, part: pd.DataFrame, floor: np.ndarray):
-        """(ids, query places, scores) of the pairs with at least their query's floor."""
-        s = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in part["v"]])) @ self.matrix.T
-        row, q = np.nonzero(s >= floor[None, :])
-        return _array(part["id"])[row], q, s[row, q]
-
-
-class Bm25Scorer:
-    """Okapi BM25 of tokenised chunks with a block of queries, over shared terms only."""
-
-    columns = ("id", "v")
+    def tables(self, batches, floor: np.ndarray):
+        """(ids, scores by query) of each slice of rows."""
+        for part in _slices(batches):
+            yield _array(part["id"]), _vectors(part["v"]) @ self.matrix.T
 
-    def __init__(self, qids, vocabulary: dict, first, query, idf, mean_length: float, k1: float, b: float):
-        self.qids, self.vocabulary, self.first, self.query, self.idf = qids, vocabulary, first, query, idf
-        self.mean_length, self.k1, self.b = mean_length, k1, b
 
-    def entries(self, part: pd.DataFrame, floor: np.ndarray):
-        n_q, n_v = len(self.qids), len(self.first) - 1
-        lengths = np.array([0 if t is None else len(t) for t in part["v"]], dtype=np.int64)
-        get = self.vocabulary.get
-        terms = np.array([get(t, -1) for ts in part["v"] if ts is not None for t in ts], dtype=np.int64)
-        hit = terms >= 0
-        key, tf = np.unique(np.repeat(np.arange(len(part)), lengths)[hit] * n_v + terms[hit], return_counts=True)
-        row, v = key // n_v, key % n_v
-        weight = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[row] / self.mean_length))
-        count = self.first[v + 1] - self.first[v]
-        at = np.repeat(self.first[v], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        # a slice of rows by a block of queries: a bounded table
-        s = np.bincount(np.repeat(row, count) * n_q + self.query[at], weights=np.repeat(weight, count) * self.idf[at],
-                        minlength=len(part) * n_q).reshape(len(part), n_q)
-        row, q = np.nonzero((s > 0) & (s >= floor[None, :]))
-        return _array(part["id"])[row], q, s[row, q]
+def _vectors(column) -> np.ndarray:
+    return _unit(np.stack([np.asarray(x, dtype=np.float64) for x in column]))
 
 
 def _slices(batches):
@@ -166,10 +139,11 @@ def _partition_topk(scorer, k: int, digits: int | None):
             stay = place < k
             return [(ids[stay], q[stay], s[stay])]
 
-        for part in _slices(batches):
-            held.append(known.entries(part, floor))
+        for ids, s in known.tables(batches, floor):
+            row, q = np.nonzero((s >= floor[None, :]) & (s > -np.inf))
+            held.append((ids[row], q, s[row, q]))
             pending += len(held[-1][0])
-            if pending > max(100_000, 4 * k * len(floor)):
+            if pending > max(64, 4 * k * len(floor)):
                 held, pending = cut(), 0
         if held:
             (ids, q, s), = cut()
@@ -244,117 +218,172 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding", ou
 
 # ----------------------------------------------------------- keyword search
 
-def tokens(text_col: str) -> F.Column:
-    return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: F.length(t) > 0)
-
+def search_postings(queries: DataFrame, index: Postings, k: int = NUM_RESULTS, qid: str = "qid",
+                    qtext: str = "text") -> DataFrame:
+    """BM25 top-k per query from a stored index: ``(qid, doc, score, rank)``;
+    idf = ln(1 + (N - df + 0.5)/(df + 0.5)), ties by lower id after rounding the
+    score to 1e-9 (so engines agree on near-equal sums). Each partition forwards at
+    most k rows per query."""
+    spark = queries.sparkSession
+    docs = index.table(spark, "docs")
+    hits = f"qid {queries.schema[qid].dataType.simpleString()}, doc long, score double"
+    parts = [_block_topk(*x, hits, k, 9) for block in _blocks(queries, qid) if (x := keyword_side(block, index, qid, qtext, _array))]
+    if not parts:
+        return spark.createDataFrame([], _schema(queries, qid, docs, "id") + ", rank long")
+    return _named(_union(parts), docs).select("qid", "doc", "score", "rank")
 
-def _bm25(block: DataFrame, toks: DataFrame, qid: str, qtext: str, k1: float, b: float):
-    """(broadcast scorer, corpus rows) of a query block over tokenised chunks ``(id, v)``;
-    None if it has no term.
 
-    One pass over the corpus counts chunks, tokens and, for the block's terms
-    only, document frequencies: a chunk's distinct terms are joined with the
-    broadcast terms before the (partial) aggregation. The empty term stands for
-    the chunk itself and carries its length.
-    """
-    spark = toks.sparkSession
-    qt = block.select(F.col(qid).alias("q"), F.explode(F.array_distinct(tokens(qtext))).alias("t")).orderBy("q", "t").collect()
-    if not qt:
-        return None
-    terms = sorted({r.t for r in qt})
-    vocabulary = {t: i for i, t in enumerate(terms)}
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in ["", *terms]], "term string"))
-    lengths = F.struct(F.lit("").alias("term"), F.size("v").cast("long").alias("dl"))
-    found = {r.term: r for r in
-             toks.select(F.explode(F.concat(F.array(lengths), F.transform(
-                 F.array_distinct("v"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl"))))).alias("r"))
-             .select("r.*").join(wanted, "term").groupBy("term")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()}
-    n_docs, total = (found[""].n, found[""].dl) if "" in found else (0, 0)
-    qids = _array(list(dict.fromkeys(r.q for r in qt)))
-    place = {q: i for i, q in enumerate(dict.fromkeys(r.q for r in qt))}
-    by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for r in qt:
-        if r.t in found:
-            df = found[r.t].n
-            by_term[vocabulary[r.t]].append((place[r.q], float(np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5)))))
-    flat = [x for xs in by_term for x in xs]
-    scorer = Bm25Scorer(qids, vocabulary, np.concatenate([[0], np.cumsum([len(x) for x in by_term])]).astype(np.int64),
-                        np.array([q for q, _ in flat], dtype=np.int64), np.array([x for _, x in flat]),
-                        total / n_docs if total else 1.0, k1, b)
-    return spark.sparkContext.broadcast(scorer), toks
+def _named(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits by the documents' numbers with their ids; where the hits are few, Spark ships
+    them to the scan of the numbers."""
+    return docs.select(F.col("n").alias("doc"), "id").join(hits, "doc").drop("doc").withColumnRenamed("id", "doc")
 
 
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, qid: str = "qid",
                  qtext: str = "text", id_col: str = "id", text_col: str = "content", k1: float = BM25_K1,
                  b: float = BM25_B) -> DataFrame:
-    """BM25 top-k per query: ``(qid, doc, score, rank)``; idf = ln(1 + (N - df + 0.5)/(df + 0.5)),
-    ties by lower id after rounding the score to 1e-9 (so engines agree on
-    near-equal sums). Each partition forwards at most k rows per query."""
-    schema = _schema(queries, qid, docs, id_col)
-    toks = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("v"))
-    parts = [_block_topk(*x, schema, k, 9) for block in _blocks(queries, qid)
-             if (x := _bm25(block, toks, qid, qtext, k1, b))]
-    return _union(parts) if parts else docs.sparkSession.createDataFrame([], schema + ", rank long")
+    """:func:`search_postings` over an index that is built of ``docs`` for this search: the corpus
+    is tokenised once, whatever the number of query blocks."""
+    return search_postings(queries, build_postings(docs, None, id_col, text_col, k1, b), k, qid, qtext)
+
+
+def skipped_blocks(queries: DataFrame, index: Postings, k: int = NUM_RESULTS, qid: str = "qid",
+                   qtext: str = "text") -> DataFrame:
+    """``(met, skipped)``: how many (query, block of documents) pairs share a term, and for how
+    many of them the bounds alone show that none of the query's top k is in the block."""
+    def count(scorer):
+        def run(batches):
+            known = scorer.value
+            known.met = known.skipped = 0
+            for _ in _partition_topk(scorer, k, 9)(batches):
+                pass
+            yield pd.DataFrame({"met": [known.met], "skipped": [known.skipped]})
+        return run
+
+    parts = [rows.mapInPandas(count(scorer), "met long, skipped long") for block in _blocks(queries, qid)
+             if (x := keyword_side(block, index, qid, qtext, _array)) for scorer, rows in [x]]
+    none = queries.sparkSession.createDataFrame([(0, 0)], "met long, skipped long")
+    return _union([none, *parts]).agg(F.sum("met").alias("met"), F.sum("skipped").alias("skipped"))
 
 
 # ------------------------------------------------------------------ fusion
 
+class _Pairs:
+    """Wanted (query, document) pairs of a block of queries, by document."""
+
+    def __init__(self, qids: np.ndarray, pairs: pd.DataFrame):
+        place = {x: i for i, x in enumerate(_column(qids).tolist())}
+        q = pairs["qid"].map(place)
+        known = q.notna().to_numpy()  # a query without terms has no list
+        doc, self.n_queries = pairs["doc"].to_numpy()[known], len(qids)
+        self.docs = np.unique(doc)
+        self.keys = np.sort(np.searchsorted(self.docs, doc) * self.n_queries + q[known].to_numpy(dtype=np.int64))
+
+    def among(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``docs``, query) of the wanted pairs."""
+        if not len(self.docs):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.docs, docs), len(self.docs) - 1)
+        own = np.flatnonzero(self.docs[at] == docs)
+        lo, hi = (np.searchsorted(self.keys, (at[own] + x) * self.n_queries) for x in (0, 1))
+        key = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange((hi - lo).sum())
+        return np.repeat(own, hi - lo), self.keys[key] % self.n_queries
+
+
 def _pair_scores(scorer, pairs):
-    """Rounded scores of the wanted (query, doc) pairs; ``pairs`` maps a doc to query ids."""
+    """Rounded scores of the wanted pairs that have one."""
     def run(batches):
         known, wanted = scorer.value, pairs.value
-        for part in _slices(batches):
-            ids, q, s = known.entries(part, np.full(len(known.qids), -np.inf))
-            qids, ids = _column(known.qids[q]).tolist(), _column(ids)
-            good = np.fromiter((x in wanted.get(i, ()) for i, x in zip(ids.tolist(), qids)), bool, len(ids))
-            yield pd.DataFrame({"qid": _column(known.qids)[q[good]], "doc": ids[good], "score": np.round(s[good], 9)})
+        for docs, s in known.tables(batches, np.full(len(known.qids), -np.inf)):
+            row, q = wanted.among(docs)
+            good = s[row, q] > -np.inf
+            row, q = row[good], q[good]
+            yield pd.DataFrame({"qid": _column(known.qids)[q], "doc": docs[row], "score": np.round(s[row, q], 9)})
     return run
 
 
+class _Targets:
+    """Documents of a block of queries whose ranks are wanted, in the order of the lists."""
+
+    #: Rounded scores in units of 1e-9 lie below half of this; a key has a query and a score.
+    SPAN = 1 << 50
+
+    def __init__(self, qids: np.ndarray, targets: pd.DataFrame):
+        place = {x: i for i, x in enumerate(_column(qids).tolist())}
+        q = targets["qid"].map(place).to_numpy(dtype=np.int64)
+        doc, score = targets["doc"].to_numpy(dtype=np.int64), targets["score"].to_numpy()
+        order = np.lexsort((doc, self.key(q, score)))
+        self.q, self.doc, self.score = q[order], doc[order], score[order]
+        self.keys = self.key(self.q, self.score)
+        self.floor = np.full(len(qids), np.inf)
+        np.minimum.at(self.floor, q, score - 1e-9)
+
+    def key(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return q * self.SPAN + self.SPAN // 2 - np.rint(score * 1e9).astype(np.int64)
+
+    def ahead(self, q: np.ndarray, score: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """How many of the given entries stand ahead of each target."""
+        keys = np.sort(own := self.key(q, score))
+        out = np.searchsorted(keys, self.keys) - np.searchsorted(keys, self.q * self.SPAN)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        tie = np.flatnonzero(self.keys[at] == own)  # entries with the score of a target: ids decide
+        if len(tie):
+            mine = np.flatnonzero(np.isin(self.keys, own[tie]))
+            k, d = np.concatenate([own[tie], self.keys[mine]]), np.concatenate([doc[tie], self.doc[mine]])
+            target = np.arange(len(k)) >= len(tie)
+            order = np.lexsort((~target, d, k))  # a target stands before its equal
+            before = np.cumsum(~target[order])
+            group = np.searchsorted(k[order], k[order])
+            count = before - np.concatenate([[0], before])[group]
+            back = np.empty(len(k), np.int64)
+            back[order] = count
+            out[mine] += back[len(tie):]
+        return out
+
+
 def _counts_ahead(scorer, targets):
-    """For each target (query id, doc, rounded score): how many docs of the partition
-    stand ahead of it in the query's list."""
+    """For each target: how many documents of the partition stand ahead of it in the query's list."""
     def run(batches):
-        known = scorer.value
-        place = {x: i for i, x in enumerate(_column(known.qids).tolist())}
-        tq = np.array([place[x] for x, _, _ in targets.value], dtype=np.int64)
-        tid, ts = _array([d for _, d, _ in targets.value]), np.array([s for _, _, s in targets.value])
-        floor, total = np.full(len(known.qids), np.inf), np.zeros(len(tq), dtype=np.int64)
-        np.minimum.at(floor, tq, ts - 1e-9)
-        for part in _slices(batches):
-            ids, q, s = known.entries(part, floor)
-            own = np.concatenate([np.ones(len(tq), bool), np.zeros(len(q), bool)])  # a target stands before its equal
-            all_q, all_s = np.concatenate([tq, q]), np.concatenate([ts, np.round(s, 9)])
-            order = np.lexsort((~own, np.concatenate([tid, ids]), -all_s, all_q))
-            ahead = np.cumsum(~own[order])
-            before = np.concatenate([[0], ahead])[np.searchsorted(all_q[order], all_q[order])]
-            mine = own[order]
-            total[order[mine]] += (ahead - before)[mine]
+        known, wanted = scorer.value, targets.value
+        total, held, pending = np.zeros(len(wanted.q), dtype=np.int64), [], 0
+
+        def add():
+            docs, q, s = (np.concatenate(x) for x in zip(*held))
+            return wanted.ahead(q, np.round(s, 9), docs)
+
+        for docs, s in known.tables(batches, wanted.floor):
+            row, q = np.nonzero((s >= wanted.floor[None, :]) & (s > -np.inf))
+            held.append((docs[row], q, s[row, q]))
+            pending += len(row)
+            if pending > 1_000_000:
+                total += add()
+                held, pending = [], 0
+        if held:
+            total += add()
         some = total > 0
-        yield pd.DataFrame({"qid": _column(known.qids)[tq[some]], "doc": _column(tid)[some], "ahead": total[some]})
+        yield pd.DataFrame({"qid": _column(known.qids)[wanted.q[some]], "doc": wanted.doc[some], "ahead": total[some]})
     return run
 
 
-def _other_ranks(scorer, corpus: DataFrame, listed: list, candidates: set, schema: str) -> list[tuple]:
-    """Exact ranks of the candidates that are not ``listed`` with theirs, as (qid, doc, rank).
-    A candidate without a score has no rank. All lists are bounded by the query block."""
-    have = {(r.qid, r.doc) for r in listed}
-    missing: dict = {}
-    for q, d in candidates - have:
-        missing.setdefault(d, set()).add(q)
-    out = [(r.qid, r.doc, r.rank) for r in listed]
-    if not missing:
-        return out
-    spark = corpus.sparkSession
-    wanted = spark.createDataFrame([(d,) for d in missing], corpus.select("id").schema)
-    rows = corpus.join(F.broadcast(wanted), "id", "left_semi")
-    scored = rows.mapInPandas(_pair_scores(scorer, spark.sparkContext.broadcast(missing)), schema).collect()
-    targets = spark.sparkContext.broadcast([(r.qid, r.doc, r.score) for r in scored])
-    counted = {(r.qid, r.doc): r.n for r in
-               corpus.mapInPandas(_counts_ahead(scorer, targets), schema.replace("score double", "ahead long"))
-               .groupBy("qid", "doc").agg(F.sum("ahead").alias("n")).collect()}
-    return out + [(r.qid, r.doc, 1 + counted.get((r.qid, r.doc), 0)) for r in scored]
+def _ranks(scorer, corpus: DataFrame, top: DataFrame, candidates: DataFrame, schema: str) -> DataFrame:
+    """``(qid, doc, r)`` of all candidates that have a score, from the stored ``top`` and two more passes
+    for the others. The other candidates of the query block, at most as many as the
+    two top lists have, are broadcast."""
+    context = corpus.sparkSession.sparkContext
+    listed = top.select("qid", "doc", F.col("rank").alias("r"))
+    missing = candidates.join(listed, ["qid", "doc"], "left_anti").toPandas()
+    if missing.empty:
+        return listed
+    pairs = context.broadcast(_Pairs(scorer.value.qids, missing))
+    scored = write_once(corpus.mapInPandas(_pair_scores(scorer, pairs), schema), "pair_scores")
+    rows = scored.toPandas()
+    if rows.empty:
+        return listed
+    targets = context.broadcast(_Targets(scorer.value.qids, rows))
+    ahead = (corpus.mapInPandas(_counts_ahead(scorer, targets), schema.replace("score double", "ahead long"))
+             .groupBy("qid", "doc").agg(F.sum("ahead").alias("ahead")))
+    others = scored.join(ahead, ["qid", "doc"], "left")
+    return listed.unionByName(others.select("qid", "doc", (F.coalesce("ahead", F.lit(0)) + 1).alias("r")))
 
 
 def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, rrf_k: int = RRF_K, qid: str = "qid",
@@ -369,31 +398,39 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = NUM_RESULTS, rrf_k
     least 1/(rrf_k + k), and a doc outside the first m of both lists at most
     2/(rrf_k + m + 1), which is less for m = rrf_k + 2k. So the answer is among the
     first m of either list. Their ranks in the other list come from one more pass
-    that counts the docs ahead of them, summed over partitions.
+    that counts the docs ahead of them, summed over partitions. Each block of queries
+    writes its ranks; all are joined and fused in Spark.
     """
     m = rrf_k + 2 * k
-    spark, parts = docs.sparkSession, []
-    schema = _schema(queries, qid, docs, id_col)
-    # embedded and tokenised once; each pass reads the column it scores
-    corpus = write_once(docs.select(F.col(id_col).alias("id"), vec_col, tokens(text_col).alias("v")), "hybrid")
+    spark, folder, blocks = docs.sparkSession, shared_dir(docs.sparkSession, "ranks"), 0
+    schema = f"qid {queries.schema[qid].dataType.simpleString()}, doc long, score double"
+    # embedded once; both lists go by the documents' numbers, which are in the order of their ids
+    corpus = write_once(docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), vec_col, text_col), "hybrid")
+    index = build_postings(corpus.select(F.struct("id", "r").alias("id"), text_col), None, "id", text_col)
+    numbers = index.table(spark, "docs").select("n", F.col("id.id").alias("id"), F.col("id.r").alias("row"))
+    vectors = write_once(corpus.select(F.col("r").alias("row"), vec_col).join(numbers.select("n", "row"), "row")
+                         .select(F.col("n").alias("id"), F.col(vec_col).alias("v")), "hybrid_vectors")
     for block in _blocks(queries, qid):
-        sides = [_dense(block, corpus, qid, qvec, "id", vec_col),
-                 _bm25(block, corpus.select("id", "v"), qid, qtext, BM25_K1, BM25_B)]
-        tops = [_block_topk(*x, schema, m, 9).select("qid", "doc", "rank").collect() if x else [] for x in sides]
-        candidates = {(r.qid, r.doc) for top in tops for r in top}
-        ranks = [(*row, n) for n, (x, top) in enumerate(zip(sides, tops)) if x
-                 for row in _other_ranks(*x, top, candidates, schema)]
-        if ranks:
-            parts.append(spark.createDataFrame(ranks, schema.replace("score double", "r long, list int")))
-    if not parts:
-        return spark.createDataFrame([], schema.replace("score double", "fused double, rank_v long, rank_k long, rank long"))
-    fused = (_union(parts).groupBy("qid", "doc")
+        sides = [_dense(block, vectors, qid, qvec, "id", "v"), keyword_side(block, index, qid, qtext, _array)]
+        tops = [write_once(_block_topk(*x, schema, m, 9), "top") if x else None for x in sides]
+        listed = [t.select("qid", "doc") for t in tops if t is not None]
+        if listed:
+            candidates = _union(listed).distinct()
+            for n, (side, top) in enumerate(zip(sides, tops)):
+                if side:
+                    _ranks(*side, top, candidates, schema).write.parquet(f"{folder}/block={blocks}/list={n}")
+            blocks += 1
+    if not blocks:
+        return spark.createDataFrame([], _schema(queries, qid, docs, id_col).replace(
+            "score double", "fused double, rank_v long, rank_k long, rank long"))
+    fused = (spark.read.parquet(folder).groupBy("qid", "doc")
              .agg(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("r"))).alias("fused"),
                   F.max(F.when(F.col("list") == 0, F.col("r"))).alias("rank_v"),
                   F.max(F.when(F.col("list") == 1, F.col("r"))).alias("rank_k")))
     w = Window.partitionBy("qid").orderBy(F.round("fused", 12).desc(), F.col("doc").asc())
-    return (fused.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint")))
+    best = (fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
+    return _named(best, numbers).select("qid", "doc", "fused", "rank_v", "rank_k", "rank")
 
 
 # ------------------------------------------------------------------- facts

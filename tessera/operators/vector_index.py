@@ -127,8 +127,6 @@ def replace_rows(index: VectorIndex, changed: DataFrame, gone: DataFrame, id_col
 class CellScorer(rv.DenseScorer):
     """Cosine of indexed rows with those queries of a block that probe the row's cell."""
 
-    columns = ("id", "v", "cell")
-
     def __init__(self, qids: np.ndarray, matrix: np.ndarray, probes: np.ndarray):
         super().__init__(qids, matrix)
         cell, query = probes.ravel(), np.repeat(np.arange(len(probes)), probes.shape[1])
@@ -136,17 +134,14 @@ class CellScorer(rv.DenseScorer):
         cuts = np.flatnonzero(np.diff(cell[order], prepend=-1))
         self.queries = dict(zip(cell[order][cuts].tolist(), np.split(query[order], cuts[1:])))
 
-    def entries(self, part: pd.DataFrame, floor: np.ndarray):
-        out = []
-        for cell, rows in part.groupby("cell", sort=False):
-            own = self.queries.get(cell)
-            if own is not None:
-                s = rv._unit(np.stack([np.asarray(x, dtype=np.float64) for x in rows["v"]])) @ self.matrix[own].T
-                row, q = np.nonzero(s >= floor[own][None, :])
-                out.append((rv._array(rows["id"])[row], own[q], s[row, q]))
-        if not out:
-            return rv._array(part["id"])[:0], np.empty(0, np.int64), np.empty(0)
-        return tuple(np.concatenate(x) for x in zip(*out))
+    def tables(self, batches, floor: np.ndarray):
+        for part in rv._slices(batches):
+            for cell, rows in part.groupby("cell", sort=False):
+                own = self.queries.get(cell)
+                if own is not None:
+                    s = np.full((len(rows), len(self.qids)), -np.inf)
+                    s[:, own] = rv._vectors(rows["v"]) @ self.matrix[own].T
+                    yield rv._array(rows["id"]), s
 
 
 def index_topk(queries: DataFrame, index: VectorIndex, k: int = rv.NUM_RESULTS, n_probe: int = 8, qid: str = "qid",
