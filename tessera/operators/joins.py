@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..session import write_once
+
+BROADCAST_BYTES = 32 << 20
 
 def null_safe_equal(left: list[Column], right: list[Column]) -> Column:
     cond = F.lit(True)
     for a, b in zip(left, right):
         cond = cond & a.eqNullSafe(b)
     return cond
+
+
+def shipped(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored once, and marked for broadcast if its rows measure ``BROADCAST_BYTES`` at most;
+    beyond that the join shuffles."""
+    rows = write_once(df, name)
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))).alias("n")).first()["n"] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows

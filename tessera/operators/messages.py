@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import stable_id
 from ..functions.jsonfmt import json_string
 from ..functions.text import normalize_ws
-from .ordering import runs
+from ..session import write_once
+from .ordering import position_in_group, runs
 
 TEXT_DELTA = "response.output_text.delta"
 ITEM_DONE = "response.output_item.done"
+END_OF_REQUEST = "response.completed"
 # Fixed value: message content used for a tool-call turn.
 TOOL_CALL_TEXT = "tool call"
 # Fixed value: the chat app's fallback text when the model call fails.
@@ -148,6 +150,26 @@ def filter_stream_events(events: DataFrame, answer_node: str = "response_agent")
     return events.filter(keep)
 
 
+def _delta_runs(events: DataFrame, types: tuple[str, ...], key: str, order: list[str], time_col: str | None = None) -> DataFrame:
+    """One row per run of consecutive deltas and per other event of ``types``: ``(key, run, type,
+    item_id, text, time)``. Only keys and types go through the numbering; the texts
+    meet their run numbers by row, so a request that holds most events is spread over all tasks."""
+    time = F.col(time_col) if time_col else F.lit(None).cast("timestamp")
+    rows = write_once(events.filter(F.col("type").isin(*types)).select(
+        F.monotonically_increasing_id().alias("_r"), key, *order, "type", "item_id", F.coalesce("delta", "text").alias("_d"),
+        time.alias("_time")), "delta_events")
+    numbered = runs(rows.select("_r", key, *order, "type"), [key], [*order, "_r"], "type", "run", singleton=F.col("type") != TEXT_DELTA)
+    ordkey = F.struct(*[F.col(c) for c in (*order, "_r")])
+    pieces = F.array_sort(F.collect_list(F.struct(ordkey.alias("o"), F.col("_d").alias("d"))))
+    return (rows.join(numbered.select("_r", F.col("run").cast("bigint").alias("run")), "_r").groupBy(key, "run")
+            .agg(F.first("type").alias("type"), F.min_by("item_id", ordkey).alias("item_id"),
+                 F.array_join(F.transform(pieces, lambda x: x["d"]), "").alias("text"), F.max("_time").alias("time")))
+
+
+def _kind(type_col: str = "type") -> F.Column:
+    return F.when(F.col(type_col) == ITEM_DONE, "done").otherwise("delta")
+
+
 def merge_deltas(events: DataFrame, key: str = "request_id", order: list[str] | None = None) -> DataFrame:
     """Collapse consecutive text deltas into one item.
 
@@ -156,21 +178,71 @@ def merge_deltas(events: DataFrame, key: str = "request_id", order: list[str] |
     events pass as they are and end a run; other event types are ignored and do
     not end a run. Output ``(key, out_pos, kind, item_id, text)``.
     """
+    merged = _delta_runs(events, (TEXT_DELTA, ITEM_DONE), key, order or ["seq"])
+    return merged.select(key, F.col("run").alias("out_pos"), _kind().alias("kind"), "item_id", "text")
+
+
+def delta_state_schema(events: DataFrame, key: str) -> str:
+    """Columns of the state of :func:`merge_deltas_step`: a request's next position, and its open
+    run, if there is one, which will have that position."""
+    return (f"{key} {events.schema[key].dataType.simpleString()}, next_pos bigint, open boolean, open_id string, open_text string, "
+            "last_time timestamp")
+
+
+def merge_deltas_step(events: DataFrame, state: DataFrame, key: str = "request_id", order: list[str] | None = None,
+                      time_col: str | None = None, watermark=None, idle_seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`merge_deltas` for the next part of a stream: ``(items, new state)``.
+
+    ``events`` come after those of earlier parts. A run that reaches the part's end stays
+    open in the state, unless the request ends in the part (``response.completed``,
+    which also takes the request out of the state) or the ``watermark`` is at least
+    ``idle_seconds`` after the request's last event. Every join is by request with a
+    table of one row per request; texts of a hot request stay spread.
+    """
     order = order or ["seq"]
-    ev = events.filter(F.col("type").isin(TEXT_DELTA, ITEM_DONE))
-    # every done item is a run of its own; consecutive deltas share one
-    ev = runs(ev, [key], order, "type", "out_pos", singleton=F.col("type") == ITEM_DONE)
-    ordkey = F.struct(*[F.col(c) for c in order])
-    return (ev.groupBy(key, "out_pos")
-            .agg(F.first("type").alias("_t"),
-                 F.min_by("item_id", ordkey).alias("item_id"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordkey.alias("o"),
-                                                                               F.coalesce("delta", "text")
-                                                                               .alias("d")))),
-                                          lambda x: x["d"]), "").alias("text"))
-            .select(key, F.col("out_pos").cast("bigint").alias("out_pos"),
-                    F.when(F.col("_t") == ITEM_DONE, "done").otherwise("delta").alias("kind"),
-                    "item_id", "text"))
+    found = write_once(_delta_runs(events, (TEXT_DELTA, ITEM_DONE, END_OF_REQUEST), key, order, time_col), "delta_runs")
+    is_end = F.col("type") == END_OF_REQUEST
+    items = found.where(~is_end)
+    if found.where(is_end).isEmpty():
+        items = items.withColumn("pos", F.col("run"))
+    else:  # ends are no items: positions among the items only
+        items = items.join(position_in_group(items.select(key, "run"), [key], ["run"], "pos"), [key, "run"])
+    part = found.groupBy(key).agg(
+        F.min_by("type", "run").alias("first_type"), F.max_by("type", "run").alias("last_type"), F.max("run").alias("last_run"),
+        F.count(F.when(~is_end, 1)).alias("n"), F.bool_or(is_end).alias("ended"), F.max("time").alias("time"))
+    each = part.join(state, key, "full").select(
+        key, F.coalesce("next_pos", F.lit(0)).alias("next_pos"), F.coalesce("open", F.lit(False)).alias("was_open"), "open_id", "open_text",
+        F.col("last_run").isNotNull().alias("here"), "last_run", "last_type", F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("ended", F.lit(False)).alias("ended"), F.coalesce(F.greatest("time", "last_time"), "time", "last_time").alias("last_time"),
+        (F.col("first_type") == TEXT_DELTA).alias("goes_on"))
+    goes_on = F.col("was_open") & F.coalesce("goes_on", F.lit(False))
+    cut = F.col("was_open") & F.col("here") & ~goes_on  # an open run that the part's first event ends
+    each = each.withColumn("joined", goes_on).withColumn("cut", cut).withColumn(
+        "base", F.col("next_pos") + F.col("cut").cast("int")).drop("goes_on")
+    each = write_once(each, "delta_requests")
+    first = F.col("joined") & (F.col("run") == 0)
+    placed = items.join(each.drop("last_time", "n"), key).select(
+        key, (F.col("base") + F.col("pos")).alias("out_pos"), _kind().alias("kind"),
+        F.when(first, F.col("open_id")).otherwise(F.col("item_id")).alias("item_id"),
+        F.when(first, F.concat("open_text", "text")).otherwise(F.col("text")).alias("text"),
+        ((F.col("type") == TEXT_DELTA) & (F.col("run") == F.col("last_run")) & ~F.col("ended")).alias("open"))
+    placed = write_once(placed, "delta_items")
+    old = lambda rows: rows.select(key, F.col("next_pos").alias("out_pos"), F.lit("delta").alias("kind"),
+                                   F.col("open_id").alias("item_id"), F.col("open_text").alias("text"))
+    out = placed.where(~F.col("open")).drop("open").unionByName(old(each.where("cut")))
+    still = placed.where("open").select(key, F.col("out_pos").alias("_pos"), F.col("item_id").alias("_id"), F.col("text").alias("_text"))
+    kept = each.where(~F.col("ended")).join(still, key, "left")
+    carried = F.col("was_open") & ~F.col("here")
+    has = F.col("_pos").isNotNull()
+    new = kept.select(key, F.when(has, F.col("_pos")).when(carried, F.col("next_pos")).otherwise(F.col("base") + F.col("n")).alias("next_pos"),
+                      (has | carried).alias("open"), F.when(has, F.col("_id")).when(carried, F.col("open_id")).alias("open_id"),
+                      F.when(has, F.col("_text")).when(carried, F.col("open_text")).alias("open_text"), "last_time")
+    if idle_seconds is not None and watermark is not None:
+        late = F.col("open") & (F.unix_micros("last_time") + int(idle_seconds * 1e6) <= F.unix_micros(F.lit(watermark)))
+        out = out.unionByName(old(new.where(late)))
+        new = new.select(key, (F.col("next_pos") + F.when(late, 1).otherwise(0)).alias("next_pos"), (F.col("open") & ~late).alias("open"),
+                         F.when(~late, F.col("open_id")).alias("open_id"), F.when(~late, F.col("open_text")).alias("open_text"), "last_time")
+    return out, new
 
 
 def response_text(df: DataFrame, col: str = "response", out: str = "text") -> DataFrame:

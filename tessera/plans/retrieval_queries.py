@@ -8,6 +8,7 @@ from ..operators import retrieval as rv
 from ..functions.numeric import pct_truncated_sql
 from ..operators.chunking import chunk_documents
 from ..operators.finance import prev_day_change, qoq_growth
+from ..session import write_once
 from ..sources.tables import load_table
 from .catalog import register
 from .doc_inputs import DOCS_SQL, chunks_sql, document_files
@@ -110,15 +111,27 @@ def q_hybrid_topk(spark, sf_dir):
     return _hybrid(spark, sf_dir, _chunks(spark, sf_dir), _bench(spark, sf_dir)).select("qid", "doc", "rank", "rank_v", "rank_k")
 
 
-@register("embed_documents", "WITH " + DOCS_SQL + "," + chunks_sql() + f"""
-, tk AS (SELECT id, unnest({_TOK.format(c='content')}) AS term FROM chunks),
+def embedding_sql(chunks):
+    """CTE ``embedded``: all columns of ``chunks`` and the token counts of the 256 buckets as text."""
+    return f"""
+, tk AS (SELECT id, unnest({_TOK.format(c='content')}) AS term FROM {chunks}),
 v AS (SELECT id, {_BUCKET.format(t="term")} AS b, count(*) AS n FROM tk GROUP BY id, b),
-g AS (SELECT chunks.id, s.b FROM chunks CROSS JOIN range(256) s(b))
-SELECT g.id, string_agg(CAST(coalesce(v.n, 0) AS VARCHAR), ',' ORDER BY g.b) AS embedding
-FROM g LEFT JOIN v ON v.id = g.id AND v.b = g.b GROUP BY g.id""")
+g AS (SELECT c.id, s.b FROM {chunks} c CROSS JOIN range(256) s(b)),
+em AS (SELECT g.id, string_agg(CAST(coalesce(v.n, 0) AS VARCHAR), ',' ORDER BY g.b) AS embedding
+       FROM g LEFT JOIN v ON v.id = g.id AND v.b = g.b GROUP BY g.id),
+embedded AS (SELECT c.*, em.embedding FROM {chunks} c JOIN em USING (id))
+"""
+
+
+def embedding_text(col):
+    """Token counts as text, as :func:`embedding_sql` has them."""
+    return F.array_join(F.transform(col, lambda x: x.cast("int").cast("string")), ",")
+
+
+@register("embed_documents", "WITH " + DOCS_SQL + "," + chunks_sql() + embedding_sql("chunks") + "SELECT id, embedding FROM embedded")
 def q_embed_documents(spark, sf_dir):
     e = rv.embed(_chunks(spark, sf_dir).select("id", "content"), "content", rv.bucket_counts)
-    return e.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
+    return e.select("id", embedding_text("embedding").alias("embedding"))
 
 
 def _docs_with_lang(spark, sf_dir):
@@ -169,17 +182,18 @@ def q_change_feed(spark, sf_dir):
     return rv.snapshot_diff(before, after, "id").select("id", "_change_type", "doc_uri", "size", "content")
 
 
-@register("index_sync", _SNAP_SQL + """
-SELECT ca.id, ca.doc_uri, ca.content,
-       ca.id IN (SELECT id FROM feed WHERE _change_type IN ('insert', 'update_postimage')) AS synced
-FROM ca""")
+@register("index_sync", _SNAP_SQL + embedding_sql("ca") + """
+SELECT id, doc_uri, content, embedding,
+       id IN (SELECT id FROM feed WHERE _change_type IN ('insert', 'update_postimage')) AS synced
+FROM embedded""")
 def q_index_sync(spark, sf_dir):
-    before, after = before_after(spark, sf_dir)
-    model = rv.hashing_embedder(before.select("content"), "content")
-    emb = lambda df: rv.apply_embedder(model, df, "content")
-    index = rv.sync_index(None, before, embed_with=emb)
-    changes = rv.snapshot_diff(before, after, "id")
-    return rv.sync_index(index, after, changes, embed_with=emb).select("id", "doc_uri", "content", "synced")
+    """The index of the older version, brought up to the newer one by the change feed."""
+    before, after = (write_once(x, "snapshot") for x in before_after(spark, sf_dir))
+    emb = lambda df: rv.embed(df, "content", rv.bucket_counts)
+    index = write_once(rv.sync_index(None, before, embed_with=emb), "index")
+    changes = write_once(rv.snapshot_diff(before, after, "id").select("id", "_change_type"), "changes")
+    return rv.sync_index(index, after, changes, embed_with=emb).select(
+        "id", "doc_uri", "content", embedding_text("embedding").alias("embedding"), "synced")
 
 
 # Each question asks about one ticker (by its id): its last close, that day's change

@@ -1,9 +1,10 @@
 """Streaming jobs.
 
 * :func:`stream_chunks` - chunks of new files, appended (S1/S2); :func:`refresh_chunks`
-  replaces the chunks of documents that come again (S1).
-* :func:`merge_deltas_stream` - delta merging with ``applyInPandasWithState``;
-  state per request is only the open run (S3).
+  replaces the chunks (and embeddings, V6) of documents that come again (S1),
+  :func:`compact_chunks` folds its batches into one committed version.
+* :func:`merge_deltas_stream` - delta merging, each micro-batch as a batch job with
+  a small state table of open runs and next positions, and event-time timers (S3).
 * :func:`filter_events_stream` - stateless event filter (S4).
 * :func:`moderate_stream` - moderation of request rows through
   ``foreachBatch``: each micro-batch runs the batch jobs unchanged (S5).
@@ -15,21 +16,19 @@ stopped.
 
 from __future__ import annotations
 
+import datetime
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.chunking import chunk_documents
-from ..operators.messages import ITEM_DONE, TEXT_DELTA, filter_stream_events
+from ..operators.joins import shipped
+from ..operators.messages import END_OF_REQUEST, delta_state_schema, filter_stream_events, merge_deltas_step
 from ..operators.moderation import explode_requests, verdict
+from ..operators.retrieval import embed
 from ..session import shared_dir
 
-END_OF_REQUEST = "response.completed"
-
-
 def _trigger(writer, trigger: str, interval: str = "1 second"):
     if trigger == "available_now":
         return writer.trigger(availableNow=True)
@@ -48,17 +47,27 @@ def stream_chunks(docs_stream: DataFrame, out_path: str, checkpoint: str, trigge
     return _trigger(w, trigger, interval).start()
 
 
-def latest_versions(docs: DataFrame, version_col: str = "version", text_col: str = "text") -> DataFrame:
-    """The newest row of each ``doc_uri``; of equal versions the one with the greatest text
-    hash, so that every run keeps the same. Rows without a ``doc_uri`` all stay."""
-    order = F.struct(F.col(version_col), F.sha2(text_col, 256), *[F.col(c) for c in docs.columns if c not in (version_col, text_col)])
-    newest = (docs.where(F.col("doc_uri").isNotNull()).groupBy("doc_uri")
-              .agg(F.max_by(F.struct(*docs.columns), order).alias("_d")).select("_d.*"))
-    return newest.unionByName(docs.where(F.col("doc_uri").isNull()))
+def latest_versions(docs: DataFrame, version_col: str = "version") -> DataFrame:
+    """The newest row of each ``doc_uri``; of equal versions the one with the greatest hash of its
+    columns, so that every run keeps the same. Rows without a ``doc_uri`` all stay.
+
+    Only keys and hashes are shuffled to find the documents that come more than
+    once; they are few as a rule, and are then broadcast to the rows.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_key", F.struct(F.col(version_col).alias("v"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")))
+    often = (keyed.where(F.col("doc_uri").isNotNull()).groupBy("doc_uri")
+             .agg(F.max("_key").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    marked = keyed.join(shipped(often, "often"), "doc_uri", "left").select(*columns, "_key", "_top")
+    one = Window.partitionBy("doc_uri").orderBy("_key")  # rows that equal each other in all columns
+    newest = (marked.where(F.col("_top").isNotNull() & F.col("_key").eqNullSafe(F.col("_top")))
+              .withColumn("_row", F.row_number().over(one)).where("_row = 1"))
+    return marked.where(F.col("_top").isNull()).select(*columns).unionByName(newest.select(*columns))
 
 
 def refresh_chunks(docs_stream: DataFrame, path: str, checkpoint: str, trigger: str = "available_now",
-                   interval: str = "1 second", version_col: str = "version", **chunk_args):
+                   interval: str = "1 second", version_col: str = "version", embed_fn: Callable | None = None,
+                   deleted_col: str | None = None, compact_every: int = 0, **chunk_args):
     """Chunk every new or changed document and replace what the table had of it.
 
     Each micro-batch writes its chunks and the list of its documents below its
@@ -67,88 +76,144 @@ def refresh_chunks(docs_stream: DataFrame, path: str, checkpoint: str, trigger:
     written is rewritten, so a batch costs as much as its documents.
     ``version_col`` (a modification time or sequence number) orders the versions of
     a document, in one batch or in many; a null is older than any other, and of
-    equal versions the later batch counts. Returns the started query.
+    equal versions the later batch counts. With ``embed_fn`` (as of
+    :func:`~tessera.operators.retrieval.embed`) the chunks carry their embeddings, so the
+    table is the vector index's source and only changed documents are embedded. A
+    row whose ``deleted_col`` is true takes its document out. After every
+    ``compact_every`` batches the table is compacted. Returns the started query.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        docs = latest_versions(batch, version_col, chunk_args.get("text_col", "text"))
-        chunk_documents(docs, **chunk_args).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        spark = batch.sparkSession
+        docs = latest_versions(batch, version_col)
+        live = docs.where(~F.coalesce(F.col(deleted_col), F.lit(False))).drop(deleted_col) if deleted_col else docs
+        chunks = chunk_documents(live, **chunk_args)
+        if embed_fn is not None:
+            chunks = embed(chunks, "content", embed_fn)
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        # the list comes last: a batch is visible once its list is complete
         docs.select("doc_uri", F.col(version_col).alias("version")).write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_chunks(spark, path)
 
     w = docs_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger, interval).start()
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder on whatever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the complete ``name=<n>`` folders below ``path``."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [str(x.getPath().getName()) for x in fs.listStatus(p)]
+    done = [int(x.split("=")[1]) for x in found if x.startswith(f"{name}=")]
+    return sorted(n for n in done if fs.exists(_folder(spark, f"{path}/{name}={n}/_SUCCESS")[1]))
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int, list[int]]:
+    """(version, last batch in it, batches that came later); version 0 is the empty table."""
+    versions = _numbers(spark, f"{path}/versions", "v")
+    version = versions[-1] if versions else 0
+    last = spark.read.parquet(f"{path}/versions/v={version}").first()["last_batch"] if version else -1
+    return version, last, [n for n in _numbers(spark, f"{path}/docs", "batch") if n > last]
+
+
+def _parts(spark: SparkSession, path: str, name: str, version: int, batches: list[int]) -> DataFrame | None:
+    """The rows of ``name`` in the version's folder and in the batches after it, with their ``batch``."""
+    parts = [spark.read.parquet(f"{path}/compact/v={version}/{name}")] if version else []
+    if batches:
+        folders = [f"{path}/{name}/batch={n}" for n in batches]
+        parts.append(spark.read.option("basePath", f"{path}/{name}").parquet(*folders).withColumn("batch", F.col("batch").cast("long")))
+    return parts[0].unionByName(parts[-1]) if len(parts) == 2 else parts[0] if parts else None
+
+
+def _current(spark: SparkSession, path: str, version: int, batches: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(chunks, list of documents) as they stand, with their ``batch``."""
+    docs = _parts(spark, path, "docs", version, batches).select("doc_uri", "version", "batch")
+    last = docs.groupBy("doc_uri").agg(F.max(F.struct("version", "batch")).alias("top")).select("doc_uri", "top.version", "top.batch")
+    chunks = _parts(spark, path, "chunks", version, batches)
+    # what is out of date is little as a rule: the chunks stay where they are
+    old = (docs.join(last.withColumnRenamed("batch", "_last").drop("version"), "doc_uri").where("batch <> _last")
+           .select("doc_uri", "batch").distinct())
+    return chunks.join(shipped(old, "outdated"), ["doc_uri", "batch"], "left_anti").select(*chunks.columns), last
+
+
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The table that :func:`refresh_chunks` keeps: each document's latest chunks. A
-    document whose latest text is blank has none. Documents without a ``doc_uri``
-    replace nothing and keep all their chunks."""
-    last = (spark.read.parquet(f"{path}/docs").groupBy("doc_uri")
-            .agg(F.max_by("batch", F.struct("version", "batch")).alias("batch")))
-    chunks = spark.read.parquet(f"{path}/chunks")
-    named = chunks.join(last, ["doc_uri", "batch"], "left_semi")
-    return named.unionByName(chunks.where(F.col("doc_uri").isNull())).drop("batch")
-
-
-MERGE_OUT = "request_id long, out_pos long, kind string, item_id string, text string"
-MERGE_STATE = "out_pos long, has_open boolean, open_id string, open_text string"
-
-
-def _merge_state_fn(order_cols: list[str], idle_ms: int | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        req = key[0]
-        if state.hasTimedOut:
-            # the open run is closed; the position stays, for events that come later
-            pos, has_open, oid, otext = state.get
-            state.update((pos + has_open, False, None, ""))
-            if has_open:
-                yield pd.DataFrame([{"request_id": req, "out_pos": pos, "kind": "delta", "item_id": oid,
-                                     "text": otext}])
-            return
-        pos, has_open, oid, otext = state.get if state.exists else (0, False, None, "")
-        ev = pd.concat(list(pdfs), ignore_index=True).sort_values(order_cols, kind="stable")
-        out = []
-        ended = False
-        for t, iid, delta, text in zip(ev["type"], ev["item_id"], ev["delta"], ev["text"]):
-            if t == TEXT_DELTA:
-                if not has_open:
-                    has_open, oid, otext = True, iid, ""
-                otext += delta or ""
-            elif t in (ITEM_DONE, END_OF_REQUEST):
-                if has_open:
-                    out.append((req, pos, "delta", oid, otext))
-                    pos, has_open, oid, otext = pos + 1, False, None, ""
-                if t == ITEM_DONE:
-                    out.append((req, pos, "done", iid, text))
-                    pos += 1
-                else:
-                    ended = True
-        if ended:
-            state.remove()
-        else:
-            state.update((pos, has_open, oid, otext))
-            if idle_ms and has_open:
-                state.setTimeoutDuration(idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["request_id", "out_pos", "kind", "item_id", "text"])
-    return fn
-
-
-def merge_deltas_stream(events: DataFrame, key: str = "request_id", order_cols: list[str] | None = None,
-                        idle_ms: int | None = None) -> DataFrame:
-    """Streaming form of :func:`~tessera.operators.messages.merge_deltas`.
+    document whose latest text is blank, or that was deleted, has none. Documents
+    without a ``doc_uri`` replace nothing and keep all their chunks."""
+    version, _, batches = _state(spark, path)
+    if not version and not batches:
+        raise ValueError(f"no batch has been written below {path}")
+    return _current(spark, path, version, batches)[0].drop("batch")
+
+
+def compact_chunks(spark: SparkSession, path: str) -> int:
+    """Write the table as it stands as one folder, commit it by a version file, and delete what the
+    version before it had replaced (readers of that version can finish). Returns
+    the version. Run one compaction at a time; batches may go on meanwhile."""
+    version, last, batches = _state(spark, path)
+    if not batches:
+        return version
+    chunks, docs = _current(spark, path, version, batches)
+    new = f"{path}/compact/v={version + 1}"
+    chunks.write.mode("overwrite").parquet(f"{new}/chunks")
+    docs.write.mode("overwrite").parquet(f"{new}/docs")
+    spark.createDataFrame([(batches[-1],)], "last_batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={version + 1}")
+    old = [f"{path}/{name}/batch={n}" for name in ("chunks", "docs") for n in _numbers(spark, f"{path}/docs", "batch") if n <= last]
+    for gone in [*old, f"{path}/compact/v={version - 1}"]:
+        fs, p = _folder(spark, gone)
+        fs.delete(p, True)
+    return version + 1
+
+
+def merge_deltas_stream(events: DataFrame, path: str, checkpoint: str, key: str = "request_id", order_cols: list[str] | None = None,
+                        trigger: str = "available_now", interval: str = "1 second", time_col: str | None = None,
+                        idle_seconds: float | None = None, delay_seconds: float = 0.0):
+    """Streaming form of :func:`~tessera.operators.messages.merge_deltas`: items are written below
+    ``path/items``, see :func:`merged_items`. Returns the started query.
 
     Events of one request must arrive in order across micro-batches; inside a
-    micro-batch they are sorted by ``order_cols``. A run closes on a done item,
-    on ``response.completed`` (end of request) or, when ``idle_ms`` is set (for
-    continuous triggers), after that much idle processing time; the request's
-    next position stays in the state until ``response.completed``, so events that
-    come later go on from it. Output rows equal the batch job's.
+    micro-batch they are sorted by ``order_cols``. Each micro-batch is a batch job over
+    range partitions, so a request that holds most events is spread over all tasks;
+    carried between batches is a table with a row per request: its next position
+    and its open run. A run closes on a done item, on ``response.completed``, or, with
+    ``idle_seconds``, once the watermark (the greatest ``time_col`` of all events so far, less
+    ``delay_seconds``) is that much after the request's last event; the next position
+    stays until ``response.completed``, so events that come later go on from it. A
+    replayed batch starts from the state before it and rewrites its items.
     """
-    order_cols = order_cols or ["seq"]
-    ev = events.select(F.col(key).cast("long").alias("request_id"), *order_cols, "type", "item_id", "delta", "text")
-    return ev.groupBy("request_id").applyInPandasWithState(
-        _merge_state_fn(order_cols, idle_ms), MERGE_OUT, MERGE_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = [n for n in _numbers(spark, f"{path}/state", "batch") if n < batch_id]
+        schema = delta_state_schema(batch, key)
+        state = spark.read.schema(schema).parquet(f"{path}/state/batch={done[-1]}") if done else spark.createDataFrame([], schema)
+        latest = batch.agg(F.max(time_col)).first()[0] if time_col else None
+        if time_col and done:
+            before = spark.read.parquet(f"{path}/clock/batch={done[-1]}").first()["latest"]
+            latest = max((x for x in (latest, before) if x is not None), default=None)
+        watermark = latest - datetime.timedelta(seconds=delay_seconds) if latest is not None else None
+        items, new = merge_deltas_step(batch, state, key, order_cols, time_col, watermark, idle_seconds)
+        items.write.mode("overwrite").parquet(f"{path}/items/batch={batch_id}")
+        spark.createDataFrame([(latest,)], "latest timestamp").coalesce(1).write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+        # the state comes last: a batch counts once its state is complete
+        new.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        for n in done[:-1]:
+            for name in ("state", "clock"):
+                fs, p = _folder(spark, f"{path}/{name}/batch={n}")
+                fs.delete(p, True)
+
+    return _trigger(events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), trigger, interval).start()
+
+
+def merged_items(spark: SparkSession, path: str) -> DataFrame:
+    """The items that :func:`merge_deltas_stream` has closed so far."""
+    return spark.read.parquet(f"{path}/items").drop("batch")
 
 
 def filter_events_stream(events: DataFrame, answer_node: str = "response_agent") -> DataFrame:
