@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import attachment_type, chat_title, stored_name
+from ..session import write_once
 from .ordering import assign_ids, position_in_group
 
 PAGE_DEFAULT, PAGE_MAX = 50, 100
@@ -36,13 +37,16 @@ def chat_with_messages(chats: DataFrame, msgs: DataFrame, atts: DataFrame) -> Da
 
     A chat without messages keeps one row with null message fields, a message
     without attachments one row with null attachment fields. Positions come from
-    :func:`position_in_group`, so a chat of any size is spread over many tasks.
+    :func:`position_in_group`, so a chat of any size is spread over many tasks; only
+    keys are numbered, the rest of a row joins by its (unique) id.
     Use :func:`nest_chat` to build the nested response shape per chat.
     """
-    m = position_in_group(msgs.select(F.col("id").alias("message_id"), "chat_id", "role", "content",
-                                      "created_at"), ["chat_id"], ["created_at", "message_id"], "msg_pos")
-    a = position_in_group(atts.select(F.col("id").alias("attachment_id"), "message_id", "filename",
-                                      "stored_filename", "file_type"), ["message_id"], ["attachment_id"], "att_pos")
+    m = msgs.select(F.col("id").alias("message_id"), "chat_id", "role", "content", "created_at")
+    m = m.join(position_in_group(m.select("message_id", "chat_id", "created_at"), ["chat_id"], ["created_at", "message_id"], "msg_pos")
+               .select("message_id", "msg_pos"), "message_id")
+    a = atts.select(F.col("id").alias("attachment_id"), "message_id", "filename", "stored_filename", "file_type")
+    a = a.join(position_in_group(a.select("attachment_id", "message_id"), ["message_id"], ["attachment_id"], "att_pos")
+               .select("attachment_id", "att_pos"), "attachment_id")
     # the large side stays on the left, where a hot chat can be split
     ids = chats.select(F.col("id").alias("chat_id"))
     ma = m.join(ids, "chat_id", "left_semi").join(a, "message_id", "left")
@@ -93,11 +97,14 @@ def cascade_delete(chats: DataFrame, msgs: DataFrame, deleted: DataFrame,
     return keep_chats, keep_msgs, atts.join(gone, F.col("message_id") == F.col("_mid"), "left_anti")
 
 
-def _numbered_after(existing: DataFrame, new: DataFrame, order: list) -> DataFrame:
-    """``new`` with ids that follow the largest one of ``existing`` (1 if it is empty)."""
+def numbered_after(existing: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` with ids that follow the largest one of ``existing`` (1 if it is empty), in
+    ``order``. Only the order's columns go through the numbering."""
+    rows = write_once(new.withColumn("_r", F.monotonically_increasing_id()), "new_rows")
+    keys = assign_ids(rows.select("_r", *order), [*order, "_r"], start=1, id_col="_n").select("_r", "_n")
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
-    return (assign_ids(new, order, start=1, id_col="_n").join(F.broadcast(last))
-            .withColumn("id", F.col("_last") + F.col("_n")).drop("_n", "_last"))
+    return (rows.join(keys, "_r").join(F.broadcast(last))
+            .withColumn("id", F.col("_last") + F.col("_n")).drop("_r", "_n", "_last"))
 
 
 def append_messages(chats: DataFrame, msgs: DataFrame, new: DataFrame, order: list | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,21 +112,21 @@ def append_messages(chats: DataFrame, msgs: DataFrame, new: DataFrame, order: li
     messages). Messages of unknown chats are ignored, the others get the next
     ids in ``order`` (which must be unique) and bump their chat's ``updated_at``."""
     known = new.join(chats.select(F.col("id").alias("_cid")), F.col("chat_id") == F.col("_cid"), "left_semi")
-    rows = _numbered_after(msgs, known, order or ["created_at", "chat_id", "role", "content"])
+    rows = numbered_after(msgs, known, order or ["created_at", "chat_id", "role", "content"])
     return apply_messages(chats, known), msgs.unionByName(rows.select(*msgs.columns))
 
 
 def create_chats(chats: DataFrame, new: DataFrame, order: list) -> DataFrame:
     """Chats with ``new`` ones ``(title, user_id, user_email, user_name, created_at)``
     added; ids follow the largest one, ``updated_at`` is the creation time."""
-    rows = _numbered_after(chats, new, order).withColumn("updated_at", F.col("created_at"))
+    rows = numbered_after(chats, new, order).withColumn("updated_at", F.col("created_at"))
     cols = ["id", "title", "user_id", "user_email", "user_name", "created_at", "updated_at"]
     return chats.select(*cols).unionByName(rows.select(*cols))
 
 
 def create_attachments(atts: DataFrame, files: DataFrame, order: list, upload_dir: str = "/uploads") -> DataFrame:
     """Attachments with those of ``files`` ``(message_id, filename, content_type)`` added."""
-    rows = attachment_rows(_numbered_after(atts, files, order), upload_dir)
+    rows = attachment_rows(numbered_after(atts, files, order), upload_dir)
     return atts.unionByName(rows.select(*atts.columns))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import chats as ch
+from ..operators import chat_store as cs, chats as ch
 from ..operators.messages import conversation_payload
 from ..operators.ordering import assign_ids
+from ..session import shared_dir
 from ..sources.tables import load_table
 from .catalog import register
 from .chat_inputs import CHATS_SQL, attachments, chats, messages
@@ -28,7 +31,7 @@ def q_chat_message_count(spark, sf_dir):
     return ch.message_counts(chats(spark, sf_dir), messages(spark, sf_dir, ids=False))
 
 
-@register("chat_with_messages", _W + """
+_ROWS_SQL = _W + """
 , m AS (SELECT id AS message_id, chat_id, role, content, created_at,
                CAST(row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id) - 1 AS BIGINT) AS msg_pos
         FROM msgs),
@@ -40,7 +43,10 @@ a AS (SELECT a.id AS attachment_id, a.message_id, a.filename,
       FROM atts a)
 SELECT c.id AS chat_id, m.msg_pos, m.message_id, m.role, m.content, m.created_at, a.att_pos, a.attachment_id,
        a.filename, a.stored_filename, a.file_type
-FROM chats c LEFT JOIN (m LEFT JOIN a USING (message_id)) ON m.chat_id = c.id""")
+FROM chats c LEFT JOIN (m LEFT JOIN a USING (message_id)) ON m.chat_id = c.id"""
+
+
+@register("chat_with_messages", _ROWS_SQL)
 def q_chat_with_messages(spark, sf_dir):
     return ch.chat_with_messages(chats(spark, sf_dir), messages(spark, sf_dir), attachments(spark, sf_dir))
 
@@ -100,12 +106,15 @@ added AS (SELECT (SELECT max(id) FROM msgs) + row_number() OVER (ORDER BY create
 """
 
 
-def _append(spark, sf_dir):
+def _new_messages(spark, sf_dir):
     o = load_table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 5 == 0)
-    new = o.select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / 6).alias("chat_id"),
-                   F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("content"),
-                   F.lit("user").alias("role"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
-    return ch.append_messages(chats(spark, sf_dir), messages(spark, sf_dir), new, ["created_at", "k"])
+    return o.select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / 6).alias("chat_id"),
+                    F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("content"),
+                    F.lit("user").alias("role"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
+
+
+def _append(spark, sf_dir):
+    return ch.append_messages(chats(spark, sf_dir), messages(spark, sf_dir), _new_messages(spark, sf_dir), ["created_at", "k"])
 
 
 @register("append_messages", _W + _NEW_SQL + """
@@ -197,15 +206,61 @@ def q_chat_updated_at(spark, sf_dir):
     return ch.apply_messages(chats(spark, sf_dir), messages(spark, sf_dir, ids=False)).select("id", "updated_at")
 
 
-@register("chat_titles", _W + """
+def _title_updates(spark, sf_dir):
+    return load_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("chat_id"), F.concat(F.lit("Renamed "), F.col("l_linenumber").cast("string")).alias("title"),
+        F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("seq"))
+
+
+_TITLES_SQL = """
 , u AS (SELECT l_orderkey AS chat_id, 'Renamed ' || l_linenumber AS title, l_shipdate AS ts,
                l_linenumber AS seq FROM lineitem),
 last AS (SELECT chat_id, arg_max(title, (ts, seq)) AS title, max(ts) AS ts FROM u GROUP BY chat_id)
+"""
+
+
+@register("chat_titles", _W + _TITLES_SQL + """
 SELECT c.id, coalesce(last.title, c.title) AS title, coalesce(last.ts, c.updated_at) AS updated_at
 FROM chats c LEFT JOIN last ON last.chat_id = c.id""")
 def q_chat_titles(spark, sf_dir):
-    li = load_table(spark, sf_dir, "lineitem")
-    upd = li.select(F.col("l_orderkey").alias("chat_id"),
-                    F.concat(F.lit("Renamed "), F.col("l_linenumber").cast("string")).alias("title"),
-                    F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("seq"))
-    return ch.apply_titles(chats(spark, sf_dir), upd).select("id", "title", "updated_at")
+    return ch.apply_titles(chats(spark, sf_dir), _title_updates(spark, sf_dir)).select("id", "title", "updated_at")
+
+
+def _store(spark, sf_dir):
+    """A store of the chat tables under a name of its own."""
+    return cs.create_store(f"chat_{uuid.uuid4().hex[:12]}", shared_dir(spark, "chat_store"), chats(spark, sf_dir), messages(spark, sf_dir),
+                           attachments(spark, sf_dir), parts=8, buckets=8)
+
+
+@register("ordered_messages", _W + """
+SELECT chat_id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id) - 1 AS BIGINT) AS msg_pos, id, role, content
+FROM msgs""")
+def q_ordered_messages(spark, sf_dir):
+    return cs.ordered_messages(spark, _store(spark, sf_dir)).select("chat_id", "msg_pos", "id", "role", "content")
+
+
+@register("chat_store_rows", _ROWS_SQL)
+def q_chat_store_rows(spark, sf_dir):
+    return cs.chat_rows(spark, _store(spark, sf_dir))
+
+
+@register("chat_store_changes", _W + _NEW_SQL + _TITLES_SQL + """
+, l AS (SELECT chat_id, max(created_at) AS t FROM added GROUP BY chat_id),
+n2 AS (SELECT chat_id, count(*) AS n FROM (SELECT chat_id FROM msgs UNION ALL SELECT chat_id FROM added) GROUP BY chat_id),
+na AS (SELECT m.chat_id, count(*) AS n FROM atts a JOIN msgs m ON m.id = a.message_id GROUP BY m.chat_id)
+SELECT c.id, coalesce(last.title, c.title) AS title,
+       coalesce(last.ts, greatest(c.updated_at, coalesce(l.t, c.updated_at))) AS updated_at,
+       CAST(coalesce(n2.n, 0) AS BIGINT) AS message_count, CAST(coalesce(na.n, 0) AS BIGINT) AS attachment_count
+FROM chats c LEFT JOIN l ON l.chat_id = c.id LEFT JOIN last ON last.chat_id = c.id LEFT JOIN n2 ON n2.chat_id = c.id
+LEFT JOIN na ON na.chat_id = c.id
+WHERE c.o_orderstatus <> 'F'""")
+def q_chat_store_changes(spark, sf_dir):
+    """New messages, title updates and a cascading delete, written back to the stored tables and read again."""
+    store = _store(spark, sf_dir)
+    cs.append(spark, store, _new_messages(spark, sf_dir), ["created_at", "k"])
+    cs.rename(spark, store, _title_updates(spark, sf_dir))
+    cs.delete(spark, store, _deleted(spark, sf_dir))
+    files = store.table(spark, "attachments").groupBy("chat_id").agg(F.count(F.lit(1)).alias("attachment_count"))
+    return (store.table(spark, "chats").select("id", "title", "updated_at").join(cs.message_counts(spark, store), "id")
+            .join(files, F.col("id") == F.col("chat_id"), "left")
+            .select("id", "title", "updated_at", "message_count", F.coalesce("attachment_count", F.lit(0)).alias("attachment_count")))
