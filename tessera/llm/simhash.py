@@ -127,7 +127,7 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     links = None
     while True:
         masks = {path: covering_masks(radius, free) for path, free in tables.items()}
-        if len(masks) == 1:
+        if list(tables) == [""]:  # the first level; a deeper one may have a single table, too
             own = F.array(*[F.struct(F.lit(f"/{k}").alias("path"), F.lit(_signed(m)).alias("mask"))
                             for k, m in enumerate(next(iter(masks.values())))])
             keys = level.select("fp", F.lit(0).cast("long").alias("key"), F.explode(own).alias("t"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,24 @@ def test_large_buckets_are_split_without_losing_links(spark, monkeypatch):
         {tuple(i for i, w in enumerate(want) if w == v) for v in set(want)}
 
 
+def test_exactly_one_hot_table_keeps_its_links(spark, monkeypatch):
+    """All fingerprints share the key of one table, and few share that of another."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng = random.Random(8)
+    mask = simhash.covering_masks(4, list(range(64)))[5]
+    key, free = rng.getrandbits(64) & mask, [p for p in range(64) if not mask >> p & 1]
+    bases = [key | sum(rng.getrandbits(1) << p for p in free) for _ in range(25)]
+    fps = sorted({b ^ flip for b in bases for flip in [0, sum(1 << p for p in rng.sample(free, 3))]})
+    other = [m for m in simhash.covering_masks(4, list(range(64))) if m != mask]
+    assert max(Counter(f & m for f in fps).most_common(1)[0][1] for m in other) <= 8 < len(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    found = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4).collect()
+    roots = {r["node"]: r["root"] for r in component_roots(spark.createDataFrame(found, "a long, b long")).collect()}
+    want, got = plain_components(fps, 4), [roots.get(s, s) for s in signed]
+    assert {tuple(i for i, g in enumerate(got) if g == v) for v in set(got)} == \
+        {tuple(i for i, w in enumerate(want) if w == v) for v in set(want)}
+
+
 def test_spanning_links_connect_and_stay_few():
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 1 << 12, 300, dtype=np.uint64))
