@@ -7,13 +7,20 @@ Semantics of the billing query:
   rows fan out. ``keep_unpriced=True`` moves the window into ``ON``.
 * validity is half-open: ``start <= t AND (end IS NULL OR t < end)``.
 * trailing window: ``usage_date >= as_of - days`` (inclusive).
+
+A SKU with many price versions, or with a large share of the usage, is cut by time:
+with ``bins``, both sides also meet on a bin of the usage end time, so a usage row
+is compared with the versions of its bin only and a hot SKU spreads over the bins.
+
+:func:`write_usage` stores usage in folders by month; :func:`read_usage` prunes
+them by the look-back, a join with billing periods prunes them at run time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 OUTPUT = ["endpoint_id", "endpoint_name", "app_id", "app_name", "sku_name", "usage_date",
@@ -21,9 +28,54 @@ OUTPUT = ["endpoint_id", "endpoint_name", "app_id", "app_name", "sku_name", "usa
           "cost"]
 
 
+def _binned(usage: DataFrame, prices: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the bin of their time: of ``bins`` equal parts of the usage's time span, a
+    usage row is in one, and a price row in each that its validity touches."""
+    span = usage.agg(F.min("usage_end_time").alias("lo"), F.max("usage_end_time").alias("hi"))
+    span = span.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("lo", "hi")]).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    width = max(1, -(-(hi - lo + 1) // bins))
+
+    def place(t: Column) -> Column:
+        micros = F.unix_micros(t.cast("timestamp"))
+        inside = F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce(micros, F.lit(hi))))
+        return F.floor((inside - lo) / width).cast("int")
+
+    start, end = place(F.col("price_start_time")), place(F.col("price_end_time"))
+    valid = F.col("price_end_time").isNull() | (F.col("price_start_time") < F.col("price_end_time"))
+    cut = prices.where(valid & F.col("price_start_time").isNotNull()).withColumn("p_bin", F.explode(F.sequence(start, end)))
+    return (usage.withColumn("bin", F.when(F.col("usage_end_time").isNotNull(), place(F.col("usage_end_time")))).alias("u"),
+            cut.alias("p"))
+
+
+def usage_month(date: str | Column) -> Column:
+    return F.trunc(date, "MM")
+
+
+def write_usage(usage: DataFrame, path: str) -> None:
+    """Store usage below ``path`` in folders by ``usage_month``; a month's rows lie together, in as many
+    files as their size needs."""
+    (usage.withColumn("usage_month", usage_month("usage_date")).hint("rebalance", "usage_month")
+     .write.mode("overwrite").partitionBy("usage_month").parquet(path))
+
+
+def read_usage(spark: SparkSession, path: str, as_of: str | dt.date | None = None, days: int | None = None,
+               periods: DataFrame | None = None) -> DataFrame:
+    """Stored usage. With ``days``, only the folders of the look-back are listed for the scan; with
+    ``periods`` (column ``usage_month``), only those of the periods are read, which the
+    scan learns at run time (dynamic partition pruning)."""
+    usage = spark.read.parquet(path).withColumn("usage_month", F.col("usage_month").cast("date"))
+    if days is not None:
+        anchor = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+        usage = usage.where(F.col("usage_month") >= usage_month(F.date_sub(anchor, int(days))))
+    if periods is not None:
+        usage = usage.join(periods.select("usage_month").distinct(), "usage_month", "left_semi")
+    return usage.drop("usage_month")
+
+
 def usage_cost(usage: DataFrame, prices: DataFrame, workspace: str | None = None,
                as_of: str | dt.date | None = None, days: int | None = 30,
-               keep_unpriced: bool = False) -> DataFrame:
+               keep_unpriced: bool = False, bins: int | None = None) -> DataFrame:
     """Price every usage row; see module docstring.
 
     ``workspace=None`` keeps every workspace and adds ``workspace_id`` to the
@@ -56,6 +108,9 @@ def usage_cost(usage: DataFrame, prices: DataFrame, workspace: str | None = None
             & (F.col("u.usage_end_time") >= F.col("p.price_start_time"))
             & (F.col("p.price_end_time").isNull()
                | (F.col("u.usage_end_time") < F.col("p.price_end_time"))))
+    if bins:
+        u, p = _binned(u, p, bins)
+        cond = cond & (F.col("u.bin") == F.col("p.p_bin"))
     # A list price table is small next to usage; it is broadcast only after its
     # size is checked, otherwise the equi key drives a sort-merge join.
     joined = u.join(p, cond, "left" if keep_unpriced else "inner")

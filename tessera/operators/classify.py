@@ -5,8 +5,9 @@ flagged; otherwise ask again (prompt + first token) for up to
 ``REASON_TOKENS`` tokens and keep that text as the reason.
 
 * :func:`classify` runs any ``model_fn(prompts, max_tokens) -> list[str]`` in
-  ``mapInPandas`` (one call per Arrow batch; build the model lazily inside
-  ``model_fn`` so each Python worker loads it once).
+  ``mapInPandas``, in batches of at most ``batch_size`` prompts.
+* :func:`load_once` makes such a function of a loader: each Python worker loads the
+  model when it gets its first batch and keeps it for all later tasks.
 * :func:`train_toxicity_model` / :func:`ml_guard` give an offline default: a
   Spark ML pipeline (tokenize -> hashing TF -> IDF -> logistic regression)
   trained on labelled documents; fitting and scoring run in the JVM.
@@ -14,6 +15,7 @@ flagged; otherwise ask again (prompt + first token) for up to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,10 +26,39 @@ from .moderation import category_policy
 FIRST_TOKENS = 1
 REASON_TOKENS = 15
 SAFE = "safe"
+BATCH_PROMPTS = 256
+
+
+_LOADED: dict[str, Callable] = {}  # of this worker, by loader
+
+
+def load_once(load: Callable[[], Callable], loads=None) -> Callable:
+    """A model function that calls ``load() -> model_fn`` once in each Python worker.
+
+    ``load`` runs on the workers (only it is shipped, not the model). ``loads``, an
+    accumulator, counts the loads. Workers live on between tasks
+    (``spark.python.worker.reuse``), so there are at most as many as the session has
+    cores, and one more for each worker that was lost.
+    """
+    name = uuid.uuid4().hex
+
+    def model(*args):
+        from tessera.operators import classify as here  # the worker's own module holds what is loaded
+        if name not in here._LOADED:
+            here._LOADED[name] = load()
+            if loads is not None:
+                loads.add(1)
+        return here._LOADED[name](*args)
+
+    return model
+
+
+def _in_batches(model_fn: Callable, prompts: list[str], size: int, *args) -> list:
+    return [x for k in range(0, len(prompts), size) for x in model_fn(prompts[k:k + size], *args)]
 
 
 def classify(df: DataFrame, model_fn: Callable[[list[str], int], list[str]], prompt_col: str = "prompt",
-             key_cols: list[str] | None = None) -> DataFrame:
+             key_cols: list[str] | None = None, batch_size: int = BATCH_PROMPTS) -> DataFrame:
     """``(keys…, first_token, flagged, reason)`` for every prompt row."""
     keys = key_cols or [c for c in df.columns if c != prompt_col]
     schema = T.StructType([*[df.schema[k] for k in keys],
@@ -38,12 +69,12 @@ def classify(df: DataFrame, model_fn: Callable[[list[str], int], list[str]], pro
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             prompts = pdf[prompt_col].fillna("").tolist()
-            first = list(model_fn(prompts, FIRST_TOKENS))
+            first = _in_batches(model_fn, prompts, batch_size, FIRST_TOKENS)
             flagged = [t != SAFE for t in first]
             reason = [None] * len(prompts)
             idx = [i for i, f in enumerate(flagged) if f]
             if idx:
-                more = model_fn([prompts[i] + first[i] for i in idx], REASON_TOKENS)
+                more = _in_batches(model_fn, [prompts[i] + first[i] for i in idx], batch_size, REASON_TOKENS)
                 for i, r in zip(idx, more):
                     reason[i] = r
             out = pdf[keys].copy()
@@ -57,11 +88,11 @@ RESULT_SCHEMA = "category string, rationale string"
 
 
 def classify_structured(df: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt_col: str = "prompt",
-                        key_cols: list[str] | None = None) -> DataFrame:
+                        key_cols: list[str] | None = None, batch_size: int = BATCH_PROMPTS) -> DataFrame:
     """Prompt -> model -> ``{category, rationale}`` -> policy:
     ``(keys…, category, rationale, code, decision, error)``.
 
-    ``model_fn(prompts) -> list[str]`` returns JSON texts (one call per Arrow batch).
+    ``model_fn(prompts) -> list[str]`` returns JSON texts (at most ``batch_size`` prompts a call).
     Output that is no JSON object, or lacks a field, and a category outside the
     list give an ``error`` and no decision; the other rows go on.
     """
@@ -71,7 +102,7 @@ def classify_structured(df: DataFrame, model_fn: Callable[[list[str]], list[str]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[keys].copy()
-            out["_out"] = list(model_fn(pdf[prompt_col].fillna("").tolist()))
+            out["_out"] = _in_batches(model_fn, pdf[prompt_col].fillna("").tolist(), batch_size)
             yield out
 
     parsed = (df.select(*keys, prompt_col).mapInPandas(run, schema)

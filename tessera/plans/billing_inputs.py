@@ -66,6 +66,23 @@ def list_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(later).unionByName(promo)
 
 
+def hot_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of which a third has the SKU ``HOT`` (orders whose key, without its last three bits, is
+    divisible by three)."""
+    app = F.regexp_extract("usage_metadata.app_id", "([0-9]+)", 1).cast("long")
+    return usage_table(spark, sf_dir).withColumn("sku_name", F.when(F.floor(app / 8) % 3 == 0, "HOT").otherwise(F.col("sku_name")))
+
+
+def hot_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List prices with a version of ``HOT`` for each day with an order, valid for two days (so they overlap)."""
+    days = load_table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    start = F.col("d").cast("timestamp_ntz")
+    price = F.struct(F.struct(F.dayofmonth("d").cast("decimal(18,2)").alias("default")).alias("effective_list")).alias("pricing")
+    hot = days.select(F.lit("HOT").alias("sku_name"), start.alias("price_start_time"),
+                      (start + F.make_dt_interval(days=F.lit(2))).alias("price_end_time"), price)
+    return list_price_table(spark, sf_dir).unionByName(hot)
+
+
 USAGE_SQL = """
 usage AS (
   SELECT 'SKU-' || CAST(l_partkey AS VARCHAR) AS sku_name,

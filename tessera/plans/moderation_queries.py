@@ -222,14 +222,24 @@ def _two_step_model(prompts, max_tokens):
     return [("safe" if len(p) % 5 else "unsafe") if max_tokens == 1 else f"S{len(p) % 17 + 1}" for p in prompts]
 
 
-@register("classify_two_step", _PROMPTS + """
+_TWO_STEP_SQL = _PROMPTS + """
 SELECT conv_id, CASE WHEN k = 0 THEN 'unsafe' ELSE 'safe' END AS first_token, k = 0 AS flagged,
-       CASE WHEN k = 0 THEN 'S' || ((length(prompt) + 6) % 17 + 1) END AS reason FROM k""")
+       CASE WHEN k = 0 THEN 'S' || ((length(prompt) + 6) % 17 + 1) END AS reason FROM k"""
+
+
+@register("classify_two_step", _TWO_STEP_SQL)
 def q_classify_two_step(spark, sf_dir):
     from ..operators.classify import classify
     return classify(_prompts(spark, sf_dir), _two_step_model)
 
 
+@register("classify_loaded", _TWO_STEP_SQL)
+def q_classify_loaded(spark, sf_dir):
+    """The model is loaded once in each worker and asked 16 prompts at a time."""
+    from ..operators.classify import classify, load_once
+    return classify(_prompts(spark, sf_dir), load_once(lambda: _two_step_model), batch_size=16)
+
+
 def _structured_model(prompts):
     """Stands in for a model with structured output; some answers are not valid."""
     return [['{"category": "Hate", "rationale": "r"}', '{"category": "Safe", "rationale": "fine"}', "no json",

@@ -30,6 +30,23 @@ def q_stream_chunks(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register("stream_chunks_continuous", ORACLES["stream_chunks"])
+def q_stream_chunks_continuous(spark, sf_dir):
+    """A source folder that grows in three steps while the query runs; it stops once all input is committed."""
+    docs = document_columns(load_table(spark, sf_dir, "documents"))
+    src, out, ckpt = (shared_dir(spark, "stream_chunks_continuous", x) for x in ("src", "out", "ckpt"))
+    part = [docs.where(F.pmod(F.col("doc_id"), F.lit(3)) == k).drop("doc_id") for k in range(3)]
+    part[0].write.parquet(src)
+    query = jobs.stream_chunks(spark.readStream.schema(part[0].schema).parquet(src), out, ckpt, "continuous", "200 milliseconds")
+    try:
+        for more in part[1:]:
+            more.write.mode("append").parquet(src)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(out)
+
+
 def _replayed(spark, name, events, bounds, **options):
     """Replay ``events`` in as many streams as ``bounds`` cut them into (each goes on from the state of
     the one before), in the order of (conv, turn, sub)."""

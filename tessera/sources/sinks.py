@@ -15,12 +15,14 @@ def ensure_schema(spark: SparkSession, name: str) -> None:
 
 
 def overwrite_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
-                    fmt: str = "parquet") -> None:
-    """Full refresh. Comments and properties do not survive it: re-apply them
+                    fmt: str = "parquet", path: str | None = None) -> None:
+    """Full refresh, below ``path`` if given (else in the warehouse). Comments and properties do not survive it: re-apply them
     with :func:`apply_metadata` after every overwrite."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if path:
+        w = w.option("path", path)
     w.saveAsTable(name)
 
 

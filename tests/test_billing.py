@@ -1,8 +1,13 @@
 import datetime as dt
+import os
+import random
+import re
 from decimal import Decimal as D
 
-from pyspark.sql import types as T
+import pytest
+from pyspark.sql import functions as F, types as T
 
+from tessera.operators import billing
 from tessera.operators.billing import usage_cost
 
 USAGE = T.StructType([
@@ -64,3 +69,49 @@ def test_left_join_becomes_inner(spark):
     prices = spark.createDataFrame([("A", T0, None, ((D("1.50"),),))], PRICES)
     plan = usage_cost(usage, prices, as_of=AS_OF)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan
+
+
+def _hot_case(spark):
+    rng = random.Random(4)
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    usage = [_u(rng.choice(["H", "H", "H", "A", "B", "N"]), (t := day(rng.uniform(0, 90))).date(), t, "1.00") for _ in range(300)]
+    usage += [_u("H", day(0).date(), None, "1.00"), _u(None, day(1).date(), day(1), "1.00"), _u("H", day(90).date(), day(90), "2.00")]
+    prices = [("H", day(d), day(d + rng.choice([1, 1, 2])), ((D(d + 1),),)) for d in range(-3, 95)]
+    prices += [("A", day(-500), None, ((D(5),),)), ("A", day(40), None, ((D(6),),)), ("B", day(20), day(20), ((D(1),),)),
+               ("B", day(30), day(10), ((D(1),),)), ("B", None, None, ((D(1),),)), ("H", day(200), None, ((D(1),),)), ("H", day(90), None, ((D(9),),))]
+    return spark.createDataFrame(usage, USAGE), spark.createDataFrame(prices, PRICES)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_bins_give_the_same_rows(spark, keep):
+    usage, prices = _hot_case(spark)
+    rows = lambda **a: sorted(map(str, usage_cost(usage, prices, as_of=AS_OF, days=None, keep_unpriced=keep, **a).collect()))
+    want = rows()
+    assert len(want) > 200
+    for bins in (1, 7, 1000):
+        assert rows(bins=bins) == want
+    assert usage_cost(usage.limit(0), prices, as_of=AS_OF, bins=8).count() == 0
+
+
+def test_bins_compare_few_versions(spark):
+    usage, prices = _hot_case(spark)
+    u, p = billing._binned(usage, prices.withColumnRenamed("sku_name", "p_sku"), 90)
+    met = u.join(p, (F.col("u.sku_name") == F.col("p.p_sku")) & (F.col("u.bin") == F.col("p.p_bin"))).count()
+    assert met < usage.join(prices, "sku_name").count() / 10
+
+
+def test_stored_usage_is_pruned_by_month(spark, tmp_path):
+    usage, prices = _hot_case(spark)
+    path = str(tmp_path / "usage")
+    billing.write_usage(usage, path)
+    assert sorted(x for x in os.listdir(path) if x.startswith("usage_month")) == [f"usage_month=2024-0{m}-01" for m in (1, 2, 3)]
+    plain = usage_cost(usage, prices, as_of=AS_OF, days=40)
+    recent = usage_cost(billing.read_usage(spark, path, AS_OF, 40), prices, as_of=AS_OF, days=40)
+    assert sorted(map(str, recent.collect())) == sorted(map(str, plain.collect()))
+    scan = recent._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*usage_month#\d+ >= ", scan) or "2024-02-01" in scan
+    months = spark.createDataFrame([(dt.date(2024, 2, 1), "x"), (dt.date(2024, 2, 1), "y"), (dt.date(2030, 1, 1), "x")], "usage_month date, k string")
+    some = billing.read_usage(spark, path, periods=months.where("k = 'x'"))
+    assert sorted(map(str, some.select(*usage.columns).collect())) == sorted(
+        map(str, usage.where("month(usage_date) = 2").collect()))
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString().lower()
