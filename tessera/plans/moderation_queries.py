@@ -119,8 +119,8 @@ def q_toxicity_scores(spark, sf_dir):
     return ml_guard(model)(last).select("conv_id", "grp", "first_token", "flagged", "reason", "p_toxic")
 
 
-# Requests derived from conversations, one case of the checks each; the last two are
-# well formed (a user's text, and an assistant's that breaks the order).
+# Requests derived from conversations: each turn is a request of its own (well formed; an
+# assistant's breaks the order), and gives one of these cases of the checks as another.
 _CASES = ['{"x": 1}', '{"messages": null}', '{"messages": []}', '{"messages": "abc"}', '"just text"', '{oops',
           '{"messages": [{"content": "t"}]}', '{"messages": [{"role": "user"}]}',
           '{"messages": [{"role": "user", "content": null}]}', '{"messages": [{"role": "user", "content": 3}]}',
@@ -134,12 +134,11 @@ _CASE_ERRORS = [mod.MISSING_MESSAGES, mod.INVALID_MESSAGES + _CASES[1], None, mo
 
 def _requests(spark, sf_dir):
     from ..functions.jsonfmt import json_string
-    c = load_table(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
-    k = (F.col("conv_id") % 14).cast("int")
+    c = load_table(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 1000 + F.col("turn"))
     wrap = lambda role: F.concat(F.lit('{"messages": [{"role": "' + role + '", "content": '), json_string("text"), F.lit("}]}"))
-    text = (F.when(k < 12, F.element_at(F.array(*[F.lit(x) for x in _CASES]), F.least(k, F.lit(11)) + 1))
-            .when(k == 12, wrap("user")).otherwise(wrap("assistant")))
-    return c.select("conv_id", text.alias("request"))
+    cases = F.array(*[F.lit(x) for x in _CASES])
+    own = c.select((F.col("n") * 2).alias("conv_id"), F.when(F.col("role") == "assistant", wrap("assistant")).otherwise(wrap("user")).alias("request"))
+    return own.unionByName(c.select((F.col("n") * 2 + 1).alias("conv_id"), F.element_at(cases, (F.col("n") % 12 + 1).cast("int")).alias("request")))
 
 
 def _sql_text(x):
@@ -147,7 +146,9 @@ def _sql_text(x):
 
 
 _REQ_SQL = f"""
-WITH r AS (SELECT conv_id, text, conv_id % 14 AS k FROM conversations WHERE turn = 0),
+WITH t AS (SELECT conv_id * 1000 + turn AS n, role, text FROM conversations),
+r AS (SELECT n * 2 AS conv_id, text, CASE WHEN role = 'assistant' THEN 13 ELSE 12 END AS k FROM t
+      UNION ALL SELECT n * 2 + 1, text, n % 12 FROM t),
 e AS (SELECT conv_id, text, k, CASE WHEN k < 12 THEN [{", ".join(map(_sql_text, _CASE_ERRORS))}][k + 1]
                                     WHEN k = 13 THEN '{_q(mod.ORDER_ERROR)}' END AS error FROM r)
 """
