@@ -1,10 +1,11 @@
 """Quality rules on repetition inside a document, from a suffix array of its words.
 
 The suffix array is built by prefix doubling and the longest common prefixes of
-neighbouring suffixes are read off the doubling's ranks. Each word position
-takes the longer of its two neighbours' prefixes: the longest substring that
-starts there and occurs elsewhere in the document. The spans of those of some
-length, which are those of all maximal repeats, are united.
+neighbouring suffixes are read off the doubling's ranks. Intervals of that array
+whose suffixes share a prefix, and no longer one, are found with a stack; those
+whose occurrences are not all preceded by the same word are the maximal repeats
+(no repeat is longer on either side). The spans of the maximal repeats of some
+length are united.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ def _groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)[np.cumsum(first) - 1]
 
 
-def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each word, the length of the longest substring that starts there and occurs
-    again in the same document. ``doc`` numbers the documents, each in one run."""
+def suffix_array(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of all documents in order, and the common prefixes of those at places
+    ``k - 1`` and ``k`` (0 at both ends). ``doc`` numbers the documents, each in one run;
+    suffixes of different documents share nothing."""
     n = len(ids)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     last = np.searchsorted(doc, doc, side="right")  # end of each word's document
     key = doc.astype(np.int64) * (int(ids.max()) + 1) + ids
     order = np.argsort(key, kind="stable")
@@ -70,11 +72,93 @@ def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
         same[same] = levels[k][x[same]] == levels[k][y[same]]
         found[same] += 1 << k
     common[at + 1] = found
-    out = np.empty(n, np.int64)
+    return suffix, common
+
+
+def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each word, the length of the longest substring that starts there and occurs
+    again in the same document: the longer prefix shared with a neighbour."""
+    return _by_neighbour(*suffix_array(ids, doc))
+
+
+def _by_neighbour(suffix: np.ndarray, common: np.ndarray) -> np.ndarray:
+    out = np.empty(len(suffix), np.int64)
     out[suffix] = np.maximum(common[:-1], common[1:])
     return out
 
 
+class Intervals:
+    """The intervals of the suffix array whose suffixes share ``lengths`` words, at least ``least``:
+    places ``first`` to ``last``, the number of the next wider interval (``parent``, -1 if none
+    is long enough), and for each place k the innermost one that has k - 1 and k (``at``)."""
+
+    def __init__(self, common: np.ndarray, least: int):
+        places = np.flatnonzero(common >= least)
+        lengths, first, last, parent, at, stack = [], [], [], [], [], []
+        before = -1
+
+        def close(end: int, above: int) -> int:
+            """End the open intervals that are longer than ``above``; where the last of them begins."""
+            start = end
+            while stack and lengths[stack[-1]] > above:
+                top = stack.pop()
+                last[top], start = end, first[top]
+                if stack and lengths[stack[-1]] > above:
+                    parent[top] = stack[-1]
+                else:
+                    waiting.append(top)
+            return start
+
+        waiting: list[int] = []  # just ended, with the parent still to be known
+        for k, value in zip(places.tolist(), common[places].tolist()):
+            if k != before + 1:
+                close(before, 0)
+                waiting.clear()
+            start = close(k - 1, value)
+            if not stack or lengths[stack[-1]] < value:
+                lengths.append(value)
+                first.append(start)
+                last.append(-1)
+                parent.append(-1)
+                stack.append(len(lengths) - 1)
+            for top in waiting:
+                parent[top] = stack[-1]
+            waiting.clear()
+            at.append(stack[-1])
+            before = k
+        close(before, 0)
+        self.lengths, self.first, self.last, self.parent = (np.array(x, np.int64) for x in (lengths, first, last, parent))
+        self.at = np.full(len(common), -1, np.int64)
+        self.at[places] = at
+
+
+def maximal_repeats(ids: np.ndarray, doc: np.ndarray, suffix: np.ndarray, common: np.ndarray,
+                    least: int) -> tuple[Intervals, np.ndarray]:
+    """The intervals of repeats of at least ``least`` words, and which of them are maximal: their
+    occurrences are preceded by different words, or by none."""
+    found = Intervals(common, least)
+    before = np.full(len(ids), -1, np.int64)
+    before[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], -1)
+    word = before[suffix]
+    changes = np.concatenate([[0], np.cumsum(word[1:] != word[:-1])]) if len(word) else np.zeros(0, np.int64)
+    return found, changes[found.last] > changes[found.first] if len(found.lengths) else np.zeros(0, bool)
+
+
+def longest_maximal(ids: np.ndarray, doc: np.ndarray, suffix: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each word, the length of the longest maximal repeat of at least ``least`` words that starts there, or 0."""
+    found, maximal = maximal_repeats(ids, doc, suffix, common, least)
+    out = np.zeros(len(ids), np.int64)
+    if not len(found.lengths):
+        return out
+    best = np.where(maximal, found.lengths, 0)
+    for i in np.argsort(found.lengths, kind="stable").tolist():  # wider intervals, which are shorter, come first
+        if not maximal[i] and found.parent[i] >= 0:
+            best[i] = best[found.parent[i]]
+    inner = np.where(common[:-1] >= common[1:], found.at[:-1], found.at[1:])
+    out[suffix] = np.where(inner >= 0, best[inner], 0)
+    return out
+
+
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n places the spans cover."""
     edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
@@ -86,11 +170,13 @@ def repeat_figures(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     n, out = len(ids), np.zeros((len(sizes), 3), np.int64)
     if n == 0:
         return out
-    repeats = longest_repeats(ids, np.repeat(np.arange(len(sizes)), sizes))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    suffix, common = suffix_array(ids, doc)
+    repeats, maximal = _by_neighbour(suffix, common), longest_maximal(ids, doc, suffix, common, REPEAT_WORDS)
     full = np.flatnonzero(sizes)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-    short, long = np.flatnonzero(repeats >= WINDOW), np.flatnonzero(repeats >= REPEAT_WORDS)
-    for k, x in enumerate((_covered(short, np.full(len(short), WINDOW), n), _covered(long, repeats[long], n))):
+    short, long = np.flatnonzero(repeats >= WINDOW), np.flatnonzero(maximal)
+    for k, x in enumerate((_covered(short, np.full(len(short), WINDOW), n), _covered(long, maximal[long], n))):
         out[full, k] = np.add.reduceat(x.astype(np.int64), first)
     out[full, 2] = np.maximum.reduceat(repeats, first)
     return out

@@ -41,6 +41,52 @@ def test_longest_repeats_match_brute_force():
         assert repetition.longest_repeats(ids, doc).tolist() == [x for d in docs for x in plain_longest(d)]
 
 
+def plain_maximal(words, least):
+    """Maximal repeats with their starts: longer on neither side at all their occurrences."""
+    at = {}
+    for i in range(len(words)):
+        for n in range(least, len(words) - i + 1):
+            at.setdefault(tuple(words[i:i + n]), []).append(i)
+    out = set()
+    for repeat, starts in at.items():
+        if len(starts) > 1:
+            left = {words[i - 1] if i else None for i in starts}
+            right = {words[i + len(repeat)] if i + len(repeat) < len(words) else None for i in starts}
+            if len(left) > 1 and len(right) > 1:
+                out.add((len(repeat), tuple(starts)))
+    return out
+
+
+def test_maximal_repeats_match_brute_force():
+    rng = random.Random(6)
+    for least in (1, 3):
+        for _ in range(120):
+            docs = [[rng.randint(0, rng.choice([0, 1, 2, 5])) for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 4))]
+            ids = np.array([x for d in docs for x in d], dtype=np.int32)
+            doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+            suffix, common = repetition.suffix_array(ids, doc)
+            found, maximal = repetition.maximal_repeats(ids, doc, suffix, common, least)
+            first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+            got = {}
+            for i in np.flatnonzero(maximal):
+                starts = np.sort(suffix[found.first[i]:found.last[i] + 1])
+                k = int(doc[starts[0]])
+                assert (doc[starts] == k).all()
+                got.setdefault(k, set()).add((int(found.lengths[i]), tuple((starts - first[k]).tolist())))
+            want = {k: x for k, d in enumerate(docs) if (x := plain_maximal(d, least))}
+            assert got == want
+            longest = repetition.longest_maximal(ids, doc, suffix, common, least)
+            for k, d in enumerate(docs):
+                own = [max((n for n, starts in want.get(k, ()) if i in starts), default=0) for i in range(len(d))]
+                assert longest[first[k]:first[k + 1]].tolist() == own
+
+
+def test_many_nested_intervals_take_linear_work():
+    ids = np.zeros(100_000, np.int32)
+    figures = repetition.repeat_figures(ids, np.array([100_000]))
+    assert figures.tolist() == [[100_000, 100_000, 99_999]]
+
+
 def sample_rows():
     rng = random.Random(5)
     texts = [None, "", " \n\t", "#*$ %&|<>", "é é\xa0é"]
