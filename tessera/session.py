@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -93,9 +94,28 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, *parts, uuid.uuid4().hex)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove, at the end of the ``with``, all folders that :func:`shared_dir` gave inside it:
+    intermediate tables, streams and their checkpoints. What a job returns reads from
+    them, so write or collect it inside. Without a scope they stay until the shared folder is cleaned."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df):
     """Write ``df`` once below the shared checkpoint folder (reliable checkpoint)
     and return a DataFrame reading it: later passes reuse the rows instead of

@@ -19,7 +19,9 @@ def spread(df: DataFrame) -> DataFrame:
     task however many cores there are). A scan with enough splits, as of any
     large table, is returned as is, however few files it has."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    # asked from the JVM's own plan; df.rdd would plan the scan again, for Python
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(par) if splits < par else df
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -60,3 +60,21 @@ def test_moderate_stream_over_several_batches(spark):
     exp = sorted(tuple(r) for r in mod.verdict(mod.explode_requests(reqs), model).collect())
     assert got == exp and len(got) == 12
     assert len([p for p in spark.read.parquet(out).inputFiles()]) >= 2
+
+
+def test_scratch_folders_are_removed(spark):
+    import os
+
+    from tessera.session import scratch, shared_dir, write_once
+    outer = shared_dir(spark, "scope")
+    with scratch(spark):
+        kept = write_once(spark.range(5).toDF("x"), "inner")
+        files = kept.inputFiles()
+        assert kept.count() == 5
+        with scratch(spark):
+            inner = shared_dir(spark, "scope")
+            spark.range(2).write.parquet(inner)
+        assert not os.path.exists(inner) and kept.count() == 5
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    spark.range(2).write.parquet(outer)
+    assert spark.read.parquet(outer).count() == 2
