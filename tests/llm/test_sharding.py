@@ -62,3 +62,31 @@ def test_shards_are_written(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in back.collect()} == \
         {(r["doc_id"], f"t{r['doc_id']}", r["shard"], r["slot"]) for r in placed.collect()}
+
+
+def test_replay_of_one_seed(spark):
+    """Matrix, dealing and slots again, row by row."""
+    seed, shards, parts = 5, 4, [list(range(0, 21)), list(range(21, 42)), list(range(42, 63))]
+    rows = spark.range(0, 63, 1, 3).withColumnRenamed("id", "k")
+    rng, left, shard_of = np.random.default_rng(seed), [16, 16, 16, 15], {}
+    for p, own in enumerate(parts):
+        deck, need = [], len(own)
+        for s in range(shards):
+            others = sum(left[s + 1:])
+            take = int(rng.hypergeometric(left[s], others, need)) if need and left[s] and others else min(need, left[s])
+            left[s] -= take
+            need -= take
+            deck += [s] * take
+        assert need == 0
+        for at, s in enumerate(np.random.default_rng([seed, p]).permutation(np.array(deck, dtype=np.int32))):
+            shard_of[own[at]] = int(s)
+    assert left == [0] * 4
+    keyed = spark.createDataFrame([(k, p, at) for p, own in enumerate(parts) for at, k in enumerate(own)], "k long, p int, at long")
+    key = {r["k"]: (r["key"] % sharding.LEAST_BLOCKS, r["key"], r["p"], r["at"])
+           for r in keyed.selectExpr("*", f"xxhash64({seed}, p, at) AS key").collect()}
+    want = set()
+    for s in range(shards):
+        own = sorted((k for k in shard_of if shard_of[k] == s), key=key.__getitem__)
+        want |= {(k, s, slot) for slot, k in enumerate(own)}
+    got = {(r["k"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(rows, shards, seed).collect()}
+    assert got == want
