@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import extract_text, pages_text
 from ..session import shared_dir
-from ..sources.files import data_uri, image_messages, read_csv_tables, read_table_metadata
+from ..sources.files import data_uri, image_messages, read_csv_tables, read_documents, read_table_metadata
 from ..sources.sinks import apply_metadata, ensure_table_property, overwrite_table
 from ..sources.tables import load_table
 from .catalog import register
@@ -96,3 +96,15 @@ def q_table_cycle(spark, sf_dir):
     counts = table.groupBy("ticker").agg(F.count(F.lit(1)).cast("string").alias("value"))
     return counts.select(F.lit("rows").alias("kind"), F.col("ticker").alias("name"), "value").unionByName(
         spark.createDataFrame(facts, "kind string, name string, value string"))
+
+
+@register("binary_documents", "SELECT page_id, md5(html) AS html_md5 FROM pages")
+def q_binary_documents(spark, sf_dir):
+    """Pages in text files of many pages each, scanned as binary documents and taken apart again."""
+    path = shared_dir(spark, "binary")
+    html = F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"[\r\n]", "")
+    load_table(spark, sf_dir, "pages").select(F.concat_ws("\t", "page_id", html)).repartition(200).write.text(path)
+    lines = read_documents(spark, path, "*.txt").where("error IS NULL").select(
+        F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    page = F.split("line", "\t")
+    return lines.select(F.get(page, F.lit(0)).cast("bigint").alias("page_id"), F.md5(F.unbase64(F.get(page, F.lit(1)))).alias("html_md5"))
