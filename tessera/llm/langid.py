@@ -119,6 +119,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, size: int = PROFIL
 
     Each language takes its ``sample`` first documents in a pseudo-random order
     of ids, with their whole texts. The driver gets ``size`` n-grams for each language.
+    An empty table, or one without languages, gives no profiles.
     """
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
@@ -166,9 +167,11 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text",
 
     A null text and one without letters get ``und`` and score 0, as every text
     does when no language was learned. All other columns pass through as they
-    are; they must not have the two result names.
+    are; columns that have the two result names are replaced. An empty table gives
+    no rows; the n-grams of a very long text are counted whole.
     """
     spark = prepare(docs.sparkSession)
+    docs = docs.drop(lang_out, score_out)
     known = spark.sparkContext.broadcast(profiles)
     at = docs.columns.index(text_col)
 

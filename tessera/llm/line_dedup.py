@@ -56,7 +56,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     line. Rows that agree in id and text are one occurrence and are treated
     alike; rows of one id with different texts are different documents, ordered
     by a hash of the text. Null ids come first. A text that loses all lines
-    becomes empty.
+    becomes empty. An empty table gives no rows; a very long text has as many
+    windows as lines, which are dealt like those of any other.
     """
     prepare(docs.sparkSession)
     hit = covered_positions(docs, id_col, text_col)

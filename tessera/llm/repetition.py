@@ -208,7 +208,8 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     ``n_covered`` (words in repeats of at least eight words) and ``longest_repeat``
     (words). A null or empty text has zeros. Null ids and repeated rows pass
-    through; other columns are ignored.
+    through; other columns are ignored. An empty table gives no rows. A very long
+    text is split a slice at a time; its suffix array holds all of its words.
     """
     prepare(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))

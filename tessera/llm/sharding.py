@@ -78,10 +78,11 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0) -> DataFram
     columns and repeated rows are rows like any other, and an empty table gives
     an empty result. ``rows`` is written to the shared folder first, so keep it
     narrow (ids and sizes, not texts). Its columns may have any names but those
-    starting with ``_``. Only partition sizes and the matrix reach the driver.
+    starting with ``_``; columns named ``shard`` or ``slot`` are replaced. Only
+    partition sizes and the matrix reach the driver.
     """
     spark = prepare(rows.sparkSession)
-    kept = stored(rows.withColumn("_part", F.spark_partition_id())
+    kept = stored(rows.drop("shard", "slot").withColumn("_part", F.spark_partition_id())
                   .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
                   "sharding")
     sizes = sorted((r["_part"], r["count"]) for r in kept.groupBy("_part").count().collect())

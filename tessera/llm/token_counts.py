@@ -141,7 +141,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     A null text counts as empty: no bytes, no tokens. Strings of special tokens
     inside a text are ordinary text, as the library has it by default. Null ids
-    and repeated rows pass through; other columns are ignored. ``model_path``
+    and repeated rows pass through; other columns are ignored. An empty table gives no
+    rows, and a very long text is counted a slice at a time. ``model_path``
     must be there on every worker. Broadcast are at most the vocabulary's strings.
     """
     spark = prepare(docs.sparkSession)

@@ -258,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, fe
 def score(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher if more likely toxic) of every row.
     Whole texts are scored, and the highest of the ``models`` counts; a null text counts as empty. Repeated rows get equal
-    scores, and other columns are ignored."""
+    scores, and other columns are ignored. An empty table gives no rows; very long texts are scored a slice at a time."""
     spark = prepare(docs.sparkSession)
     known = spark.sparkContext.broadcast(models)
 

@@ -62,6 +62,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     - ``mismatch``: the validators don't fit the base; ``no_validator``: the revisit
       has none, but the base has. Both keep the base's id and the revisit's own headers.
     - ``no_base``: there is no earlier full response, or the URL is null or blank.
+
+    An empty table, or one without revisits, gives no rows.
     """
     prepare(captures.sparkSession)
     h = F.col("headers")

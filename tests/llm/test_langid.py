@@ -91,3 +91,10 @@ def test_empty_table_and_no_labels(spark):
     assert langid.identify_documents(empty).count() == 0
     one = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in langid.identify_documents(one).collect()] == [("und", 0.0)]
+
+
+def test_columns_of_the_result_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", 7, "x"), (2, None, None, None)], "doc_id long, text string, lang_pred int, score string")
+    got = langid.identify(docs, langid.learn(docs.withColumnRenamed("score", "lang")))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()}[2] == "und"

@@ -55,6 +55,13 @@ def test_empty_and_few_rows(spark):
     assert len(got) == 2 and all(r["slot"] == 0 for r in got)
 
 
+def test_columns_of_the_result_names_are_replaced(spark):
+    rows = spark.createDataFrame([(k, "x", -1.0) for k in range(9)], "id long, shard string, slot double")
+    got = sharding.shuffle_into_shards(rows, 2, 1)
+    assert sorted(got.columns) == ["id", "shard", "slot"]
+    assert sorted((r["shard"], r["slot"]) for r in got.collect()) == [(0, k) for k in range(5)] + [(1, k) for k in range(4)]
+
+
 def test_shards_are_written(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
     placed = sharding.shard_documents(docs, 4)
