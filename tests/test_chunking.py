@@ -55,3 +55,11 @@ def test_extract_text_quarantine(spark):
     assert {(r.path, r.text) for r in good.collect()} == {("/a", "page1\npage2"), ("/c", None)}
     assert [r.path for r in bad.collect()] == ["/b"]
     assert bad.first().error.startswith("Error parsing document")
+
+
+def test_each_text_is_normalised_once(spark):
+    df = spark.createDataFrame([("d", "u", 3, "a  b"), ("e", "v", 1, " \n"), ("f", "w", 0, None)],
+                               "doc_name string, doc_uri string, size long, text string").repartition(2)
+    chunks = chunk_documents(df)
+    assert [(r.doc_name, r.content) for r in chunks.collect()] == [("d", "a b")]
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import re
@@ -129,6 +130,22 @@ def test_bucket_counts():
     assert m.sum(axis=1).tolist() == [4.0, 0.0] and m[0].max() >= 2
 
 
+def test_bucket_counts_of_any_script_and_distinct_tokens_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    letters = list("aZ_é .İß²½Ⅷ中\n\x85\u3000-ſǺ١9")
+    texts = ["".join(rng.choice(letters, 40)) for _ in range(200)] + ["", "one two one"] * 3
+    want = np.zeros((len(texts), 16), dtype=np.float32)
+    for row, text in enumerate(texts):
+        for t in re.split(r"[\W_]+", text.lower()):
+            if t:
+                want[row, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 16] += 1
+    hashed, md5 = [], hashlib.md5
+    monkeypatch.setattr(rv.hashlib, "md5", lambda b: hashed.append(b) or md5(b))
+    got = rv.bucket_counts(texts, 16)
+    assert got.dtype == np.float32 and np.array_equal(got, want) and len(hashed) == len(set(hashed))
+    assert rv.bucket_counts([], 16).shape == (0, 16)
+
+
 def test_facts_json_and_blank_drop(spark):
     hits = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, 9, 3)], "qid long, doc long, rank int")
     chunks = spark.createDataFrame([(7, "u", "first é", "m"), (8, "u", "   ", "m"), (9, "u", 'third "q"', "m")],
