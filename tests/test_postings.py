@@ -119,3 +119,15 @@ def test_empty_corpus(spark):
     q = spark.createDataFrame([(1, "a")], "qid long, text string")
     assert rv.keyword_topk(q, empty).count() == 0
     assert rv.keyword_topk(q, spark.createDataFrame([("x", " ")], "id string, content string")).count() == 0
+
+
+def test_no_text_is_shuffled(spark, case, tmp_path):
+    """Only codes, places and counts of the query terms meet by block, each block as one row."""
+    rows, df, queries = case
+    index = ps.build_postings(df, str(tmp_path / "a"))
+    assert [r.id for r in index.table(spark, "docs").orderBy("n").collect()] == sorted(i for i, _ in rows)
+    scorer, found_rows = ps.keyword_side(queries, index, "qid", "text")
+    gathered = ps.gathered_blocks(found_rows, index)
+    assert "string" not in [t for _, t in gathered.dtypes] and gathered.groupBy("block").count().where("count > 1").count() == 0
+    lengths = {r.block: len(r.lengths) for r in gathered.collect()}
+    assert sum(lengths.values()) == index.n_docs == len(rows)

@@ -158,6 +158,15 @@ def test_facts_json_and_blank_drop(spark):
     assert rows[1].facts.startswith('{\n  "fact_1": ') and rows[2].facts == "{}" and rows[2].n_facts == 0
 
 
+def test_few_hits_are_shipped_to_the_chunks(spark):
+    chunks = spark.range(1000).selectExpr("id", "'u' doc_uri", "concat('text ', id) content", "'m' metadata")
+    hits = spark.range(4).groupBy((F.col("id") % 2).alias("qid")).agg(F.max("id").alias("doc")).withColumn("rank", F.lit(1))
+    facts = rv.retrieve_facts(hits, chunks)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.qid, r.content, r.score) for r in facts.collect()) == [(0, "text 2", None), (1, "text 3", None)]
+
+
 def test_snapshot_diff_and_sync(spark):
     before = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, content string")
     after = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "id long, content string")
