@@ -11,6 +11,7 @@ Semantics of the billing query:
 A SKU with many price versions, or with a large share of the usage, is cut by time:
 with ``bins``, both sides also meet on a bin of the usage end time, so a usage row
 is compared with the versions of its bin only and a hot SKU spreads over the bins.
+SKUs with few versions have one bin: their prices are not repeated for each bin.
 
 :func:`write_usage` stores usage in folders by month; :func:`read_usage` prunes
 them by the look-back, a join with billing periods prunes them at run time.
@@ -22,19 +23,30 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import open_folders
+from .joins import shipped
 
+FEW_VERSIONS = 8       # a SKU with so many price versions is not cut by time
+OPEN_MONTHS = 120      # folders that a task has open while it writes usage
+ROW_GROUP = 4 << 20    # bytes of a row group of each of these
 OUTPUT = ["endpoint_id", "endpoint_name", "app_id", "app_name", "sku_name", "usage_date",
           "serving_type", "usage_type", "billing_origin_product", "usage_quantity", "run_as",
           "cost"]
 
 
 def _binned(usage: DataFrame, prices: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the bin of their time: of ``bins`` equal parts of the usage's time span, a
-    usage row is in one, and a price row in each that its validity touches."""
+    """Both sides with the bin of their time. The usage's time span is cut into as many equal parts as
+    the SKU has price versions, at most ``bins``; a SKU with few versions has one bin. A usage row is in
+    one bin, and a price row in each that its validity touches, so versions that follow each
+    other make at most twice as many rows as there are versions."""
     span = usage.agg(F.min("usage_end_time").alias("lo"), F.max("usage_end_time").alias("hi"))
     span = span.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("lo", "hi")]).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // bins))
+    valid = F.col("price_start_time").isNotNull() & (F.col("price_end_time").isNull() | (F.col("price_start_time") < F.col("price_end_time")))
+    many = (prices.where(valid & F.col("p_sku").isNotNull()).groupBy(F.col("p_sku").alias("b_sku")).agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > FEW_VERSIONS).select("b_sku", F.least("n", F.lit(bins)).alias("bins")))
+    many = shipped(many, "many_versions")
+    width = F.ceil(F.lit(hi - lo + 1) / F.coalesce("bins", F.lit(1)))
 
     def place(t: Column) -> Column:
         micros = F.unix_micros(t.cast("timestamp"))
@@ -42,10 +54,11 @@ def _binned(usage: DataFrame, prices: DataFrame, bins: int) -> tuple[DataFrame,
         return F.floor((inside - lo) / width).cast("int")
 
     start, end = place(F.col("price_start_time")), place(F.col("price_end_time"))
-    valid = F.col("price_end_time").isNull() | (F.col("price_start_time") < F.col("price_end_time"))
-    cut = prices.where(valid & F.col("price_start_time").isNotNull()).withColumn("p_bin", F.explode(F.sequence(start, end)))
-    return (usage.withColumn("bin", F.when(F.col("usage_end_time").isNotNull(), place(F.col("usage_end_time")))).alias("u"),
-            cut.alias("p"))
+    cut = (prices.where(valid).join(many, F.col("p_sku") == F.col("b_sku"), "left")
+           .withColumn("p_bin", F.explode(F.sequence(start, end))).drop("b_sku", "bins"))
+    dealt = (usage.join(many, F.col("sku_name") == F.col("b_sku"), "left")
+             .withColumn("bin", F.when(F.col("usage_end_time").isNotNull(), place(F.col("usage_end_time")))).drop("b_sku", "bins"))
+    return dealt.alias("u"), cut.alias("p")
 
 
 def usage_month(date: str | Column) -> Column:
@@ -53,10 +66,11 @@ def usage_month(date: str | Column) -> Column:
 
 
 def write_usage(usage: DataFrame, path: str) -> None:
-    """Store usage below ``path`` in folders by ``usage_month``; a month's rows lie together, in as many
-    files as their size needs."""
-    (usage.withColumn("usage_month", usage_month("usage_date")).hint("rebalance", "usage_month")
-     .write.mode("overwrite").partitionBy("usage_month").parquet(path))
+    """Store usage below ``path`` in folders by ``usage_month``. No row is shuffled or sorted: each task
+    writes its rows of a month to a file of its own."""
+    with open_folders(usage.sparkSession, OPEN_MONTHS):
+        (usage.withColumn("usage_month", usage_month("usage_date"))
+         .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("usage_month").parquet(path))
 
 
 def read_usage(spark: SparkSession, path: str, as_of: str | dt.date | None = None, days: int | None = None,

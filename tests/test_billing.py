@@ -115,3 +115,22 @@ def test_stored_usage_is_pruned_by_month(spark, tmp_path):
     assert sorted(map(str, some.select(*usage.columns).collect())) == sorted(
         map(str, usage.where("month(usage_date) = 2").collect()))
     assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_prices_of_few_versions_are_not_repeated(spark):
+    usage, prices = _hot_case(spark)
+    plain = spark.createDataFrame([(f"S{i}", T0, None, ((D(1),),)) for i in range(200)], PRICES)
+    both = prices.unionByName(plain).withColumnRenamed("sku_name", "p_sku")
+    _, p = billing._binned(usage, both, 512)
+    versions = {r.p_sku: r["count"] for r in p.groupBy("p_sku").count().collect()}
+    assert all(versions[f"S{i}"] == 1 for i in range(200)) and versions["A"] == 2
+    assert versions["H"] <= 3 * 100
+
+
+def test_stored_usage_is_not_shuffled(spark, tmp_path, monkeypatch):
+    usage, _ = _hot_case(spark)
+    usage = usage.repartition(3)
+    billing.write_usage(usage, str(tmp_path / "usage"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) is None
+    files = [f for f in os.listdir(tmp_path / "usage" / "usage_month=2024-02-01") if f.endswith(".parquet")]
+    assert len(files) == 3  # one of each task
