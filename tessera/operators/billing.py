@@ -23,12 +23,9 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import open_folders
 from .joins import shipped
 
 FEW_VERSIONS = 8       # a SKU with so many price versions is not cut by time
-OPEN_MONTHS = 120      # folders that a task has open while it writes usage
-ROW_GROUP = 4 << 20    # bytes of a row group of each of these
 OUTPUT = ["endpoint_id", "endpoint_name", "app_id", "app_name", "sku_name", "usage_date",
           "serving_type", "usage_type", "billing_origin_product", "usage_quantity", "run_as",
           "cost"]
@@ -66,11 +63,9 @@ def usage_month(date: str | Column) -> Column:
 
 
 def write_usage(usage: DataFrame, path: str) -> None:
-    """Store usage below ``path`` in folders by ``usage_month``. No row is shuffled or sorted: each task
-    writes its rows of a month to a file of its own."""
-    with open_folders(usage.sparkSession, OPEN_MONTHS):
-        (usage.withColumn("usage_month", usage_month("usage_date"))
-         .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("usage_month").parquet(path))
+    """Store usage below ``path`` in folders by ``usage_month``. No row is shuffled: each task sorts its
+    rows by month and writes those of a month to a file of its own."""
+    usage.withColumn("usage_month", usage_month("usage_date")).write.mode("overwrite").partitionBy("usage_month").parquet(path)
 
 
 def read_usage(spark: SparkSession, path: str, as_of: str | dt.date | None = None, days: int | None = None,
