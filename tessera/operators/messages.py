@@ -7,6 +7,11 @@ VARIANT functions, so the branches run as built-in expressions and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import stable_id
@@ -150,20 +155,41 @@ def filter_stream_events(events: DataFrame, answer_node: str = "response_agent")
     return events.filter(keep)
 
 
+def _joined_deltas(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """One row for each stretch of consecutive deltas of a request in a batch of sorted events, with the
+    first one's columns, the texts concatenated and the latest time; other events stay as they are."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        delta = np.asarray(pc.equal(batch["type"], TEXT_DELTA))
+        keys = np.asarray(batch[key].dictionary_encode(null_encoding="encode").indices)
+        at = np.flatnonzero(np.r_[True, ~(delta[1:] & delta[:-1] & (keys[1:] == keys[:-1]))])
+        out = {name: batch[name].take(pa.array(at)) for name in batch.schema.names if name not in ("_d", "_time")}
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, batch.num_rows), pa.int32()), batch["_d"].fill_null(""))
+        none = np.iinfo(np.int64).min
+        latest = np.maximum.reduceat(np.asarray(batch["_time"].cast(pa.int64()).fill_null(none)), at)
+        out |= {"_d": pc.binary_join(lists, ""), "_time": pa.array(latest, mask=latest == none).cast(batch.schema.field("_time").type)}
+        yield pa.RecordBatch.from_arrays([out[name] for name in batch.schema.names], schema=batch.schema)
+
+
 def _delta_runs(events: DataFrame, types: tuple[str, ...], key: str, order: list[str], time_col: str | None = None) -> DataFrame:
     """One row per run of consecutive deltas and per other event of ``types``: ``(key, run, type,
-    item_id, text, time)``. Only keys and types go through the numbering; the texts
-    meet their run numbers by row, so a request that holds most events is spread over all tasks."""
+    item_id, text, time)``. Events are sorted over range partitions once, where consecutive deltas are
+    joined to pieces; only the pieces, few to a run, are numbered. Keys and types go through the numbering, the
+    texts meet their run numbers by row, so a request that holds most events is spread over all tasks."""
     time = F.col(time_col) if time_col else F.lit(None).cast("timestamp")
-    rows = write_once(events.filter(F.col("type").isin(*types)).select(
+    at = [key, *order, "_r"]
+    rows = events.filter(F.col("type").isin(*types)).select(
         F.monotonically_increasing_id().alias("_r"), key, *order, "type", "item_id", F.coalesce("delta", "text").alias("_d"),
-        time.alias("_time")), "delta_events")
-    numbered = runs(rows.select("_r", key, *order, "type"), [key], [*order, "_r"], "type", "run", singleton=F.col("type") != TEXT_DELTA)
+        time.alias("_time"))
+    ranged = rows.repartitionByRange(*at).sortWithinPartitions(*at)
+    pieces = write_once(ranged.mapInArrow(lambda batches: _joined_deltas(batches, key), ranged.schema), "delta_pieces")
+    numbered = runs(pieces.select("_r", key, *order, "type"), [key], [*order, "_r"], "type", "run", singleton=F.col("type") != TEXT_DELTA)
     ordkey = F.struct(*[F.col(c) for c in (*order, "_r")])
-    pieces = F.array_sort(F.collect_list(F.struct(ordkey.alias("o"), F.col("_d").alias("d"))))
-    return (rows.join(numbered.select("_r", F.col("run").cast("bigint").alias("run")), "_r").groupBy(key, "run")
+    texts = F.array_sort(F.collect_list(F.struct(ordkey.alias("o"), F.col("_d").alias("d"))))
+    return (pieces.join(numbered.select("_r", F.col("run").cast("bigint").alias("run")), "_r").groupBy(key, "run")
             .agg(F.first("type").alias("type"), F.min_by("item_id", ordkey).alias("item_id"),
-                 F.array_join(F.transform(pieces, lambda x: x["d"]), "").alias("text"), F.max("_time").alias("time")))
+                 F.array_join(F.transform(texts, lambda x: x["d"]), "").alias("text"), F.max("_time").alias("time")))
 
 
 def _kind(type_col: str = "type") -> F.Column:

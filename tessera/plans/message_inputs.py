@@ -76,10 +76,11 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tokens(df: DataFrame) -> DataFrame:
     """Split text on single spaces, keeping the space on every token but the last."""
-    return (df.select("*", F.posexplode(F.split("text", " ")).alias("idx", "tok"))
+    # counted before the rows multiply
+    return (df.withColumn("_n", F.size(F.split("text", " "))).select("*", F.posexplode(F.split("text", " ")).alias("idx", "tok"))
             .withColumn("idx", F.col("idx").cast("bigint"))
-            .withColumn("tok", F.when(F.col("idx") < F.size(F.split("text", " ")) - 1,
-                                      F.concat("tok", F.lit(" "))).otherwise(F.col("tok"))))
+            .withColumn("tok", F.when(F.col("idx") < F.col("_n") - 1, F.concat("tok", F.lit(" "))).otherwise(F.col("tok")))
+            .drop("_n"))
 
 
 def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:

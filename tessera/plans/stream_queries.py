@@ -73,8 +73,9 @@ def _ends(ev):
     """The end of each request, after its last event."""
     last = ev.groupBy("request_id").agg(F.max(F.struct("conv", "turn", "sub")).alias("at"))
     none = F.lit(None).cast("string")
-    return last.select("request_id", F.col("at.conv").alias("conv"), F.col("at.turn").alias("turn"), (F.col("at.sub") + 1).alias("sub"),
+    ends = last.select("request_id", F.col("at.conv").alias("conv"), F.col("at.turn").alias("turn"), (F.col("at.sub") + 1).alias("sub"),
                        F.lit(END_OF_REQUEST).alias("type"), none.alias("item_id"), none.alias("delta"), none.alias("text"))
+    return write_once(ends, "request_ends")  # read for every part
 
 
 @register("merge_deltas_stream", """

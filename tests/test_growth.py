@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval as rv
+from tessera.operators import messages as msg, retrieval as rv
 from tessera.operators.joins import numbered
 
 
@@ -33,3 +33,28 @@ def test_many_rows_are_marked_by_their_keys(spark):
     from tessera.operators.joins import marked
     got = marked(rows, keys, "k", "found").collect()
     assert len(got) == 1000 and all(r.found == (r.k % 2 == 0) for r in got)
+
+
+def test_only_pieces_of_deltas_are_numbered(spark, monkeypatch):
+    events = spark.range(0, 3000, 1, 3).select(
+        (F.col("id") % 3).alias("request_id"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 500 == 0, msg.ITEM_DONE).otherwise(msg.TEXT_DELTA).alias("type"), F.concat(F.lit("i"), "id").alias("item_id"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.col("id").cast("string"), F.lit(" "))).alias("delta"), F.lit(None).cast("string").alias("text"))
+    numbered_rows, runs = [], msg.runs
+    monkeypatch.setattr(msg, "runs", lambda df, *a, **k: (numbered_rows.append(df.count()), runs(df, *a, **k))[1])
+    got = sorted(map(tuple, msg.merge_deltas(events).collect()))
+    assert numbered_rows[0] < 300
+    want = []
+    for req in range(3):
+        pos, run = 0, None
+        for i in [*range(req, 3000, 3), None]:
+            if i is None or i % 500 == 0:
+                if run:
+                    want.append((req, pos, "delta", *run))
+                    pos, run = pos + 1, None
+                if i is not None:
+                    want.append((req, pos, "done", f"i{i}", f"{i} " if i % 7 else ""))
+                    pos += 1
+            else:
+                run = (run[0] if run else f"i{i}", (run[1] if run else "") + (f"{i} " if i % 7 else ""))
+    assert got == sorted(want)
