@@ -1,5 +1,10 @@
 """What large tables would shuffle or number must stay small."""
 
+import hashlib
+import random
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import messages as msg, retrieval as rv
@@ -58,3 +63,16 @@ def test_only_pieces_of_deltas_are_numbered(spark, monkeypatch):
             else:
                 run = (run[0] if run else f"i{i}", (run[1] if run else "") + (f"{i} " if i % 7 else ""))
     assert got == sorted(want)
+
+
+def test_buckets_of_odd_words_equal_the_definition():
+    rng = random.Random(1)
+    chars = "aB1_ -\t\n\x0b\x1c\x1d\x1f\x85\u00a0\u2003éİßΣ。中٣²\u200b\u0301'\x00"
+    texts = ["", "  ", "—", "a—b—", "_", *("".join(rng.choices(chars, k=rng.randrange(40))) for _ in range(300))]
+    want = np.zeros((len(texts), 16))
+    for row, text in zip(want, texts):
+        for token in re.split(r"[\W_]+", text.lower()):
+            if token:
+                row[int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % 16] += 1
+    assert (rv.bucket_counts(texts, 16) == want).all()
+    assert rv.bucket_counts([], 16).shape == (0, 16) and rv.bucket_counts([""], 16).tolist() == [[0.0] * 16]
